@@ -68,7 +68,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def words(text: Column, separators: str) -> Column:
-    """The words of ``text`` between runs of the regex class ``separators``; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{separators}+|{separators}+$", "")
+    """The words of ``text`` between runs of ``separators``; null and blank texts have none."""
+    run = "[" + "".join(f"\\x{ord(c):02X}" for c in separators) + "]+"
     empty = F.array().cast("array<string>")
-    return let(trimmed, lambda t: F.when(t == "", empty).otherwise(F.split(t, f"{separators}+")))
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(separators))
+    return let(trimmed, lambda t: F.when(t == "", empty).otherwise(F.split(t, run)))
