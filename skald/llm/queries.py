@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skald.llm import rules
-from skald.llm.common import table
+from skald.llm import rules, simhash
+from skald.llm.common import Scratch, table
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +36,14 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
 """
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": op9_quality_rules}
+    return {"op9_quality_rules": op9_quality_rules, "op10_simhash_near_dedup": op10_simhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
