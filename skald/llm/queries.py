@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skald.llm import rules, simhash
+from skald.llm import decontam, rules, simhash
 from skald.llm.common import Scratch, table
 
 
@@ -36,6 +36,31 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
 """
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in benchmark windows, and the items they are from."""
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op4"))
+    items = F.size("item_ids").cast("long").alias("n_items")
+    return found.select("doc_id", "n_words", "n_hit", items, F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP4_SQL = r"""
+with dw as (select row_number() over () rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+iw as (select cast(item_id as varchar) item_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+win as (select distinct item_id, least(10, len(w)) n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) win
+  from iw where len(w) > 0),
+dg as (select rid, n, unnest(range(1, len(w) - n + 2)) p, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) win
+  from dw, (select distinct n from win) where len(w) >= n),
+occ as (select distinct rid, p, dg.n, item_id from dg join win using (win, n)),
+hit as (select rid, count(distinct p + k) n_hit from (select rid, p, unnest(range(0, n)) k from occ) group by rid),
+its as (select rid, count(distinct item_id) n_items, string_agg(distinct item_id, ',' order by item_id) ids from occ group by rid)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
+ sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from dw left join hit using (rid) left join its using (rid)
+"""
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
@@ -43,8 +68,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_quality_rules": op9_quality_rules, "op10_simhash_near_dedup": op10_simhash_near_dedup}
+    return {
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op9_quality_rules": OP9_SQL}
