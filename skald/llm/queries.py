@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skald.llm import decontam, rules, simhash
-from skald.llm.common import Scratch, table
+from skald.llm import decontam, linededup, rules, simhash
+from skald.llm.common import SPACE, Scratch, table
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,17 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
 """
 
 
+def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every document: its lines that are near copies of a line that comes first."""
+    found = linededup.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+    lines = F.size(F.filter(linededup.split_lines(F.col("text")), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
+    cells = F.transform("removed_lines", lambda r: F.concat_ws(":", r["no"], r["keep_doc_id"], r["keep_no"]))
+    return found.select(
+        "doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("n_kept"), F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(cells, ","), F.lit("")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in benchmark windows, and the items they are from."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op4"))
@@ -69,6 +80,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
