@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skald.llm import decontam, linededup, rules, simhash
+from skald.llm import decontam, linededup, rules, simhash, warc
 from skald.llm.common import SPACE, Scratch, table
 
 
@@ -36,6 +36,30 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
 """
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a capture for every page, reads the archives back and assembles their transactions."""
+    scratch = Scratch(spark, "op1")
+    path = scratch.path("archives")
+    warc.write(warc.captures(table(spark, sf_dir, "pages")), path)
+    found = warc.assemble(warc.read(spark, path, payload=False))
+    number = lambda name: F.expr(f"try_cast(nullif(metadata.fields['{name}'], '') as bigint)")
+    return found.select(
+        number("pageId").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"), number("refersToPage").alias("refers_to"), F.col("request.target_uri").alias("request_uri"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_copy"),
+    ).drop("_copy")
+
+
+OP1_SQL = r"""
+with p as (select page_id, url, strlen(coalesce(html, '')) n, sha1(coalesce(html, '')) s from pages),
+d as (select *, list_transform(range(0, 40), lambda i: instr('0123456789abcdef', substr(s, i + 1, 1)) - 1) x from p),
+b as (select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  cast(1 + (((x[(5 * i) // 4 + 1] * 16 + x[(5 * i) // 4 + 2]) >> (3 - (5 * i) % 4)) & 31) as bigint), 1)), '') payload_digest from d),
+f as (select *, max(page_id) over (partition by payload_digest) last from b)
+select page_id, cast(n as bigint) payload_bytes, payload_digest, case when page_id = last then 'response' else 'revisit' end record_type,
+ case when page_id <> last then last end refers_to, url request_uri from f
+"""
+
+
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes of every document: its lines that are near copies of a line that comes first."""
     found = linededup.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
@@ -80,6 +104,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_transactions": op1_warc_transactions,
         "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op9_quality_rules": op9_quality_rules,
@@ -88,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op1_warc_transactions": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op9_quality_rules": OP9_SQL}
