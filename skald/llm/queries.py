@@ -6,10 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skald.llm import decontam, linededup, rules, simhash, warc
+from skald.llm import consensus, decontam, langid, linededup, packing, pii, quality, rules, simhash, warc
 from skald.llm.common import SPACE, Scratch, table
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model of those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.learn(langid.learning_rows(docs)))
+    return langid.held_out(found).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in a sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a model of labelled ones outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.predict(docs, quality.learn(quality.learning_rows(docs), table(spark, sf_dir, "labels")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of all rules over whole texts, and the strict policy's verdict."""
     led = rules.apply_policy(rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), rules.BASE, "_base"), rules.STRICT)
@@ -71,6 +94,12 @@ def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's winning path."""
+    pages = table(spark, sf_dir, "pages")
+    return consensus.extract(pages, Scratch(spark, "op3").keep(consensus.votes(pages), "paths"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in benchmark windows, and the items they are from."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op4"))
@@ -106,7 +135,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_transactions": op1_warc_transactions,
         "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
+        "op3_html_consensus": op3_html_consensus,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_pii_spans": op5_pii_spans,
+        "op6_language_id": op6_language_id,
+        "op7_cutting_stock_packing": op7_cutting_stock_packing,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
