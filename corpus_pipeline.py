@@ -1,7 +1,70 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before has kept, and its decisions take effect.
+``run`` writes every stage's result as Parquet to the shared folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from skald.llm import decontam, langid, linededup, packing, simhash
+from skald.llm.common import Scratch, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars being that of the text now."""
+    return df.select(*(F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in COLUMNS))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language a model of the labelled ones recognises; texts without a letter or a clear language go."""
+    return _documents(langid.reject(docs, langid.learn(langid.learning_rows(docs))))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that are near copies of an earlier line; a document of which nothing is left goes."""
+    found = linededup.dedup(docs, Scratch(spark, "lines"))
+    return _documents(found.where("removed_lines is null or trim(text) <> ''"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id, one of rows that share it."""
+    scratch = Scratch(spark, "simhash")
+    groups = simhash.near_duplicates(docs, scratch).where("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
+    stay = docs.join(groups, "doc_id", "left_anti")
+    return _documents(stay.dropDuplicates(["doc_id"]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "decontam"), carry=("text", "lang", "source"))
+    return _documents(found.where("not contaminated").withColumn("n_chars", F.lit(0)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents with their places in sequences."""
+    return packing.pack(docs, Scratch(spark, "packing"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
+
+#: Language ID, MinHash and packing are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs
