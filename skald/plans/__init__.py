@@ -1 +1,6 @@
+"""Queries, by name, and their SQL."""
 
+from skald.plans import planning
+from skald.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "planning"]
