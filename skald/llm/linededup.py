@@ -30,6 +30,8 @@ BINS = 9
 PAIRWISE = 32
 #: Rounds of centres for the components of a large band, before all that is left outside its largest is compared.
 STARS = 3
+#: 64-bit words of a bitmap.
+WORDS = 8
 #: Lines y = mx + b and x = c of the affine plane of order 3.
 BANDS = [[3 * x + (m * x + b) % 3 for x in range(3)] for m, b in product(range(3), repeat=2)] + [[3 * c + y for y in range(3)] for c in range(3)]
 
@@ -42,17 +44,22 @@ def _has_word(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\f\r")) != ""
 
 
-def shingle_hashes(line: Column) -> Column:
-    """Hashes of the character shingles, by position; a shorter line is one shingle.
+def _code_points(line: Column) -> Column:
+    """UTF-32: a shingle is a byte range, found without counting characters from the start."""
+    return F.encode(line, "UTF-32")
 
-    In UTF-32 a shingle is a byte range, found without counting characters from the start.
-    """
-    return F.when(F.length(line) <= SHINGLE, F.array(F.xxhash64(line))).otherwise(
-        let(
-            F.encode(line, "UTF-32"),
-            lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - 4 * SHINGLE + 1, F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE)))),
-        )
-    )
+
+def _starts(b: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - 4 * SHINGLE + 1), F.lit(4))
+
+
+def _shingle(b: Column, i: Column) -> Column:
+    return F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE)))
+
+
+def shingle_hashes(line: Column) -> Column:
+    """Hashes of the character shingles, by position; a shorter line is one shingle."""
+    return let(_code_points(line), lambda b: F.transform(_starts(b), lambda i: _shingle(b, i)))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -62,13 +69,41 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(node, m0..m8): the least shingle hash in each residue class, null where there is none."""
+    """(node, m0..m8): the least shingle hash in each residue class, null where there is none.
+
+    Places are exploded rather than hashed in a lambda: cutting, hashing and the partial minima are one compiled loop.
+    """
     lines = F.filter(split_lines(F.col("text")), _has_word)
-    each = docs.select(F.inline(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("node"), shingle_hashes(x).alias("hs")))))
-    h = each.select("node", F.explode("hs").alias("h")).select("node", "h", F.pmod("h", F.lit(BINS)).alias("bin"))
+    each = docs.select(F.inline(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("node"), _code_points(x).alias("b")))))
+    h = each.select("node", "b", F.explode(_starts(F.col("b"))).alias("i")).select("node", _shingle(F.col("b"), F.col("i")).alias("h"))
+    h = h.select("node", "h", F.pmod("h", F.lit(BINS)).alias("bin"))
     return h.groupBy("node").agg(*(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(BINS)))
 
 
+def sketches(texts: DataFrame) -> DataFrame:
+    """(node, size, b0..b7): the number of distinct shingles, and a bitmap of their hashes.
+
+    Bitmaps of two sets differ in no more bits than the sets in elements, and sets of that similarity differ in few:
+    a pair whose bitmaps differ in more can be discarded without loss.
+    """
+    h = texts.select("node", F.explode(_sets(F.col("line"))).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    word = F.shiftright("h", 6).bitwiseAND(WORDS - 1)
+    return h.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *(F.bit_or(F.when(word == k, bit).otherwise(0)).alias(f"b{k}") for k in range(WORDS)))
+
+
+def _sketch(prefix: str) -> list[Column]:
+    return [F.col(c).alias(f"{prefix}{c}") for c in ("size", *(f"b{k}" for k in range(WORDS)))]
+
+
+def _may_link(x: str, y: str) -> Column:
+    """Whether sketches with these prefixes leave room for the similarity."""
+    differ = sum((F.bit_count(F.col(f"{x}b{k}").bitwiseXOR(F.col(f"{y}b{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{x}b0").bitwiseXOR(F.col(f"{y}b0"))))
+    a, b = F.col(f"{x}size"), F.col(f"{y}size")
+    room = F.floor((1 - SIMILARITY) / (1 + SIMILARITY) * (a + b) + 1e-6)
+    return (F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6) & (differ <= room)
+
+
 def bands(sigs: DataFrame) -> DataFrame:
     """(band, node, centre, n): the bands that hold two nodes or more."""
     m = [F.col(f"m{k}") for k in range(BINS)]
@@ -96,32 +131,43 @@ def links(docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = shared.select("node").distinct()
     lines = docs.select(F.explode(split_lines(F.col("text"))).alias("line")).where(_has_word(F.col("line"))).withColumn("node", F.xxhash64("line"))
     texts = scratch.keep(lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    small = shared.where(F.col("n") <= PAIRWISE)
-    other = small.select("band", F.col("node").alias("b"))
-    pairs = small.select("band", F.col("node").alias("a")).join(other, "band").where("a < b").select("a", "b")
-    large = shared.where(F.col("n") > PAIRWISE)
-    stars = large.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    members = scratch.keep(shared.join(sketches(texts), "node"), "members")
+    scratch.drop(shared)
+    small = members.where(F.col("n") <= PAIRWISE)
+    other = small.select(F.col("band").alias("_band"), F.col("node").alias("b"), *_sketch("y_"))
+    mine = small.select("band", F.col("node").alias("a"), *_sketch("x_"))
+    pairs = mine.join(other, (F.col("band") == F.col("_band")) & (F.col("a") < F.col("b")) & _may_link("x_", "y_")).select("a", "b")
+    large = members.where(F.col("n") > PAIRWISE)
+    centres = large.where("node = centre").select(F.col("band").alias("_band"), F.col("node").alias("a"), *_sketch("y_"))
+    stars = large.join(centres, (F.col("band") == F.col("_band")) & (F.col("node") != F.col("a")) & _may_link("", "y_")).select("a", F.col("node").alias("b"))
     edges = scratch.keep(verify(pairs.union(stars).distinct(), texts), "links")
     comp = components(edges, scratch)
     if large.isEmpty():
         return comp
     # a component of the band that nobody of has been a centre yet sends its least member to be compared with the others
-    left = scratch.keep(large.select("band", "node"), "large")
+    left = scratch.keep(large.select("band", "node", *_sketch("")), "large")
     seen = large.select("band", F.col("centre").alias("node")).distinct()
+    rooted = lambda: left.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def meet(these: DataFrame, those: DataFrame) -> DataFrame:
+        """Pairs of a band that are in different components and may be linked."""
+        asked = these.select(F.col("band").alias("_band"), F.col("node").alias("a"), F.col("root").alias("ra"), *_sketch("y_"))
+        return those.join(asked, (F.col("band") == F.col("_band")) & (F.col("root") != F.col("ra")) & _may_link("", "y_")).select("a", "node")
+
     for _ in range(STARS):
-        named = left.join(comp, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        named = rooted()
         asked = named.join(seen, ["band", "node"], "left_semi").select("band", "root").distinct()
-        fresh = named.join(asked, ["band", "root"], "left_anti").groupBy("band").agg(F.min(F.struct("node", "root")).alias("c"))
-        centre = scratch.keep(fresh.select("band", F.col("c.node").alias("a"), F.col("c.root").alias("ra")), "centre")
-        if centre.isEmpty():
+        fresh = named.join(asked, ["band", "root"], "left_anti").groupBy("band").agg(F.min("node").alias("node"))
+        fresh = scratch.keep(fresh, "centre")
+        if fresh.isEmpty():
             break
-        seen = scratch.keep(seen.union(centre.select("band", F.col("a").alias("node"))), "centres")
-        edges, comp = _more(edges, comp, named.join(centre, "band").where("root <> ra").select("a", "node"), texts, scratch)
+        seen = scratch.keep(seen.union(fresh), "centres")
+        edges, comp = _more(edges, comp, meet(named.join(fresh, ["band", "node"], "left_semi"), named), texts, scratch)
     # whatever is outside a band's largest component is compared with all members of other components
-    named = scratch.keep(left.join(comp, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "named")
+    named = rooted()
     most = named.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("most"))
-    rest = named.join(most, "band").where("root <> most").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
-    return _more(edges, comp, named.join(rest, "band").where("root <> ra").select("a", "node"), texts, scratch)[1]
+    rest = named.join(most, "band").where("root <> most")
+    return _more(edges, comp, meet(rest, named), texts, scratch)[1]
 
 
 def _more(edges: DataFrame, comp: DataFrame, pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
