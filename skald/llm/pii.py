@@ -67,7 +67,7 @@ class Kind:
 
 KINDS = (
     Kind("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda s: True, 0.9, "@", frozenset({"email", "mail", "contact", "write"})),
-    Kind("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split(".")), 0.7, ".", frozenset({"ip", "address", "host", "server"})),
+    Kind("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in s.split(".")), 0.7, ".", frozenset({"ip", "address", "host", "server"})),
     Kind("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), _card, 0.7, None, frozenset({"card", "credit", "debit", "visa", "mastercard", "payment"})),
     Kind("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda s: 9 <= len(_digits(s)) <= 15, 0.7, "+", frozenset({"phone", "call", "tel", "mobile", "fax"})),
     Kind("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban, 0.8, None, frozenset({"iban", "account", "bank", "transfer", "konto"}), False),

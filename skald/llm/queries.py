@@ -51,7 +51,7 @@ g as (select rid, unnest(range(1, len(w) - 1)) p, unnest(list_transform(range(1,
 r as (select rid, count(distinct p + k) n from (select rid, p, count(*) over (partition by rid, g) c from g), (values (0), (1), (2)) o(k) where c > 1 group by rid),
 f as (select m.*, coalesce(r.n, 0) n_repeat_words from m left join r using (rid)),
 b as (select *, cast(n_words < 50 as int) + 2 * cast(100 * n_repeat_words > 50 * n_words as int) + 4 * cast(5 * n_symbols > n_words as int)
- + 8 * cast(10 * n_dup_lines > 3 * n_lines as int) + 16 * cast(2 * n_shouts > n_words as int)
+ + 8 * cast(2 * n_dup_lines > n_lines as int) + 16 * cast(2 * n_shouts > n_words as int)
  + 32 * cast(word_chars < 2 * n_words or word_chars > 15 * n_words as int) failed_bits from f)
 select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols,
  cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words, failed_bits & 3 != 0 base_failed,

@@ -100,7 +100,7 @@ RULES = (
     Rule("too_short", "n_words < 50"),
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "5 * n_symbols > n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("shouting", "2 * n_shouts > n_words"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
 )
