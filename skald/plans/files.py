@@ -25,7 +25,7 @@ def s2(spark, d) -> DataFrame:
     chunks = docs.select(F.col("source").alias("name"), F.col("doc_id").cast("int").alias("chunk_id"), "text", F.lit("done").alias("status"))
     path = workspace(spark, "projects")
     files.write_projects(docs.select(F.col("source").alias("name"), F.lit("x").alias("unknown_key")).distinct(), chunks, path)
-    back = files.scan_projects(spark, path)
+    back = files.scan_projects(spark, path, one_per_file=False)
     return back.select("name", F.size("chunks").cast("long").alias("n_chunks"), F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + F.length(c["text"])).alias("chars"), F.col("settings.preset").alias("preset"))
 
 
@@ -33,10 +33,10 @@ def s2(spark, d) -> DataFrame:
 def s6(spark, d) -> DataFrame:
     h = view(spark, d, "v_history")
     path = workspace(spark, "generations")
-    # days are few files each if a day's rows meet first
-    daily = h.repartition(F.to_date("created_at")).where("month(created_at) is not null")
+    # a month is few files if its rows meet first
+    monthly = h.repartition(F.date_format("created_at", "yyyy-MM"))
     for _ in range(2):
-        files.append_generations(daily, path)
+        files.append_generations(monthly, path)
     return spark.read.parquet(path).groupBy(F.to_date("created_at").alias("created")).agg(F.count(F.lit(1)).alias("n"))
 
 

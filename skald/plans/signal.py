@@ -149,9 +149,9 @@ def events(spark, d) -> DataFrame:
     return tracks(spark, d).select("mix_id", "clip_id", "track").distinct().withColumn("start", (F.col("clip_id") % 5 * 16).cast("int"))
 
 
-@query("j7_place_events", TR + " select mix_id, clip_id, cast(clip_id % 5 * 16 + pos as int) at, amp from t where clip_id % 5 * 16 + pos < 96")
+@query("j7_place_events", TR + " select mix_id, clip_id, cast(clip_id % 5 * 16 + pos as int) sample_no, amp from t where clip_id % 5 * 16 + pos < 96")
 def j7(spark, d):
-    return G.place(clips(spark, d).select("clip_id", "pos", "amp"), events(spark, d), 96).select("mix_id", "clip_id", "at", "amp")
+    return G.place(clips(spark, d).select("clip_id", "pos", "amp"), events(spark, d), 96).select("mix_id", "clip_id", F.col("at").alias("sample_no"), "amp")
 
 
 @query("j8_crossfade", V + ", a as (select clip_id pair, pos, amp from v_clip where clip_id % 2 = 0), b as (select clip_id - 1 pair, pos, amp from v_clip where clip_id % 2 = 1), l as (select pair, pos, case when pos < 48 then amp else amp * pow(cos(pi() / 2 * (pos - 48) / 15.0), 2) end x from a), r as (select pair, pos + 48 pos, case when pos < 16 then amp * (1 - pow(cos(pi() / 2 * pos / 15.0), 2)) else amp end x from b) select pair, cast(pos as int) pos, round(sum(x), 6) amp from (select * from l union all select * from r) group by 1, 2")
@@ -173,7 +173,7 @@ def g12(spark, d):
     return voice.unionByName(music)
 
 
-@query("g13_mixdown", TR + ", p as (select mix_id, track, cast(clip_id % 5 * 16 + pos as int) at, sum(amp) amp from t where clip_id % 5 * 16 + pos < 96 group by 1, 2, 3), vb as (select mix_id, at // 8 block, max(abs(amp)) peak from p where track = 'VOICE' group by 1, 2), va as (select mix_id, block, peak > greatest(0.06 * max(peak) over (partition by mix_id), 1e-6) active from vb), m as (select p.mix_id, at, sum(amp * case when active then pow(10.0, -case track when 'MUSIC' then 9.0 when 'AMBIENCE' then 3.0 else 0.0 end / 20.0) else 1.0 end) x from p left join va on va.mix_id = p.mix_id and block = at // 8 group by 1, 2), g as (select *, max(abs(x)) over (partition by mix_id) pk from m) select mix_id, at, round(case when pk > 1 then x / pk else x end, 6) amp from g")
+@query("g13_mixdown", TR + ", p as (select mix_id, track, cast(clip_id % 5 * 16 + pos as int) sn, sum(amp) amp from t where clip_id % 5 * 16 + pos < 96 group by 1, 2, 3), vb as (select mix_id, sn // 8 block, max(abs(amp)) peak from p where track = 'VOICE' group by 1, 2), va as (select mix_id, block, peak > greatest(0.06 * max(peak) over (partition by mix_id), 1e-6) active from vb), m as (select p.mix_id, sn, sum(amp * case when active then pow(10.0, -case track when 'MUSIC' then 9.0 when 'AMBIENCE' then 3.0 else 0.0 end / 20.0) else 1.0 end) x from p left join va on va.mix_id = p.mix_id and block = sn // 8 group by 1, 2), g as (select *, max(abs(x)) over (partition by mix_id) pk from m) select mix_id, sn sample_no, round(case when pk > 1 then x / pk else x end, 6) amp from g")
 def g13(spark, d):
     c = clips(spark, d).select("clip_id", "pos", "amp")
-    return G.mixdown(c, events(spark, d), 96, 8, 9.0).select("mix_id", "at", r6(F.col("amp"), "amp"))
+    return G.mixdown(c, events(spark, d), 96, 8, 9.0).select("mix_id", F.col("at").alias("sample_no"), r6(F.col("amp"), "amp"))

@@ -25,9 +25,9 @@ def scan_scripts(spark: SparkSession, path: str, pattern: str = "*.txt") -> Data
     return files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("script_text"))
 
 
-def scan_projects(spark: SparkSession, path: str) -> DataFrame:
-    """Nested project files; unknown keys are dropped, missing settings take their defaults."""
-    p = spark.read.schema(PROJECT).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def scan_projects(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Nested project documents, one per file or one per line; unknown keys are dropped, missing settings take their defaults."""
+    p = spark.read.schema(PROJECT).option("multiLine", one_per_file).option("mode", "PERMISSIVE").json(path)
     s = F.col("settings")
     filled = F.struct(
         s["voice_id"].alias("voice_id"), F.coalesce(s["preset"], F.lit("DOCUMENTARY")).alias("preset"), F.coalesce(s["target_wpm"], F.lit(155)).alias("target_wpm"), F.coalesce(s["words_per_chunk"], F.lit(45)).alias("words_per_chunk"),
@@ -88,5 +88,5 @@ def write_stems(blocks: DataFrame, path: str) -> None:
 
 
 def append_generations(rows: DataFrame, path: str) -> None:
-    """Adds history rows, partitioned by day."""
-    rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+    """Adds history rows, partitioned by month: days would be very many small files."""
+    rows.withColumn("month", F.date_format("created_at", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)

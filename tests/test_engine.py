@@ -177,7 +177,7 @@ def test_projects(spark, tmp_path):
     r = p.first()
     assert (r.settings.target_wpm, r.settings.preset, r.format_version) == (140, "DOCUMENTARY", 1)
     files.write_projects(p, files.project_chunks(p).select("name", "chunk_id", "text"), str(tmp_path / "out"))
-    assert [c.text for c in files.scan_projects(spark, str(tmp_path / "out")).first().chunks] == ["a", "b"]
+    assert [c.text for c in files.scan_projects(spark, str(tmp_path / "out"), one_per_file=False).first().chunks] == ["a", "b"]
 
 
 def test_folder_queue(spark, tmp_path):
