@@ -282,7 +282,7 @@ STYLES = [(e, t) for e, t in D.EMOTION_STYLE]
 
 def style_expr(emotion, preset, strength: float = 0.7):
     """Style direction of an emotion and a preset, with a word for the pace."""
-    style, pace = F.lit(None), F.lit("")
+    style = F.lit(None)
     rates = {e: r for e, r, *_ in D.PROFILES}
     for e, t in STYLES:
         blended = 1.0 + (rates[e] - 1.0) * strength
@@ -290,9 +290,10 @@ def style_expr(emotion, preset, strength: float = 0.7):
         full = f"{t}, {word}" if word and word not in t else t
         style = F.when(emotion == e, F.lit(full)).otherwise(style)
     style = F.coalesce(style, F.lit(dict(STYLES)["NEUTRAL"]))
+    tail = F.lit("")
     for p, t in D.PRESET_DIRECTION:
-        style = F.when((emotion == "NEUTRAL") & (preset == p), F.concat(style, F.lit(f", {t}"))).otherwise(style)
-    return style
+        tail = F.when(preset == p, F.lit(f", {t}")).otherwise(tail)
+    return F.concat(style, F.when(emotion == "NEUTRAL", tail).otherwise(F.lit("")))
 
 
 STYLE_SQL = [(e, f"{t}{', slowly' if 1 + (r - 1) * 0.7 > 1.06 and 'slowly' not in t else ', quickly' if 1 + (r - 1) * 0.7 < 0.94 else ''}") for (e, t), (_, r, *_x) in zip(D.EMOTION_STYLE, D.PROFILES, strict=True)]
