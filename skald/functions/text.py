@@ -11,6 +11,7 @@ from skald import dimensions as D
 # Number words, months, units and the speaking of URLs.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+CARDINALS = ONES + [f"{t}{'-' * (i > 0)}{ONES[i] if i else ''}" for t in TENS[2:] for i in range(10)]
 ORDINALS = "zeroth first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth twentieth".split()
 MONTHS = "January February March April May June July August September October November December".split()
 UNITS = {
@@ -44,12 +45,13 @@ def replace_each(text: Column, pattern: str, spoken: Callable[[Column], Column])
 
 
 def pick(words: list[str], i: Column) -> Column:
-    return F.get(F.array(*map(F.lit, words)), i.cast("int"))
+    """The word at place ``i``; one literal that is split, as arrays of literals make very large plans."""
+    return F.get(F.split(F.lit(",".join(words)), ","), i.cast("int"))
 
 
 def _hundred(n: Column) -> Column:
-    tail = F.when(n % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("-"), pick(ONES, n % 10)))
-    return F.when(n < 20, pick(ONES, n)).otherwise(F.concat(pick(TENS, F.floor(n / 10)), tail))
+    """0..99, from one list."""
+    return pick(CARDINALS, n)
 
 
 def _thousand(n: Column) -> Column:
@@ -85,10 +87,14 @@ def digit_words(digits: Column) -> Column:
 
 def number_token(token: Column) -> Column:
     """A written number: commas, decimals digit by digit, over nine digits spelled."""
+
+    def say(bare: Column) -> Column:
+        whole = F.substring_index(bare, ".", 1)
+        fraction = F.when(bare.contains("."), F.concat(F.lit(" point "), digit_words(F.substring_index(bare, ".", -1)))).otherwise(F.lit(""))
+        return F.when(~bare.contains(".") & (F.length(bare) > 9), digit_words(bare)).otherwise(F.concat(number_words(whole), fraction))
+
     bare = F.replace(F.ltrim(token, F.lit("-")), F.lit(","), F.lit(""))
-    whole, fraction = F.substring_index(bare, ".", 1), F.when(bare.contains("."), F.substring_index(bare, ".", -1))
-    said = F.when(fraction.isNotNull(), F.concat(number_words(whole), F.lit(" point "), digit_words(fraction))).when(F.length(whole) > 9, digit_words(whole)).otherwise(number_words(whole))
-    return F.concat(F.when(token.startswith("-"), F.lit("minus ")).otherwise(F.lit("")), said)
+    return F.concat(F.when(token.startswith("-"), F.lit("minus ")).otherwise(F.lit("")), let(bare, say))
 
 
 def say_money(m: Column) -> Column:
