@@ -114,14 +114,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
                 at = np.flatnonzero(count)
                 if len(at) > FEATURES:
                     at = np.sort(at[np.argsort(-count[at], kind="stable")[:FEATURES]])
-                yield pd.DataFrame({"b": [at.astype(np.int32)], "w": [(count[at] / max(1, count.sum())).astype(np.float32)], "y": [y]})
+                yield pd.DataFrame({"b": [at.astype("<i4").tobytes()], "w": [(count[at] / max(1, count.sum())).astype("<f4").tobytes()], "y": [y]})
 
     marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     ids = docs.select("doc_id").where("doc_id is not null").distinct().join(marked, "doc_id")
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = texts.select("text", "y").mapInPandas(make, "b array<int>, w array<float>, y int").toPandas()
-    rows = [(np.asarray(b, np.int64), np.asarray(w, np.float64), int(y)) for b, w, y in zip(got["b"], got["w"], got["y"], strict=True)]
+    got = texts.select("text", "y").mapInPandas(make, "b binary, w binary, y int").collect()
+    rows = [(np.frombuffer(r["b"], "<i4").astype(np.int64), np.frombuffer(r["w"], "<f4").astype(np.float64), r["y"]) for r in got]
     rows.sort(key=lambda r: (r[2], len(r[0]), r[0].tolist()[:50], r[1].tolist()[:50]))  # the order of arrival is chance
     return train(rows) if rows else (np.zeros(1 << BITS, np.float32), 0.0)
 
