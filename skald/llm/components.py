@@ -23,13 +23,12 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if live.isEmpty():
             break
         both = live.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")))))
-        hook = scratch.keep(both.groupBy("node").agg(F.least("node", F.min("to")).alias("root")), "hook")
-        # a root of a root, twice: chains of hooks shorten fourfold
-        for _ in range(2):
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("_next")).where("root <> _next")
-            longer = scratch.keep(hook.join(up, "root", "left").select("node", F.coalesce("_next", "root").alias("root")), "hook")
-            scratch.drop(hook)
-            hook = longer
+        first = scratch.keep(both.groupBy("node").agg(F.least("node", F.min("to")).alias("root")), "hook")
+        # a root's root, twice: chains of hooks shorten
+        up = first.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_up"))
+        once = first.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"))
+        hook = scratch.keep(once.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")), "hook")
+        scratch.drop(first)
         maps.append(hook)
         to = lambda c: hook.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
         short = live.join(to("a"), "a").join(to("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).where("a <> b").distinct()
