@@ -29,9 +29,10 @@ SIMILARITY = 0.8
 BINS = 9
 PAIRWISE = 32
 #: Rounds of centres for the components of a large band, before all that is left outside its largest is compared.
-STARS = 3
+STARS = 1
 #: 64-bit words of a bitmap.
 WORDS = 8
+SIGMAS = 3.5
 #: Lines y = mx + b and x = c of the affine plane of order 3.
 BANDS = [[3 * x + (m * x + b) % 3 for x in range(3)] for m, b in product(range(3), repeat=2)] + [[3 * c + y for y in range(3)] for c in range(3)]
 
@@ -84,7 +85,8 @@ def sketches(texts: DataFrame) -> DataFrame:
     """(node, size, b0..b7): the number of distinct shingles, and a bitmap of their hashes.
 
     Bitmaps of two sets differ in no more bits than the sets in elements, and sets of that similarity differ in few:
-    a pair whose bitmaps differ in more can be discarded without loss.
+    a pair whose bitmaps differ in more is discarded. Large sets share bits, so that fewer differ; a pair is discarded
+    as well if more do than are expected at the threshold and SIGMAS standard deviations.
     """
     h = texts.select("node", F.explode(_sets(F.col("line"))).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
@@ -100,8 +102,11 @@ def _may_link(x: str, y: str) -> Column:
     """Whether sketches with these prefixes leave room for the similarity."""
     differ = sum((F.bit_count(F.col(f"{x}b{k}").bitwiseXOR(F.col(f"{y}b{k}"))) for k in range(1, WORDS)), F.bit_count(F.col(f"{x}b0").bitwiseXOR(F.col(f"{y}b0"))))
     a, b = F.col(f"{x}size"), F.col(f"{y}size")
-    room = F.floor((1 - SIMILARITY) / (1 + SIMILARITY) * (a + b) + 1e-6)
-    return (F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6) & (differ <= room)
+    room = (1 - SIMILARITY) / (1 + SIMILARITY) * (a + b)
+    # bits expected to differ at the threshold, where the elements in common leave them free
+    bits = float(64 * WORDS)
+    expected = bits * F.exp((room - a - b) / (2 * bits)) * (1 - F.exp(-room / bits))
+    return (F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6) & (differ <= F.least(room + 1e-6, expected + SIGMAS * F.sqrt(expected) + 1))
 
 
 def bands(sigs: DataFrame) -> DataFrame:
@@ -176,7 +181,8 @@ def _more(edges: DataFrame, comp: DataFrame, pairs: DataFrame, texts: DataFrame,
     found = scratch.keep(verify(pairs, texts), "links")
     if found.isEmpty():
         return edges, comp
-    edges = edges.union(found)
+    # components so far are stars: nothing found before needs to be linked again
+    edges = comp.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
     return edges, components(edges, scratch)
 
 
