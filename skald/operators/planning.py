@@ -182,7 +182,7 @@ def pacing(by: str, order: str, seconds: float) -> Column:
 def progress(df: DataFrame, by: str, order: str, elapsed: Column) -> DataFrame:
     w = Window.partitionBy(by)
     done, n = F.row_number().over(w.orderBy(order)), F.count(F.lit(1)).over(w)
-    return df.withColumns({"percent": F.round(done / n * 90.0, 4), "eta": F.round((n - done) * elapsed / done, 4)})
+    return df.withColumns({"percent": done / n * 90.0, "eta": (n - done) * elapsed / done})
 
 
 # failures

@@ -181,7 +181,7 @@ def w9(spark, d):
     return synth(spark, d).select("chunk_id", "run_id", P.pacing("run_id", "chunk_id", 4.0).alias("send_at"))
 
 
-@query("w10_progress_eta", f"with {duck(S)}, w as (select *, row_number() over (partition by run_id order by chunk_id) done, count(*) over (partition by run_id) n from v_synth) select chunk_id, run_id, round(done / n * 90.0, 4) percent, round((n - done) * duration_seconds / done, 4) eta from w")
+@query("w10_progress_eta", f"with {duck(S)}, w as (select *, row_number() over (partition by run_id order by chunk_id) done, count(*) over (partition by run_id) n from v_synth) select chunk_id, run_id, done / n * 90.0 percent, (n - done) * duration_seconds / done eta from w")
 def w10(spark, d):
     return P.progress(synth(spark, d), "run_id", "chunk_id", F.col("duration_seconds")).select("chunk_id", "run_id", "percent", "eta")
 

@@ -295,12 +295,18 @@ def words_sql(n: str) -> str:
     return f"(case when {n} < 1000 then (select s from w where w.n = {n}) else (select s from w where w.n = {n} // 1000) || ' thousand' || case when {n} % 1000 > 0 then ' ' || (select s from w where w.n = {n} % 1000) else '' end end)"
 
 
+def year_sql(y: str) -> str:
+    pair = f"{words_sql(f'({y} // 100)')} || ' ' || case when {y} % 100 = 0 then 'hundred' else replace({words_sql(f'({y} % 100)')}, '-', ' ') end"
+    return f"case when {y} between 1000 and 1999 or {y} between 2010 and 2099 then {pair} else {words_sql(y)} end"
+
+
 N = "with " + duck("v_numeric") + W999 + f""", o as (select o_orderkey k, cast(floor(o_totalprice) as bigint) price, o_orderkey % 100 cents, o_orderkey % 40 pct, o_orderkey % 12 + 1 hh, o_orderkey % 60 mi, o_orderkey % 90 km,
  year(o_orderdate) y, month(o_orderdate) mo, day(o_orderdate) dd from orders),
 x as (select k, {words_sql('k')} key_w, {words_sql('price')} || ' dollars and ' || {ONES_SQL}[cents // 10 + 1] || ' ' || {ONES_SQL}[cents % 10 + 1] || ' cents' money_w, {words_sql('pct')} || ' percent' pct_w,
  {words_sql('hh')} || ' ' || case when mi = 0 then 'o''clock' when mi < 10 then 'zero ' || {ONES_SQL}[mi + 1] else {words_sql('mi')} end time_w, {words_sql('km')} || ' kilometers' km_w,
- case when y between 2000 and 2009 then {words_sql('y')} else {words_sql('y // 100')} || ' ' || case when y % 100 = 0 then 'hundred' else replace({words_sql('y % 100')}, '-', ' ') end end year_w,
- ['{"','".join(X.MONTHS)}'][mo] || ' ' || {ORD_SQL}[dd + 1] date_w from o)"""
+ {year_sql('y')} year_w,
+ ['{"','".join(X.MONTHS)}'][mo] || ' ' || {ORD_SQL}[dd + 1] date_w from o),
+spoken as (select k, case when k between 1800 and 2099 then {year_sql('k')} else {words_sql('k')} end order_w from o)"""
 
 
 @query("n1_number_to_words", N + " select k, key_w as said, case when k = 0 then key_w else 'minus ' || key_w end minus_said from x")
@@ -337,7 +343,7 @@ query("n6_normalize_time", N + " select script_id, replace(script_text, ' ' || h
 query("n7_normalize_measure", N + " select script_id, replace(script_text, ' ' || km || ' km', ' ' || km_w) said from v_numeric join x on k = script_id join o using (k)")(one_pass("measure"))
 query("n8_normalize_dates", N + r" select script_id, regexp_replace(script_text, ' of .* cost', ' of ' || date_w || ', ' || year_w || ' cost') said from v_numeric join x on k = script_id join o using (k)")(one_pass("dates"))
 query("n10_strip_abbrev_dots", "with " + duck("v_numeric") + " select script_id, replace(script_text, 'Dr. ', 'Dr ') said from v_numeric")(one_pass("abbreviations"))
-query("n11_normalize", N + " select k script_id, 'Order ' || key_w || ' of ' || date_w || ', ' || year_w || ' cost ' || money_w || ' less ' || pct_w || ' at ' || time_w || ' after ' || km_w || '. Dr Harris paid in Nevada.' said from x")(lambda spark, d: numeric(spark, d).select("script_id", X.normalise(F.col("script_text")).alias("said")))
+query("n11_normalize", N + " select k script_id, 'Order ' || order_w || ' of ' || date_w || ', ' || year_w || ' cost ' || money_w || ' less ' || pct_w || ' at ' || time_w || ' after ' || km_w || '. Dr Harris paid in Nevada.' said from x join spoken using (k)")(lambda spark, d: numeric(spark, d).select("script_id", X.normalise(F.col("script_text")).alias("said")))
 
 SPEAK = "url"
 for _a, _b in X.URL_WORDS:
