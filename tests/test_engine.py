@@ -81,7 +81,7 @@ def test_hard_split(spark):
 @pytest.mark.parametrize(
     "sentence, emotion, dialogue, name",
     [
-        ("Maria whispered the secret.", "WHISPER", True, "Maria"), ("He laughed loudly.", "HAPPY", False, ""), ("Stop!", "FEAR", False, ""), ("Great!", "EXCITED", False, ""), ("Where is it?", "MYSTERIOUS", False, ""),
+        ("Maria whispered the secret.", "WHISPER", True, "Maria"), ("He laughed loudly.", "HAPPY", True, "He"), ("Stop!", "FEAR", False, ""), ("Great!", "EXCITED", False, ""), ("Where is it?", "MYSTERIOUS", False, ""),
         ("“Go on” it read.", "NEUTRAL", True, ""), ("সে ফিসফিস করে বলল।", "WHISPER", True, ""), ("হঠাৎ আলো নিভে গেল।", "SURPRISE", False, ""), ("A quiet day.", "NEUTRAL", False, ""),
     ],
 )
