@@ -14,18 +14,23 @@ a null page_id counts as smaller than any. Empty tables give empty archives and
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from skald.llm.common import Scratch
+
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 #: Payloads from this size on are stored once and revisited.
 REVISIT_BYTES = 0
 #: Records in an archive; bounds what one task holds.
 ARCHIVE_RECORDS = 1500
+#: Repeated digests that are broadcast at most, about 100 bytes each.
+BROADCAST = 200_000
 RFC4648 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -42,14 +47,19 @@ def _urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in cut)), F.lit(">"))
 
 
-def captures(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``pages`` as captures: page_id, url, payload, digest, bytes, id (of the response record), refers_to, refers_id."""
+def captures(pages: DataFrame, scratch: Scratch, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """``pages`` as captures: page_id, url, payload, digest, bytes, id (of the response record), refers_to, refers_id.
+
+    Payloads that occur once need no partner, so only repeated digests are joined: broadcast while there are at most
+    ``BROADCAST``, which leaves the payloads unshuffled, and by shuffle beyond.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     key = rows.select("digest", "page_id", "url", "bytes").where(F.col("bytes") >= revisit_bytes)
     # the url breaks ties between rows of one page_id
-    first = key.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first"))
-    out = rows.join(first, "digest", "left")
+    group = key.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = scratch.keep(group.where("n > 1").drop("n"), "repeated")
+    out = rows.join(F.broadcast(first) if first.count() <= BROADCAST else first, "digest", "left")
     identity = lambda page, url: _urn(F.lit("response"), page.alias("p"), url.alias("u"), F.col("digest"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return out.select(
@@ -108,8 +118,10 @@ RECORD = (
 )
 
 
-def parse(archive: bytes) -> Iterator[dict]:
+def parse(archive: bytes, payload: bool = True) -> Iterator[dict]:
     """The records of one archive; digest and size of a payload that is there are taken from its bytes."""
+    if archive[:2] == b"\x1f\x8b":
+        archive = gzip.decompress(archive)
     at = 0
     while at < len(archive):
         end = archive.index(b"\r\n\r\n", at)
@@ -124,7 +136,7 @@ def parse(archive: bytes) -> Iterator[dict]:
         if kind in ("response", "revisit"):
             http, _, body = block.partition(b"\r\n\r\n")
             if kind == "response":
-                out |= {"payload": body.decode("utf-8"), "payload_bytes": len(body), "payload_digest": base64.b32encode(hashlib.sha1(body).digest()).decode()}
+                out |= {"payload": body.decode("utf-8") if payload else None, "payload_bytes": len(body), "payload_digest": base64.b32encode(hashlib.sha1(body).digest()).decode()}
             else:  # a revisit has the headers of the full response
                 length = next(x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
                 out |= {"payload_bytes": int(length), "payload_digest": head["warc-payload-digest"].removeprefix("sha1:")}
@@ -141,9 +153,7 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                rows = []
-                for r in parse(content):
-                    rows.append(r if payload else r | {"payload": None})
+                rows = list(parse(content, payload))
                 if rows:
                     out = pd.DataFrame(rows)
                     out["payload_bytes"] = out["payload_bytes"].astype("Int64")

@@ -4,6 +4,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from skald.llm import warc
+from skald.llm.common import Scratch
 
 ROWS = [
     (1, "http://a.example/x?y#z", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), (2, "https://b.example", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), (3, None, None), (4, "http://c.example/", ""),
@@ -14,7 +15,7 @@ ROWS = [
 def round_trip(spark, tmp_path, rows):
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
     path = str(tmp_path / "w")
-    warc.write(warc.captures(df), path)
+    warc.write(warc.captures(df, Scratch(spark, "t")), path)
     return warc.assemble(warc.read(spark, path)).collect(), path
 
 
@@ -46,7 +47,7 @@ def test_revisit_names_response(spark, tmp_path):
 
 def test_no_rows(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
-    warc.write(warc.captures(df), str(tmp_path / "w"))
+    warc.write(warc.captures(df, Scratch(spark, "t")), str(tmp_path / "w"))
     assert warc.assemble(warc.read(spark, str(tmp_path / "w"))).collect() == []
 
 
