@@ -64,7 +64,9 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op1")
     path = scratch.path("archives")
     warc.write(warc.captures(table(spark, sf_dir, "pages"), scratch), path)
-    found = warc.assemble(scratch.keep(warc.read(spark, path, payload=False), "records"))
+    records = scratch.keep(warc.read(spark, path, payload=False), "records")
+    scratch.remove(path)
+    found = warc.assemble(records)
     number = lambda name: F.expr(f"try_cast(nullif(metadata.fields['{name}'], '') as bigint)")
     return found.select(
         number("pageId").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),

@@ -142,7 +142,7 @@ def parse(archive: bytes, payload: bool = True) -> Iterator[dict]:
                 out |= {"payload_bytes": int(length), "payload_digest": head["warc-payload-digest"].removeprefix("sha1:")}
         elif kind == "metadata":
             out["fields"] = {k: v.strip() for k, _, v in (x.partition(":") for x in block.decode("utf-8").split("\r\n") if x)}
-        else:
+        elif payload:
             out["payload"] = block.decode("utf-8")
         yield out
 
