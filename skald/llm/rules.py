@@ -73,6 +73,11 @@ def occurrences(text: Column, chars: str) -> Column:
     return (len(chars) * F.octet_length(text) - left).cast("long")
 
 
+def capitals(text: Column) -> Column:
+    """How many of A-Z a text holds."""
+    return (F.octet_length(text) - F.octet_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long")
+
+
 def measures(text: Column, w: Column) -> dict[str, Column]:
     """The measurements, by name. ``w``: the words of ``text``."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \t-\r]"))
@@ -84,6 +89,7 @@ def measures(text: Column, w: Column) -> dict[str, Column]:
         "n_repeat_words": repeat_words(w),
         "n_lines": F.size(F.split(text, "\n")).cast("long"),
         "n_shouts": occurrences(text, "!"),
+        "n_upper": capitals(text),
     }
 
 
@@ -101,8 +107,9 @@ RULES = (
     Rule("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule("symbols", "5 * n_symbols > n_words"),
     Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
-    Rule("shouting", "2 * n_shouts > n_words"),
+    Rule("exclamations", "2 * n_shouts > n_words"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
+    Rule("shouting", "2 * n_upper > word_chars"),
 )
 BIT = {r.name: 1 << i for i, r in enumerate(RULES)}
 
@@ -120,7 +127,8 @@ class Policy:
 
 
 BASE = Policy("base", ("too_short", "repeated_windows"))
-STRICT = Policy("strict-1", ("too_short", "repeated_windows", "symbols", "duplicate_lines", "shouting", "word_length"))
+#: strict-1 had no rule against capitals: its "shouting" was what is now "exclamations".
+STRICT = Policy("strict-2", ("too_short", "repeated_windows", "symbols", "duplicate_lines", "exclamations", "word_length", "shouting"))
 
 
 def ledger(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -80,3 +80,13 @@ def test_ablation(spark):
     led = spark.range(64).select(F.col("id").alias("doc_id"), F.col("id").alias("failed_bits"))
     got = {r.rule: r for r in rules.ablation(led, rules.BASE).collect()}
     assert got["too_short"].n_failed == 32 and got["too_short"].n_only == 16 and got["too_short"].n_kept_without == 32 and got["too_short"].n_docs == 64
+
+
+def test_capitals_are_shouting(spark):
+    low = " ".join(f"{a}{b}word" for a in "abcdefgh" for b in "abcdefgh")
+    rows = [(1, low), (2, low.upper()), (3, low.replace(" ", "! ")), (4, low.replace("word", "WORD")), (5, low.replace("word", "WOrd")), (6, "é" * 9 + "É" * 200)]
+    led = rules.ledger(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_upper, r.kept, {n for n, b in rules.BIT.items() if r.failed_bits & b}) for r in rules.apply_policy(led, rules.STRICT).collect()}
+    assert got[1] == (0, True, set()) and got[2] == (6 * 64, False, {"shouting"}) and got[3] == (0, False, {"exclamations"})
+    assert got[4] == (4 * 64, False, {"shouting"}) and got[5] == (2 * 64, True, set()) and got[6][0] == 0
+    assert rules.STRICT.version != "strict-1"
