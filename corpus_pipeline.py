@@ -31,11 +31,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id, one of rows that share it."""
+    """One document of each group of near copies: that with the smallest doc_id, nulls last, and then the least text digest.
+
+    Texts that aren't near copies all stay, whether their ids are null or shared.
+    """
     scratch = Scratch(spark, "simhash")
-    groups = simhash.near_duplicates(docs, scratch).where("component_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    stay = docs.join(groups, "doc_id", "left_anti")
-    return _documents(stay.dropDuplicates(["doc_id"]))
+    rows = simhash.near_duplicates(docs, scratch, digest=True)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")).alias("first"))
+    stay = first.select(F.struct("first.doc_id", "first.digest").alias("_row"))
+    # equal rows share id and digest: one of them is left
+    marked = docs.withColumn("_row", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest")))
+    return _documents(marked.join(stay, "_row", "left_semi").dropDuplicates(["_row"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

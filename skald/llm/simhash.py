@@ -48,15 +48,17 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for each row; the bits of the unsigned fingerprint in a signed long."""
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, fp long) for each row, and the text's digest if asked for; the bits of the unsigned fingerprint in a signed long."""
+    more = ["digest"] if digest else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fp, **{c: b[c] for c in more}})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    cols = [F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.xxhash64("text").alias(c) for c in more)]
+    return docs.select(*cols).mapInPandas(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -140,15 +142,19 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.union(keys.join(centre, ["mask", "v"]).select("a", F.col("fp").alias("b")).where("a <> b").distinct())
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``; component_id: the smallest doc_id reachable by links."""
-    rows = scratch.keep(fingerprints(docs), "fingerprints")
+def near_duplicates(docs: DataFrame, scratch: Scratch, digest: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs``; component_id: the smallest doc_id reachable by links.
+
+    With ``digest`` also that of the text and the component's root, which is never null.
+    """
+    more = ["digest", "root"] if digest else []
+    rows = scratch.keep(fingerprints(docs, digest), "fingerprints")
     distinct = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     comp = components(links(distinct.select("fp"), scratch), scratch)
     named = distinct.join(comp.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.join(least, "root").select("fp", "component_id", *more[1:])
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", *more)
 
 
 def hexadecimal(fp: Column) -> Column:

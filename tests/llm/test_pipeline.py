@@ -27,3 +27,12 @@ def test_stages(spark, tmp_path):
     assert ids(clean) == {r.doc_id for r in decontam.contamination(near, spark.read.parquet(f"{SF}/benchmark.parquet"), Scratch(spark, "t")).collect() if not r.contaminated}
     assert ids(packed) == ids(clean) and packed.count() >= clean.count()
     assert langid.reject(docs.limit(0), langid.learn(docs.limit(0))).count() == 0
+
+
+def test_near_dedup_of_null_and_shared_ids(spark):
+    word = lambda k: " ".join(f"{k}{chr(97 + i % 26)}{i}" for i in range(60))
+    a, b, c, d, e = map(word, "abcde")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, d), (None, c), (8, e), (8, e), (7, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (5, c), (3, d), (7, e)], key=str)
