@@ -4,6 +4,9 @@ Each page's containers are scored by the text they hold; a page votes for the ge
 container, Spark sums the votes per host, and every page is extracted again with its host's winning path. Two passes
 over the pages, a small aggregate between them. Votes are broadcast only while there are at most ``BROADCAST`` hosts.
 
+A container gives way to one inside it only if no good text is left outside: noise, mostly linked blocks and a div of
+its own with a single word, outside all articles, sections and cells, don't count.
+
 Null html is empty; null urls and urls without a host vote together as one host. A page that lacks its host's path
 falls back to its own best container. Equal rows give equal rows; tied paths go to the one that sorts last. Empty
 tables give empty results; other columns of the input are left alone.
@@ -13,13 +16,14 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST = 200_000
-#: A container competes if it holds this share of the page's good text; the innermost wins.
+#: A container competes if it holds this share of the page's good text; the innermost wins that leaves none of it outside.
 SHARE = 0.9
 #: Paths don't grow beyond this depth.
 DEPTH = 64
@@ -28,6 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 BARE = frozenset("nav header footer aside form button select option textarea svg iframe dialog menu head title noscript template object audio video canvas".split())
 CONTAINER = frozenset("html body main article section div td center".split())
+#: What is in one of these belongs to the article, however short.
+PART = frozenset("main article section td".split())
 #: What an opening tag closes if it is open, and what stops the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 #: Class, id and role words of what isn't the article.
@@ -129,8 +135,40 @@ class Page:
                 held[at] += max(0, len(text) - 2 * linked)
         for i in range(len(held) - 1, 0, -1):
             held[self.parent[i]] += held[i]
-        fit = [i for i in range(1, len(held)) if self.box[i] and not self.bare[i] and held[i] >= SHARE * held[0]]
-        return (fit[-1], held[fit[-1]]) if fit and held[0] else (0, 0.0)
+        # containers of that share are nested; elements are numbered in document order, so each holds a range of them
+        fit = [0, *(i for i in range(1, len(held)) if self.box[i] and not self.bare[i] and held[i] >= SHARE * held[0])]
+        end = self._ends()
+        deepest = len(fit) - 1 if held[0] else 0
+        labels: dict[tuple[int, int], int] = {}
+        for at, text, linked in self.blocks:
+            if not self.bare[at] and len(text) > 2 * linked:
+                level = bisect_left(fit, True, key=lambda c: not c <= at < end[c]) - 1  # noqa: B023
+                if level < deepest:
+                    side = self._label(at, fit[level])
+                    if side:
+                        labels[level, side] = labels.get((level, side), 0) + len(text.split())
+                    if not side or labels[level, side] > 1:
+                        deepest = level
+        return (fit[deepest], held[fit[deepest]]) if deepest else (0, 0.0)
+
+    def _ends(self) -> list[int]:
+        """For each element the number after that of the last one in it."""
+        end = [i + 1 for i in range(len(self.parent))]
+        for i in range(len(end) - 1, 0, -1):
+            end[self.parent[i]] = max(end[self.parent[i]], end[i])
+        return end
+
+    def _label(self, at: int, top: int) -> int:
+        """The outermost div below ``top`` with the element, if that may be a mere label: no heading, and in no article, section or cell; else 0."""
+        side = 0
+        while at > 0:
+            tag = self._tags[at]
+            if tag in PART or re.fullmatch("h[1-6]", tag):
+                return 0
+            if tag == "div" and at > top:
+                side = at
+            at = self.parent[at]
+        return side
 
     def text(self, path: str | None) -> str:
         """The blocks within the elements of a path, or within the page's own best container."""

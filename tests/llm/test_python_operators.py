@@ -185,3 +185,19 @@ def test_page_parts():
 
 def test_sizes_of_schema(spark):
     assert queries.op5_pii_spans(spark, SF).agg(F.sum("n_email")).first()[0] >= 0
+
+
+def test_nested_articles_are_whole(spark):
+    body = "words of a very long article " * 400
+    pages = {
+        1: (f"<body><nav>menu</nav><article><h1>Title</h1><p>The lead</p><div class='body'><p>{body}</p></div></article><footer>f</footer></body>", f"Title The lead {body}"),
+        2: (f"<body><article><section><p>Brief</p></section><section><p>{body}</p></section></article></body>", f"Brief {body}"),
+        3: (f"<body><table><tr><td>{body}</td><td>Small</td></tr></table></body>", f"{body} Small"),
+        4: (f"<body><h1>Title</h1><div class='body'><p>{body}</p></div><div class='ad'>buy this now</div></body>", f"Title {body}"),
+        5: (f"<body><div class='top'>A short lead</div><div class='body'><p>{body}</p></div><p><a href='x'>read more</a></p></body>", f"A short lead {body} read more"),
+        6: (f"<body><div class='x'><a href='y'>all of it linked</a></div><div class='body'><div>{body}</div></div></body>", body),
+    }
+    rows = [(i, f"http://h{i}.example/", source) for i, (source, _) in pages.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in consensus.extract(df, consensus.votes(df)).collect():
+        assert r.text == " ".join(pages[r.page_id][1].split()), r.page_id
