@@ -3,30 +3,30 @@
 Words and their character n-grams are hashed to learned vectors; a document is the average of its vectors, and a
 softmax over it gives the class. Training is minibatch stochastic gradient descent in numpy on a bounded sample of
 labelled rows (``SAMPLE``, those with the least hash of the doc_id); features of the sample are made in Spark tasks
-from whole texts. As the output is linear in the average, scoring needs one learned number for each bucket: the
+from whole texts, and all of them are learned from: the driver keeps them in mapped files. As the output is linear in the average, scoring needs one learned number for each bucket: the
 broadcast is 2^BITS floats, and whole texts are scored in Arrow batches.
 
 Null and empty texts have no features and score by the bias alone. Labels that are null or on no document teach
-nothing; labels of one document that differ count once each. Equal texts get equal scores. With nothing to learn from,
+nothing; labels of one document that differ count once each, equal texts with the same label once in all. Equal texts get equal scores. With nothing to learn from,
 the score is 0.5.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from skald.llm.common import Scratch
 from skald.llm.ngrams import PIECE, crc_mod
 
 BITS = 16
 DIMENSION = 16
 #: Labelled rows that a model learns from, at most.
 SAMPLE = 4000
-#: Features of a learning row, at most: its commonest; bounds what the driver holds to SAMPLE x FEATURES x 8 bytes.
-FEATURES = 3000
 EPOCHS = 12
 BATCH = 32
 RATE = 0.5
@@ -107,23 +107,36 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for text, y in zip(b["text"], b["y"], strict=True):
+            for text, digest, y in zip(b["text"], b["digest"], b["y"], strict=True):
                 count = np.zeros(1 << BITS, np.int64)
                 for f in features(text):
                     count += np.bincount(f, minlength=1 << BITS)
                 at = np.flatnonzero(count)
-                if len(at) > FEATURES:
-                    at = np.sort(at[np.argsort(-count[at], kind="stable")[:FEATURES]])
-                yield pd.DataFrame({"b": [at.astype("<i4").tobytes()], "w": [(count[at] / max(1, count.sum())).astype("<f4").tobytes()], "y": [y]})
+                yield pd.DataFrame({"digest": [digest], "b": [at.astype("<u2").tobytes()], "w": [(count[at] / max(1, count.sum())).astype("<f4").tobytes()], "y": [y]})
 
     marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(marked, "doc_id")
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = texts.select("text", "y").mapInPandas(make, "b binary, w binary, y int").collect()
-    rows = [(np.frombuffer(r["b"], "<i4").astype(np.int64), np.frombuffer(r["w"], "<f4").astype(np.float64), r["y"]) for r in got]
-    rows.sort(key=lambda r: (r[2], len(r[0]), r[0].tolist()[:50], r[1].tolist()[:50]))  # the order of arrival is chance
-    return train(rows) if rows else (np.zeros(1 << BITS, np.float32), 0.0)
+    named = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"))
+    ids = named.select("doc_id", "digest").join(marked, "doc_id").groupBy("digest", "y").agg(F.min("doc_id").alias("doc_id"))
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "digest", "y").limit(SAMPLE)
+    texts = named.join(F.broadcast(chosen), ["doc_id", "digest"]).dropDuplicates(["digest", "y"])
+    scratch = Scratch(docs.sparkSession, "quality")
+    made = scratch.keep(texts.select("text", "digest", "y").mapInPandas(make, "digest long, b binary, w binary, y int"), "features")
+    with tempfile.TemporaryFile() as buckets, tempfile.TemporaryFile() as weights:
+        at, places = 1, []
+        buckets.write(bytes(2))  # nothing can't be mapped
+        weights.write(bytes(4))
+        for r in made.toLocalIterator():
+            buckets.write(r["b"])
+            weights.write(r["w"])
+            places.append((r["digest"], r["y"], at, at + len(r["b"]) // 2))
+            at = places[-1][-1]
+        scratch.drop(made)
+        if not places:
+            return np.zeros(1 << BITS, np.float32), 0.0
+        buckets.flush()
+        weights.flush()
+        b, w = np.asarray(np.memmap(buckets, "<u2", "r")), np.asarray(np.memmap(weights, "<f4", "r"))
+        return train([(b[i:j], w[i:j], y) for _, y, i, j in sorted(places)])  # the order of arrival is chance
 
 
 def score(text: str | None, weight: np.ndarray, bias: float) -> float:

@@ -201,3 +201,21 @@ def test_nested_articles_are_whole(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     for r in consensus.extract(df, consensus.votes(df)).collect():
         assert r.text == " ".join(pages[r.page_id][1].split()), r.page_id
+
+
+def test_quality_learns_from_whole_texts_and_bounded_rows(spark, monkeypatch):
+    long = " ".join(f"{a}{b}{c}{a}" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop" for c in "abcdefghijklmnop")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append([(b.copy(), w.copy(), y) for b, w, y in rows]))
+    docs = spark.createDataFrame([(1, long), (1, long), (2, long), (3, ""), *((4, f"text {i}") for i in range(20))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)] + [(1, 0)], "doc_id long, quality int")
+    quality.learn(docs, labels)
+    rows = seen.pop()
+    assert len(rows) == 23 and sum(len(b) > 3000 for b, *_ in rows) == 2
+    buckets, counts = np.unique(np.concatenate(list(quality.features(long))), return_counts=True)
+    for b, w, _ in rows:
+        assert abs(w.sum() - 1) < 1e-4 or not len(b)
+        assert len(b) < 3000 or ((b == buckets).all() and np.allclose(w, counts / counts.sum()))
+    monkeypatch.setattr(quality, "SAMPLE", 5)
+    quality.learn(docs, labels)
+    assert len(seen.pop()) == 5
