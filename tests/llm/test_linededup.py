@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skald.llm import linededup
 from skald.llm.common import Scratch
@@ -73,3 +74,28 @@ def test_against_brute_force(spark, monkeypatch, pairwise):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.dedup(df, Scratch(spark, "t")).collect() == []
+
+
+def test_one_character_edits_of_short_lines(spark):
+    rng = random.Random(8)
+    five = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
+    near = lambda a, b: len(five(a) & five(b)) / len(five(a) | five(b)) >= 0.8
+    rows, want = [], set()
+    for n in range(30, 81):
+        line = "".join(rng.choice("abcdefghij klmnop") for _ in range(n - 2))
+        line = f"x{line}y"
+        at = rng.randrange(8, n - 8)
+        copy = line[:at] + "7" + line[at + 1 :]
+        rows += [(n, line), (1000 + n, copy)]
+        want |= {1000 + n} if near(line, copy) else set()
+    assert {1000 + n for n in range(49, 81)} <= want
+    got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert {r.doc_id for r in got if r.removed_lines} == want
+
+
+def test_bitmaps_discard_only_for_certain(spark):
+    """Two sets of 1,000 with a similarity of 0.8 may differ in 222 elements, and in as many bits."""
+    sketch = lambda p, ones: [F.lit(1000).alias(f"{p}size"), *(F.lit(-1 if k < ones else 0).cast("long").alias(f"{p}b{k}") for k in range(linededup.WORDS))]
+    for ones, may in ((1, True), (3, True), (4, False)):
+        row = spark.range(1).select(*sketch("x_", ones), *sketch("y_", 0))
+        assert row.select(linededup._may_link("x_", "y_")).first()[0] == may
