@@ -71,11 +71,11 @@ SYNTH = "event_id long, ts timestamp_ntz, user_id long, event_type string, value
 @query("x2_stream_dedup_chunks")
 def x2(spark, d) -> DataFrame:
     e = jobs.events_stream(spark, f"{d}/events.parquet*", SYNTH).select("ts", F.concat_ws("-", "user_id", "event_type").alias("key"), "event_id")
-    return jobs.drain(jobs.dedup_chunks(e, "365 days"), f"x2_{uuid.uuid4().hex}", workspace(spark, "x2")).select("key", "event_id")
+    return jobs.drain(jobs.dedup_chunks(e, "365 days"), workspace(spark, "x2_out"), workspace(spark, "x2")).select("key", "event_id")
 
 
 @query("x3_stream_progress")
 def x3(spark, d) -> DataFrame:
     e = jobs.events_stream(spark, f"{d}/events.parquet*", SYNTH).select("ts", F.col("user_id").alias("run_id"), F.col("event_id").alias("chunk_id"), F.col("event_type").alias("status"))
-    out = jobs.drain(jobs.run_progress(e), f"x3_{uuid.uuid4().hex}", workspace(spark, "x3"), mode="append")
+    out = jobs.latest(jobs.drain(jobs.run_progress(e), workspace(spark, "x3_out"), workspace(spark, "x3"), mode="update"), "window", "run_id")
     return out.select(F.col("window.start").alias("start"), "run_id", "n", F.col("last.chunk_id").alias("chunk_id"), F.col("last.status").alias("status"))

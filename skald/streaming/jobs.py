@@ -52,9 +52,19 @@ def run_progress(events: DataFrame, delay: str = "10 minutes", width: str = "1 h
     return w.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("ts", "chunk_id", "status")).alias("last"))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "append") -> DataFrame:
-    """All that a stream gives for the rows at hand, as the table of a memory sink."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that a stream gives for the rows at hand, as Parquet in a shared folder, read back with its ``batch``; a batch that is repeated replaces itself."""
+    spark = stream.sparkSession
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(add).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")  # a stream without rows has no batches
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(path)
+
+
+def latest(states: DataFrame, *keys: str) -> DataFrame:
+    """Of rows that update mode gave, the last of each key: also of windows that the watermark hasn't closed."""
+    rest = [c for c in states.columns if c not in (*keys, "batch")]
+    return states.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_s")).select(*keys, "_s.*")
