@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -26,12 +25,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 class Scratch:
@@ -76,3 +71,23 @@ def words(text: Column, separators: str) -> Column:
     empty = F.array().cast("array<string>")
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(separators))
     return let(trimmed, lambda t: F.when(t == "", empty).otherwise(F.split(t, run)))
+
+
+#: Bits of a membership filter: a table of 2 MB, whatever it is made of.
+FILTER_BITS = 24
+
+
+def maybe(keys: DataFrame, name: str, scratch: Scratch) -> Callable[[Column], Column]:
+    """A test that holds for all of ``keys``' hashes ``name`` and for few others, to be made before a join shuffles.
+
+    The hashes' low bits are marked in one array of fixed size, a scalar subquery of the plan that uses it.
+    """
+    words = 1 << (FILTER_BITS - 6)
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(words - 1).cast("int")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    h = F.col(name)
+    marks = keys.groupBy(word(h).alias("word")).agg(F.bit_or(bit(h)).alias("bits"))
+    every = scratch.spark.range(words).select(F.col("id").cast("int").alias("word")).join(marks, "word", "left")
+    rows = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    table = scratch.keep(every.agg(rows.alias("rows")).select(F.col("rows.bits").alias("bits")), "filter").scalar()
+    return lambda at: F.get(table, word(at)).bitwiseAND(bit(at)) != 0

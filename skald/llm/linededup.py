@@ -1,42 +1,45 @@
 """Fuzzy line dedup by MinHash.
 
 Lines are the \\n-separated parts of a text with a character that isn't white space. Equal lines are one node. A node's
-signature holds the least hash of its character shingles in each of sixteen residue classes (one-permutation MinHash);
-an empty class takes that of the next. The twenty lines of the affine plane of order 4 over the classes are the bands:
-a pair that differs in up to six classes always shares a band, and the recall at the threshold is above 0.99 in
-simulation. Shingles are short, as a changed character changes all shingles over it: at five characters and the
-threshold, lines from 49 characters on are linked to a copy with one other character. Candidates of a band are verified by exact Jaccard similarity of their shingle sets, linked by distributed
-union-find, and of each component the line that comes first by (doc_id, line) stays.
-
-Small bands are compared pairwise. Members of a large band are compared with a centre, then those of components left
-out with centres of their own, and at last all outside the band's largest component with all others: no link is lost,
-and a group of near copies isn't expanded into its pairs.
+signature holds the least hash of its long character shingles (``LONG``) in each of 24 residue classes (one-permutation
+MinHash); an empty class takes that of the next. Triples of classes are the bands, and a pair of a band is a candidate
+if it also agrees in most of 21 short lanes of the signature. Candidates are verified by exact Jaccard similarity of
+their short shingles (``SHINGLE``), linked by distributed union-find, and of each component the line that comes first by
+(doc_id, line) stays. Short shingles let short lines with a changed character be linked; long ones keep unrelated lines
+out of each other's bands. Lines at the threshold have a similarity of 0.67 or more in long shingles, at which bands and
+lanes together find 0.978 of them, and 0.99 at 0.7.
+
+Bands of up to ``PAIRWISE`` nodes are compared pairwise. Members of a larger band are compared with its centre, the
+member with most company in such bands, and then all that is outside the band's largest component with all other
+components, as far as odd sketches of their shingles leave room for the similarity: no link of a band is lost, and a
+group of near copies isn't expanded into its pairs.
 
 Null texts have no lines and stay null; repeated rows and ids with several texts are told apart by the text's digest,
-equal rows get equal results; null ids sort first. Empty tables give empty results.
+equal rows get equal results; null ids sort first. A text of any length is cut into its lines, and a line of any length
+is one row. Empty tables give empty results. Lines are named by their 64-bit hash, texts by theirs.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skald.llm.common import Scratch, let
+from skald.llm.common import Scratch, let, maybe
 from skald.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BINS = 16
-PAIRWISE = 32
-#: Rounds of centres for the components of a large band, before all that is left outside its largest is compared.
-STARS = 1
-#: 64-bit words of a bitmap.
+#: Characters of the shingles that signatures are made of.
+LONG = 8
+CLASSES = 24
+#: Two triples share one class at most.
+BANDS = [[i, i + 8, i + 16] for i in range(8)] + [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(6)]
+#: Three-bit lanes of a signature in a long, and how many a candidate agrees in at least.
+LANES = 21
+AGREE = 8
+LANE_ENDS = sum(1 << 3 * k for k in range(LANES))
+PAIRWISE = 8
+#: 64-bit words of a sketch.
 WORDS = 8
-#: Products in the field of four elements, whose sums are bitwise.
-TIMES = [[0, 0, 0, 0], [0, 1, 2, 3], [0, 2, 3, 1], [0, 3, 1, 2]]
-#: Lines y = mx + b and x = c of the affine plane of order 4.
-BANDS = [[4 * x + (TIMES[m][x] ^ b) for x in range(4)] for m, b in product(range(4), repeat=2)] + [[4 * c + y for y in range(4)] for c in range(4)]
 
 
 def split_lines(text: Column) -> Column:
@@ -47,22 +50,15 @@ def _has_word(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\f\r")) != ""
 
 
-def _code_points(line: Column) -> Column:
-    """UTF-32: a shingle is a byte range, found without counting characters from the start."""
-    return F.encode(line, "UTF-32")
-
-
-def _starts(b: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - 4 * SHINGLE + 1), F.lit(4))
-
-
-def _shingle(b: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE)))
+def _starts(b: Column, n: int, width: int) -> Column:
+    """Where the shingles of ``n`` characters of ``width`` bytes begin; a shorter line is one shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - width * n + 1), F.lit(width))
 
 
 def shingle_hashes(line: Column) -> Column:
-    """Hashes of the character shingles, by position; a shorter line is one shingle."""
-    return let(_code_points(line), lambda b: F.transform(_starts(b), lambda i: _shingle(b, i)))
+    """Hashes of the character shingles, by position; in UTF-32 a shingle is a byte range, found without counting characters."""
+    piece = lambda b, i: F.xxhash64(F.substring(b, i, F.lit(4 * SHINGLE)))
+    return let(F.encode(line, "UTF-32"), lambda b: F.transform(_starts(b, SHINGLE, 4), lambda i: piece(b, i)))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -72,27 +68,56 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(node, m0..m15): the least shingle hash in each residue class, null where there is none.
+    """(node, often, m0..m23): how often the line occurs, and the least shingle hash in each residue class, null where there is none.
 
     Places are exploded rather than hashed in a lambda: cutting, hashing and the partial minima are one compiled loop.
+    Shingles are of UTF-16 units, all but rare characters.
     """
     lines = F.filter(split_lines(F.col("text")), _has_word)
-    each = docs.select(F.inline(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("node"), _code_points(x).alias("b")))))
-    h = each.select("node", "b", F.explode(_starts(F.col("b"))).alias("i")).select("node", _shingle(F.col("b"), F.col("i")).alias("h"))
-    h = h.select("node", "h", F.pmod("h", F.lit(BINS)).alias("bin"))
-    return h.groupBy("node").agg(*(F.min(F.when(F.col("bin") == k, F.col("h"))).alias(f"m{k}") for k in range(BINS)))
+    each = docs.select(F.inline(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("node"), F.encode(x, "UTF-16BE").alias("b")))))
+    h = each.select("node", "b", F.explode(_starts(F.col("b"), LONG, 2)).alias("i")).select("node", "i", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * LONG))).alias("h"))
+    h = h.select("node", (F.col("i") == 1).cast("int").alias("first"), F.shiftright("h", 32).cast("int").alias("v"), F.pmod("h", F.lit(CLASSES)).alias("class"))
+    return h.groupBy("node").agg(F.sum("first").alias("often"), *(F.min(F.when(F.col("class") == k, F.col("v"))).alias(f"m{k}") for k in range(CLASSES)))
+
+
+def bands(sigs: DataFrame) -> DataFrame:
+    """(band, node, lanes, n, low, high): the members of bands of two or more, with the least and the greatest of them.
+
+    A band of two is one row, that of the least, and is left out if the two don't agree. A line that occurs more than
+    once has a band of its own, of which low and high are that line.
+    """
+    ms = [f"m{k}" for k in range(CLASSES)]
+    for step in (1, 2, 4, 8, 16):  # an empty class takes the next that isn't
+        sigs = sigs.select("node", "often", *(F.coalesce(F.col(c), F.col(ms[(k + step) % CLASSES])).alias(c) for k, c in enumerate(ms)))
+    lane = lambda k: F.call_function("shiftleft", F.col(ms[k]).bitwiseAND(7).cast("long"), F.lit(3 * k))
+    lanes = lane(0)
+    for k in range(1, LANES):
+        lanes = lanes.bitwiseOR(lane(k))
+    keys = F.array(*(F.xxhash64(F.lit(i), *(F.col(ms[k]) for k in b)) for i, b in enumerate(BANDS)))
+    own = F.xxhash64(F.lit(-1), F.col("node"))
+    rows = sigs.select("node", lanes.alias("lanes"), F.explode(F.when(F.col("often") > 1, F.concat(keys, F.array(own, own))).otherwise(keys)).alias("band")).repartition("band")
+    size = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor("lanes").alias("x"))
+    shared = size.where((F.col("n") > 2) | ((F.col("n") == 2) & _agree(F.col("x")))).drop("x").hint("shuffle_hash")
+    # the same exchange feeds both sides: nothing is shuffled or sorted again
+    return rows.join(shared, "band").where("n > 2 or node = low")
+
+
+def _agree(x: Column) -> Column:
+    """Whether two signatures agree in enough lanes; ``x``: their lanes, combined by exclusive or."""
+    differs = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(LANE_ENDS))
+    return F.bit_count(differs) <= LANES - AGREE
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(node, size, b0..b7): the number of distinct shingles, and a bitmap of their hashes.
+    """(node, size, b0..b7): the number of distinct shingles, and the odd sketch of their hashes.
 
-    Bitmaps of two sets differ in no more bits than the sets in elements, and sets of that similarity differ in few:
-    a pair whose bitmaps differ in more is discarded, and no other.
+    Each shingle flips one bit. The sketches of two sets differ in no more bits than the sets in elements, however
+    large the sets: a pair that differs in more bits than sets of that similarity in elements is discarded, and no other.
     """
     h = texts.select("node", F.explode(_sets(F.col("line"))).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
     word = F.shiftright("h", 6).bitwiseAND(WORDS - 1)
-    return h.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *(F.bit_or(F.when(word == k, bit).otherwise(0)).alias(f"b{k}") for k in range(WORDS)))
+    return h.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *(F.bit_xor(F.when(word == k, bit).otherwise(0)).alias(f"b{k}") for k in range(WORDS)))
 
 
 def _sketch(prefix: str) -> list[Column]:
@@ -107,15 +132,6 @@ def _may_link(x: str, y: str) -> Column:
     return (F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6) & (differ <= room + 1e-6)
 
 
-def bands(sigs: DataFrame) -> DataFrame:
-    """(band, node, centre, n): the bands that hold two nodes or more."""
-    full = sigs.select("node", *(F.coalesce(*(F.col(f"m{(k + i) % BINS}") for i in range(BINS))).alias(f"m{k}") for k in range(BINS)))
-    keys = [F.xxhash64(F.lit(i), *(F.col(f"m{k}") for k in b)) for i, b in enumerate(BANDS)]
-    rows = full.select("node", F.explode(F.array(*keys)).alias("band"))
-    w = Window.partitionBy("band")
-    return rows.select("band", "node", F.min("node").over(w).alias("centre"), F.count(F.lit(1)).over(w).alias("n")).where("n > 1")
-
-
 def _sets(line: Column) -> Column:
     return F.array_distinct(shingle_hashes(line))
 
@@ -123,80 +139,64 @@ def _sets(line: Column) -> Column:
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have Jaccard similarity SIMILARITY or more."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"t{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    score = let(_sets(F.col("ta")), lambda x: let(_sets(F.col("tb")), lambda y: let(F.size(F.array_intersect(x, y)), lambda i: i / (F.size(x) + F.size(y) - i))))
-    return both.where(score >= SIMILARITY).select("a", "b")
-
-
-def links(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) of the nodes that are linked to another."""
-    shared = scratch.keep(bands(signatures(docs)), "bands")
-    wanted = shared.select("node").distinct()
+    sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _sets(F.col("ta")).alias("x"), _sets(F.col("tb")).alias("y"))
+    both = sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("i"))
+    return both.where(F.col("i") / (F.col("nx") + F.col("ny") - F.col("i")) >= SIMILARITY).select("a", "b")
+
+
+def links(docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of the nodes that are linked to another. ``members``: bands(), kept as a table."""
+    pair = members.where("n = 2 and low <> high").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    small = members.where((F.col("n") > 2) & (F.col("n") <= PAIRWISE))
+    other = small.select(F.col("band").alias("_band"), F.col("node").alias("b"), F.col("lanes").alias("_lanes"))
+    near = _agree(F.col("lanes").bitwiseXOR(F.col("_lanes")))
+    pairs = pair.union(small.withColumnRenamed("node", "a").join(other, (F.col("band") == F.col("_band")) & (F.col("a") < F.col("b")) & near).select("a", "b"))
+    large = members.where(F.col("n") > PAIRWISE).select("band", "node", "lanes", "n")
+    pairs = scratch.keep(pairs.distinct(), "pairs")
+    # the member with most company is the likeliest to be near all others of a group of copies
+    company = large.groupBy("node").agg(F.sum("n").alias("company"))
+    large = scratch.keep(large.join(company, "node"), "large")
+    wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct(), "wanted")
     lines = docs.select(F.explode(split_lines(F.col("text"))).alias("line")).where(_has_word(F.col("line"))).withColumn("node", F.xxhash64("line"))
+    lines = lines.where(maybe(wanted, "node", scratch)(F.col("node")))
     texts = scratch.keep(lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    members = scratch.keep(shared.join(sketches(texts), "node"), "members")
-    scratch.drop(shared)
-    small = members.where(F.col("n") <= PAIRWISE)
-    other = small.select(F.col("band").alias("_band"), F.col("node").alias("b"), *_sketch("y_"))
-    mine = small.select("band", F.col("node").alias("a"), *_sketch("x_"))
-    pairs = mine.join(other, (F.col("band") == F.col("_band")) & (F.col("a") < F.col("b")) & _may_link("x_", "y_")).select("a", "b")
-    large = members.where(F.col("n") > PAIRWISE)
-    centres = large.where("node = centre").select(F.col("band").alias("_band"), F.col("node").alias("a"), *_sketch("y_"))
-    stars = large.join(centres, (F.col("band") == F.col("_band")) & (F.col("node") != F.col("a")) & _may_link("", "y_")).select("a", F.col("node").alias("b"))
+    if large.isEmpty():
+        return components(verify(pairs, texts), scratch)
+    most = F.max("company")
+    top = large.groupBy("band").agg(most.alias("company"))
+    centre = large.join(top, ["band", "company"]).groupBy("band").agg(F.min("node").alias("a"))
+    centre = centre.join(large.select("band", F.col("node").alias("a"), F.col("lanes").alias("_lanes")), ["band", "a"]).withColumnRenamed("band", "_band")
+    stars = large.join(centre, (F.col("band") == F.col("_band")) & (F.col("node") != F.col("a")) & near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     edges = scratch.keep(verify(pairs.union(stars).distinct(), texts), "links")
     comp = components(edges, scratch)
-    if large.isEmpty():
-        return comp
-    # a component of the band that nobody of has been a centre yet sends its least member to be compared with the others
-    left = scratch.keep(large.select("band", "node", *_sketch("")), "large")
-    seen = large.select("band", F.col("centre").alias("node")).distinct()
-    rooted = lambda: left.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def meet(these: DataFrame, those: DataFrame) -> DataFrame:
-        """Pairs of a band that are in different components and may be linked."""
-        asked = these.select(F.col("band").alias("_band"), F.col("node").alias("a"), F.col("root").alias("ra"), *_sketch("y_"))
-        return those.join(asked, (F.col("band") == F.col("_band")) & (F.col("root") != F.col("ra")) & _may_link("", "y_")).select("a", "node")
-
-    for _ in range(STARS):
-        named = rooted()
-        asked = named.join(seen, ["band", "node"], "left_semi").select("band", "root").distinct()
-        fresh = named.join(asked, ["band", "root"], "left_anti").groupBy("band").agg(F.min("node").alias("node"))
-        fresh = scratch.keep(fresh, "centre")
-        if fresh.isEmpty():
-            break
-        seen = scratch.keep(seen.union(fresh), "centres")
-        edges, comp = _more(edges, comp, meet(named.join(fresh, ["band", "node"], "left_semi"), named), texts, scratch)
     # whatever is outside a band's largest component is compared with all members of other components
-    named = rooted()
-    most = named.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("most"))
-    rest = named.join(most, "band").where("root <> most")
-    return _more(edges, comp, meet(rest, named), texts, scratch)[1]
-
-
-def _more(edges: DataFrame, comp: DataFrame, pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Edges and components after the verified of ``pairs``, (a, node)."""
-    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    found = scratch.keep(verify(pairs, texts), "links")
+    drawn = scratch.keep(sketches(texts.join(large.select("node").distinct(), "node", "left_semi")), "sketches")
+    named = large.select("band", "node", "lanes").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = scratch.keep(named.join(drawn, "node"), "named")
+    sizes = named.groupBy("band", "root").count()
+    main = sizes.groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
+    rest = named.join(main, "band").where("root <> main")
+    asked = rest.select(F.col("band").alias("_band"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("lanes").alias("_lanes"), *_sketch("y_"))
+    met = named.join(asked, (F.col("band") == F.col("_band")) & (F.col("root") != F.col("ra")) & near & _may_link("", "y_"))
+    found = scratch.keep(verify(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), texts), "links")
     if found.isEmpty():
-        return edges, comp
+        return comp
     # components so far are stars: nothing found before needs to be linked again
-    edges = comp.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
-    return edges, components(edges, scratch)
+    return components(comp.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), scratch)
 
 
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, digest, removed): for texts with duplicate lines, the array of (no, keep_doc_id, keep_no) that go."""
-    all_lines = occurrences(docs)
+    members = scratch.keep(bands(signatures(docs)), "bands")
+    comp = links(docs, members, scratch)
+    again = members.where("low = high").select("node").distinct().join(comp.select("node"), "node", "left_anti")
+    classes = scratch.keep(comp.select("node", "root").union(again.select("node", F.col("node").alias("root"))), "classes")
+    lines = occurrences(docs).where(maybe(classes, "node", scratch)(F.col("node")))
+    named = scratch.keep(lines.join(classes, "node").select("root", "doc_id", "digest", "no"), "named")
     place = F.struct("doc_id", "no", "digest")
-    exact = scratch.keep(all_lines.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")), "nodes")
-    comp = links(docs, scratch)
-    repeated = exact.join(comp, "node", "left").where("root is not null or first <> last")
-    named = scratch.keep(repeated.select("node", F.coalesce("root", "node").alias("root"), "first"), "named")
-    keep = named.groupBy("root").agg(F.min("first").alias("keep"))
-    classes = scratch.keep(named.join(keep, "root").select("node", "keep"), "classes")
-    gone = all_lines.join(classes, "node").where(~F.struct("doc_id", "no", "digest").eqNullSafe(F.col("keep")))
-    out = gone.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_no")))).alias("removed"))
-    return out
+    keep = named.groupBy("root").agg(F.min(place).alias("keep"))
+    gone = named.join(keep, "root").where(~place.eqNullSafe(F.col("keep")))
+    return gone.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.no").alias("keep_no")))).alias("removed"))
 
 
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
