@@ -31,15 +31,17 @@ SIMILARITY = 0.8
 #: Characters of the shingles that signatures are made of.
 LONG = 8
 CLASSES = 24
+#: Hashes expected in a class: of the shingles of a long line, only so many of the least hashes are looked at.
+DEPTH = 2
 #: Two triples share one class at most.
 BANDS = [[i, i + 8, i + 16] for i in range(8)] + [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(6)]
 #: Three-bit lanes of a signature in a long, and how many a candidate agrees in at least.
 LANES = 21
-AGREE = 8
+AGREE = 9
 LANE_ENDS = sum(1 << 3 * k for k in range(LANES))
 PAIRWISE = 8
 #: 64-bit words of a sketch.
-WORDS = 8
+WORDS = 16
 
 
 def split_lines(text: Column) -> Column:
@@ -62,9 +64,9 @@ def shingle_hashes(line: Column) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, no, node): every line; node is the 64-bit hash of the line."""
+    """(doc_id, digest, no, line, node): every line; node is the 64-bit hash of the line."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(split_lines(F.col("text"))).alias("no", "line"))
-    return lines.where(_has_word(F.col("line"))).select("doc_id", "digest", "no", F.xxhash64("line").alias("node"))
+    return lines.where(_has_word(F.col("line"))).withColumn("node", F.xxhash64("line"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -75,8 +77,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     """
     lines = F.filter(split_lines(F.col("text")), _has_word)
     each = docs.select(F.inline(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("node"), F.encode(x, "UTF-16BE").alias("b")))))
-    h = each.select("node", "b", F.explode(_starts(F.col("b"), LONG, 2)).alias("i")).select("node", "i", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * LONG))).alias("h"))
-    h = h.select("node", (F.col("i") == 1).cast("int").alias("first"), F.shiftright("h", 32).cast("int").alias("v"), F.pmod("h", F.lit(CLASSES)).alias("class"))
+    limit = F.least(F.lit(2.0**31 - 1), 2.0**31 * DEPTH * CLASSES / F.greatest(F.lit(1), F.octet_length("b") / 2 - LONG + 1)).cast("int")
+    at = each.select("node", "b", limit.alias("limit"), F.explode(_starts(F.col("b"), LONG, 2)).alias("i"))
+    h = at.select("node", "i", "limit", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * LONG))).alias("h")).withColumn("v", F.shiftrightunsigned("h", 33).cast("int"))
+    h = h.where("v < limit or i = 1").select("node", (F.col("i") == 1).cast("int").alias("first"), "v", F.pmod("h", F.lit(CLASSES)).alias("class"))
     return h.groupBy("node").agg(F.sum("first").alias("often"), *(F.min(F.when(F.col("class") == k, F.col("v"))).alias(f"m{k}") for k in range(CLASSES)))
 
 
@@ -109,15 +113,17 @@ def _agree(x: Column) -> Column:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """(node, size, b0..b7): the number of distinct shingles, and the odd sketch of their hashes.
+    """(node, size, b0..b15): the number of distinct shingles, and the odd sketch of their hashes.
 
     Each shingle flips one bit. The sketches of two sets differ in no more bits than the sets in elements, however
     large the sets: a pair that differs in more bits than sets of that similarity in elements is discarded, and no other.
     """
-    h = texts.select("node", F.explode(_sets(F.col("line"))).alias("h"))
+    # dealt by node once: shingles are told apart and counted where they are made
+    lines = texts.repartition("node").select("node", F.encode("line", "UTF-32").alias("b"))
+    h = lines.select("node", "b", F.explode(_starts(F.col("b"), SHINGLE, 4)).alias("i")).select("node", F.xxhash64(F.substring("b", F.col("i"), F.lit(4 * SHINGLE))).alias("h")).distinct()
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    word = F.shiftright("h", 6).bitwiseAND(WORDS - 1)
-    return h.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *(F.bit_xor(F.when(word == k, bit).otherwise(0)).alias(f"b{k}") for k in range(WORDS)))
+    words = h.groupBy("node", F.shiftright("h", 6).bitwiseAND(WORDS - 1).alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(bit).alias("bits"))
+    return words.groupBy("node").agg(F.sum("n").alias("size"), *(F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0)).alias(f"b{k}") for k in range(WORDS)))
 
 
 def _sketch(prefix: str) -> list[Column]:
@@ -136,49 +142,56 @@ def _sets(line: Column) -> Column:
     return F.array_distinct(shingle_hashes(line))
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have Jaccard similarity SIMILARITY or more."""
+def verify(pairs: DataFrame, texts: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have Jaccard similarity SIMILARITY or more; those go first that sketches rule out."""
+    if drawn is not None:
+        sketch = lambda c: drawn.select(F.col("node").alias(c), *_sketch(f"{c}_"))
+        b = sketch("b").withColumnRenamed("b", "_b")
+        pairs = pairs.join(sketch("a"), "a").join(b, (F.col("b") == F.col("_b")) & _may_link("a_", "b_")).select("a", "b")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"t{c}"))
     sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _sets(F.col("ta")).alias("x"), _sets(F.col("tb")).alias("y"))
     both = sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("i"))
     return both.where(F.col("i") / (F.col("nx") + F.col("ny") - F.col("i")) >= SIMILARITY).select("a", "b")
 
 
-def links(docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) of the nodes that are linked to another. ``members``: bands(), kept as a table."""
+def _centres(large: DataFrame) -> DataFrame:
+    """(_band, a, _lanes): of each band the member with most company, the least of those."""
+    top = large.groupBy("band").agg(F.max("company").alias("company"))
+    least = large.join(top, ["band", "company"]).groupBy("band").agg(F.min("node").alias("node"))
+    return large.join(least, ["band", "node"]).select(F.col("band").alias("_band"), F.col("node").alias("a"), F.col("lanes").alias("_lanes"))
+
+
+def links(members: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of the nodes that are linked to another. ``members``: bands(); ``lines``: (node, line) of all of them."""
     pair = members.where("n = 2 and low <> high").select(F.col("low").alias("a"), F.col("high").alias("b"))
     small = members.where((F.col("n") > 2) & (F.col("n") <= PAIRWISE))
     other = small.select(F.col("band").alias("_band"), F.col("node").alias("b"), F.col("lanes").alias("_lanes"))
     near = _agree(F.col("lanes").bitwiseXOR(F.col("_lanes")))
     pairs = pair.union(small.withColumnRenamed("node", "a").join(other, (F.col("band") == F.col("_band")) & (F.col("a") < F.col("b")) & near).select("a", "b"))
     large = members.where(F.col("n") > PAIRWISE).select("band", "node", "lanes", "n")
-    pairs = scratch.keep(pairs.distinct(), "pairs")
     # the member with most company is the likeliest to be near all others of a group of copies
-    company = large.groupBy("node").agg(F.sum("n").alias("company"))
+    company = large.groupBy("node").agg(F.sum("n").alias("company"), F.sort_array(F.collect_list("band")).alias("bands"))  # as many as BANDS at most
     large = scratch.keep(large.join(company, "node"), "large")
-    wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct(), "wanted")
-    lines = docs.select(F.explode(split_lines(F.col("text"))).alias("line")).where(_has_word(F.col("line"))).withColumn("node", F.xxhash64("line"))
-    lines = lines.where(maybe(wanted, "node", scratch)(F.col("node")))
-    texts = scratch.keep(lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    stars = large.join(_centres(large), (F.col("band") == F.col("_band")) & (F.col("node") != F.col("a")) & near)
+    pairs = scratch.keep(pairs.union(stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    texts = scratch.keep(lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "line"), "texts")
+    drawn = scratch.keep(sketches(texts), "sketches")
+    comp = components(scratch.keep(verify(pairs, texts, drawn), "links"), scratch)
     if large.isEmpty():
-        return components(verify(pairs, texts), scratch)
-    most = F.max("company")
-    top = large.groupBy("band").agg(most.alias("company"))
-    centre = large.join(top, ["band", "company"]).groupBy("band").agg(F.min("node").alias("a"))
-    centre = centre.join(large.select("band", F.col("node").alias("a"), F.col("lanes").alias("_lanes")), ["band", "a"]).withColumnRenamed("band", "_band")
-    stars = large.join(centre, (F.col("band") == F.col("_band")) & (F.col("node") != F.col("a")) & near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    edges = scratch.keep(verify(pairs.union(stars).distinct(), texts), "links")
-    comp = components(edges, scratch)
+        return comp
     # whatever is outside a band's largest component is compared with all members of other components
-    drawn = scratch.keep(sketches(texts.join(large.select("node").distinct(), "node", "left_semi")), "sketches")
-    named = large.select("band", "node", "lanes").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = scratch.keep(named.join(drawn, "node"), "named")
+    named = large.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "node", "lanes", "bands", "root")
     sizes = named.groupBy("band", "root").count()
-    main = sizes.groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
-    rest = named.join(main, "band").where("root <> main")
-    asked = rest.select(F.col("band").alias("_band"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("lanes").alias("_lanes"), *_sketch("y_"))
-    met = named.join(asked, (F.col("band") == F.col("_band")) & (F.col("root") != F.col("ra")) & near & _may_link("", "y_"))
-    found = scratch.keep(verify(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), texts), "links")
+    main = sizes.groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    named = scratch.keep(named.join(main, "band").join(drawn, "node"), "named")
+    of = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("band", "lanes", "bands", "root", "main")]
+    rest = named.where("root <> main").select(*of("_"), F.col("node").alias("a"), *_sketch("y_"))
+    # two outsiders meet once, and a pair in the first of its bands
+    once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("a"))
+    first = F.element_at(F.array_intersect("bands", "_bands"), 1) == F.col("band")
+    met = named.join(rest, (F.col("band") == F.col("_band")) & (F.col("root") != F.col("_root")) & once & near & _may_link("", "y_") & first)
+    found = scratch.keep(verify(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")), texts), "links")
     if found.isEmpty():
         return comp
     # components so far are stars: nothing found before needs to be linked again
@@ -188,10 +201,13 @@ def links(docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
 def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, digest, removed): for texts with duplicate lines, the array of (no, keep_doc_id, keep_no) that go."""
     members = scratch.keep(bands(signatures(docs)), "bands")
-    comp = links(docs, members, scratch)
+    # lines that share no band are unlike all others
+    met = members.select("node").union(members.where("n = 2").select(F.col("high").alias("node")))
+    lines = occurrences(docs)
+    lines = scratch.keep(lines.where(maybe(met, "node", scratch)(F.col("node"))), "lines")
+    comp = links(members, lines, scratch)
     again = members.where("low = high").select("node").distinct().join(comp.select("node"), "node", "left_anti")
-    classes = scratch.keep(comp.select("node", "root").union(again.select("node", F.col("node").alias("root"))), "classes")
-    lines = occurrences(docs).where(maybe(classes, "node", scratch)(F.col("node")))
+    classes = comp.select("node", "root").union(again.select("node", F.col("node").alias("root")))
     named = scratch.keep(lines.join(classes, "node").select("root", "doc_id", "digest", "no"), "named")
     place = F.struct("doc_id", "no", "digest")
     keep = named.groupBy("root").agg(F.min(place).alias("keep"))
