@@ -38,6 +38,9 @@ BANDS = [[i, i + 8, i + 16] for i in range(8)] + [[3 * i, 3 * i + 1, 3 * i + 2]
 #: Three-bit lanes of a signature in a long, and how many a candidate agrees in at least.
 LANES = 21
 AGREE = 9
+#: The same between a centre and what is linked to it first; whoever isn't is compared with all others later.
+AGREE_CENTRE = 13
+NONE = 2**31 - 1
 LANE_ENDS = sum(1 << 3 * k for k in range(LANES))
 PAIRWISE = 8
 #: 64-bit words of a sketch.
@@ -81,7 +84,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     at = each.select("node", "b", limit.alias("limit"), F.explode(_starts(F.col("b"), LONG, 2)).alias("i"))
     h = at.select("node", "i", "limit", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * LONG))).alias("h")).withColumn("v", F.shiftrightunsigned("h", 33).cast("int"))
     h = h.where("v < limit or i = 1").select("node", (F.col("i") == 1).cast("int").alias("first"), "v", F.pmod("h", F.lit(CLASSES)).alias("class"))
-    return h.groupBy("node").agg(F.sum("first").alias("often"), *(F.min(F.when(F.col("class") == k, F.col("v"))).alias(f"m{k}") for k in range(CLASSES)))
+    return h.groupBy("node").agg(F.sum("first").alias("often"), *(F.nullif(F.min(F.when(F.col("class") == k, F.col("v")).otherwise(F.lit(NONE))), F.lit(NONE)).alias(f"m{k}") for k in range(CLASSES)))
 
 
 def bands(sigs: DataFrame) -> DataFrame:
@@ -106,10 +109,10 @@ def bands(sigs: DataFrame) -> DataFrame:
     return rows.join(shared, "band").where("n > 2 or node = low")
 
 
-def _agree(x: Column) -> Column:
+def _agree(x: Column, least: int = AGREE) -> Column:
     """Whether two signatures agree in enough lanes; ``x``: their lanes, combined by exclusive or."""
     differs = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(LANE_ENDS))
-    return F.bit_count(differs) <= LANES - AGREE
+    return F.bit_count(differs) <= LANES - least
 
 
 def sketches(texts: DataFrame) -> DataFrame:
@@ -118,12 +121,10 @@ def sketches(texts: DataFrame) -> DataFrame:
     Each shingle flips one bit. The sketches of two sets differ in no more bits than the sets in elements, however
     large the sets: a pair that differs in more bits than sets of that similarity in elements is discarded, and no other.
     """
-    # dealt by node once: shingles are told apart and counted where they are made
-    lines = texts.repartition("node").select("node", F.encode("line", "UTF-32").alias("b"))
-    h = lines.select("node", "b", F.explode(_starts(F.col("b"), SHINGLE, 4)).alias("i")).select("node", F.xxhash64(F.substring("b", F.col("i"), F.lit(4 * SHINGLE))).alias("h")).distinct()
+    h = texts.select("node", F.explode(_sets(F.col("line"))).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    words = h.groupBy("node", F.shiftright("h", 6).bitwiseAND(WORDS - 1).alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(bit).alias("bits"))
-    return words.groupBy("node").agg(F.sum("n").alias("size"), *(F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0)).alias(f"b{k}") for k in range(WORDS)))
+    word = F.shiftright("h", 6).bitwiseAND(WORDS - 1)
+    return h.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *(F.bit_xor(F.when(word == k, bit).otherwise(0)).alias(f"b{k}") for k in range(WORDS)))
 
 
 def _sketch(prefix: str) -> list[Column]:
@@ -142,12 +143,8 @@ def _sets(line: Column) -> Column:
     return F.array_distinct(shingle_hashes(line))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have Jaccard similarity SIMILARITY or more; those go first that sketches rule out."""
-    if drawn is not None:
-        sketch = lambda c: drawn.select(F.col("node").alias(c), *_sketch(f"{c}_"))
-        b = sketch("b").withColumnRenamed("b", "_b")
-        pairs = pairs.join(sketch("a"), "a").join(b, (F.col("b") == F.col("_b")) & _may_link("a_", "b_")).select("a", "b")
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have Jaccard similarity SIMILARITY or more."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"t{c}"))
     sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _sets(F.col("ta")).alias("x"), _sets(F.col("tb")).alias("y"))
     both = sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("i"))
@@ -172,14 +169,15 @@ def links(members: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     # the member with most company is the likeliest to be near all others of a group of copies
     company = large.groupBy("node").agg(F.sum("n").alias("company"), F.sort_array(F.collect_list("band")).alias("bands"))  # as many as BANDS at most
     large = scratch.keep(large.join(company, "node"), "large")
-    stars = large.join(_centres(large), (F.col("band") == F.col("_band")) & (F.col("node") != F.col("a")) & near)
+    nearer = _agree(F.col("lanes").bitwiseXOR(F.col("_lanes")), AGREE_CENTRE)
+    stars = large.join(_centres(large), (F.col("band") == F.col("_band")) & (F.col("node") != F.col("a")) & nearer)
     pairs = scratch.keep(pairs.union(stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     texts = scratch.keep(lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "line"), "texts")
-    drawn = scratch.keep(sketches(texts), "sketches")
-    comp = components(scratch.keep(verify(pairs, texts, drawn), "links"), scratch)
+    comp = components(scratch.keep(verify(pairs, texts), "links"), scratch)
     if large.isEmpty():
         return comp
+    drawn = scratch.keep(sketches(texts.join(large.select("node").distinct(), "node", "left_semi")), "sketches")
     # whatever is outside a band's largest component is compared with all members of other components
     named = large.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "node", "lanes", "bands", "root")
     sizes = named.groupBy("band", "root").count()
@@ -218,10 +216,13 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` with ``text`` less its duplicate lines, and ``removed_lines``, the array of what went."""
     names = docs.columns
-    gone = removals(docs, scratch).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("removed").alias("removed_lines"))
-    found = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_digest")), "left")
+    gone = scratch.keep(removals(docs, scratch), "removed").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("removed").alias("removed_lines"))
+    # texts that keep all their lines aren't shuffled
+    touched = F.coalesce(maybe(gone, "_digest", scratch)(F.xxhash64("text")), F.lit(False))
+    found = docs.where(touched).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_digest")), "left")
     numbers = F.transform("removed_lines", lambda r: r["no"])
     stay = lambda a: F.array_except(F.sequence(F.lit(0), F.size(a) - 1), numbers)
     left = let(split_lines(F.col("text")), lambda a: F.array_join(F.transform(stay(a), lambda k: F.get(a, k)), "\n"))
     text = F.when(F.col("removed_lines").isNull(), F.col("text")).otherwise(left)
-    return found.select(*(text.alias("text") if c == "text" else F.col(c) for c in names), "removed_lines")
+    out = found.select(*(text.alias("text") if c == "text" else F.col(c) for c in names), "removed_lines")
+    return out.union(docs.where(~touched).select(*names, F.lit(None).cast(out.schema["removed_lines"].dataType).alias("removed_lines")))
