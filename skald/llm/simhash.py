@@ -1,10 +1,13 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Fingerprints are made in Arrow batches; only (row, fingerprint) leaves that step. Distinct fingerprints are compared:
-pairs that can be within the limit share two of four 16-bit blocks; of those, a pair is discarded if its precomputed
-distances to any pivot differ by more than the limit (triangle inequality), and survivors are verified. Blocks shared
-by many fingerprints are split into sub-blocks and finally into masked keys whose members are linked to one star
-centre, so that no group is expanded into its pairs and no link is lost.
+Fingerprints are made in Arrow batches; only (row, fingerprint) leaves that step. Of each distinct fingerprint the
+distances to ``PIVOTS`` reference fingerprints are computed once and stored. A pair within the limit has coordinates
+that differ by no more (triangle inequality), and shares two of four 16-bit blocks. Pairs are joined by their blocks and
+by the quantised coordinates of the first ``CELLS`` pivots, the one side also into the neighbouring cell where its
+coordinate is within the limit of it; a pair that meets goes if any other coordinate differs by more than the limit,
+and survivors are verified by their distance. Blocks shared by many fingerprints are split into sub-blocks and finally
+into masked keys whose members are linked to one star centre, so that no group is expanded into its pairs and no link is
+lost.
 
 Null and blank texts have fingerprint zero, which links like any other. Null doc_ids take part but never name a
 component, unless all its members are null. Repeated rows each give a row. Empty tables give empty results.
@@ -26,6 +29,9 @@ LIMIT = 2
 SHINGLE = 3
 SEED = 42
 PIVOTS = 16
+#: Pivots whose quantised coordinates are part of the join key, and the width of a cell.
+CELLS = 2
+WIDTH = 6
 #: Groups up to this size are compared pairwise: at most so many comparisons a member.
 PAIRWISE = 128
 #: Shingles hashed at once.
@@ -101,41 +107,52 @@ def _split(groups: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     return groups.join(small, key, "left_semi"), groups.join(big, key, "left_semi")
 
 
-def _pairs(groups: DataFrame, key: list[str]) -> DataFrame:
-    """Links within groups of bounded size: pivot coordinates discard, the exact distance verifies."""
-    t = distance_table(groups)
-    b = t.select(*key, *(F.col(c).alias(f"b_{c}") for c in t.columns if c not in key))
-    near = F.col("fp") < F.col("b_fp")
-    for i in range(PIVOTS):
-        near = near & (F.abs(F.col(f"p{i}") - F.col(f"b_p{i}")) <= LIMIT)
-    near = near & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b_fp"))) <= LIMIT)
-    on = near
-    for c in key:
-        on = on & (t[c] == F.col(f"_{c}"))
-    b = b.select(*(F.col(c).alias(f"_{c}" if c in key else c) for c in b.columns))
-    return t.join(b, on).select(F.col("fp").alias("a"), F.col("b_fp").alias("b"))
+def candidates(groups: DataFrame, table: DataFrame, key: list[str], use: int = PIVOTS) -> DataFrame:
+    """(a, b), a < b, of groups of bounded size whose coordinates for the first ``use`` pivots differ by LIMIT at most.
+
+    ``table``: distance_table(). Each pair meets once: in the cells that its one side is in.
+    """
+    t = groups.join(table, "fp")
+    cells = range(min(CELLS, use))
+    own = [F.floor(F.col(f"p{i}") / WIDTH).alias(f"c{i}") for i in cells]
+    left = t.select(*key, *own, F.col("fp").alias("a"), *(F.col(f"p{i}").alias(f"a{i}") for i in range(use)))
+    right = t.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("fp").alias("b"), *(F.col(f"p{i}").alias(f"b{i}") for i in range(use)))
+    for i in cells:
+        at = F.col(f"b{i}")
+        right = right.withColumn(f"_c{i}", F.explode(F.array_distinct(F.array(F.floor((at - LIMIT) / WIDTH), F.floor((at + LIMIT) / WIDTH)))))
+    on = F.col("a") < F.col("b")
+    for c in [*key, *(f"c{i}" for i in cells)]:
+        on = on & (F.col(c) == F.col(f"_{c}"))
+    for i in range(use):
+        on = on & (F.abs(F.col(f"a{i}") - F.col(f"b{i}")) <= LIMIT)
+    return left.join(right, on).select("a", "b")
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LIMIT)
 
 
 def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that give the components of all links within LIMIT bits.
 
-    ``fps``: distinct fp. Two fingerprints that differ in two bits share two of four blocks, whichever the bits.
+    ``fps``: distinct fp. Their pivot distances are stored first. Two fingerprints that differ in two bits share two of four blocks, whichever the bits.
     """
     first, second, third = _masks()
+    stored = scratch.keep(distance_table(fps), "pivots")
     spark = scratch.spark
     table = lambda rows, names: F.broadcast(spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names)))
     key = lambda name: F.col("fp").bitwiseAND(F.col("mask")).alias(name)
     masks = F.array(*(F.struct(F.lit(k).cast("long").alias("k1"), F.lit(m).cast("long").alias("mask")) for k, m in first))
-    groups = scratch.keep(fps.select("fp", F.inline(masks)).select("fp", "k1", key("v1")), "blocks")
+    groups = scratch.keep(stored.select("fp", F.inline(masks)).select("fp", "k1", key("v1")), "blocks")
     small, big = _split(groups, ["k1", "v1"])
-    edges = _pairs(small, ["k1", "v1"])
+    edges = verified(candidates(small, stored, ["k1", "v1"]))
     big = scratch.keep(big, "large")
     if big.isEmpty():
         return edges
     # the 32 bits that a large group leaves free, again in four blocks of which two are shared
     groups = scratch.keep(big.join(table(second, ["k1", "k2", "mask"]), "k1").select("fp", "k1", "v1", "k2", key("v2")), "blocks")
     small, big = _split(groups, ["k1", "v1", "k2", "v2"])
-    edges = edges.union(_pairs(small, ["k1", "v1", "k2", "v2"]))
+    edges = edges.union(verified(candidates(small, stored, ["k1", "v1", "k2", "v2"])))
     # 16 bits left: two members within the limit are equal but for some two of them
     keys = big.join(table(third, ["k1", "k2", "mask"]), ["k1", "k2"]).select("fp", "mask", key("v"))
     centre = keys.groupBy("mask", "v").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").drop("z")

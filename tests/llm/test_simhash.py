@@ -68,3 +68,18 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df, Scratch(spark, "t")).collect()), key=str)
     assert got == sorted([(3, 3), (3, 3), (None, 3), (1, 1), (2, 1), (9, 9)], key=str)
     assert simhash.near_duplicates(df.limit(0), Scratch(spark, "t")).collect() == []
+
+
+def test_pivots_discard_and_lose_none(spark):
+    """In one large block group, pivots alone rule out most pairs, and none that is within the limit."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(32) for _ in range(300)]
+    fps = sorted({b ^ (1 << rng.randrange(32)) if rng.random() < 0.5 else b for b in base} | {b ^ 5 for b in base[:40]})
+    df = spark.createDataFrame([(f, 0) for f in fps], "fp long, k long")
+    stored = Scratch(spark, "t").keep(simhash.distance_table(df.select("fp")), "pivots")
+    got = {use: {(r.a, r.b) for r in simhash.candidates(df, stored, ["k"], use).collect()} for use in (0, 1, simhash.PIVOTS)}
+    true = {(b, a) if b < a else (a, b) for a, b in linked(fps)}
+    assert len(got[0]) == len(fps) * (len(fps) - 1) // 2
+    assert true <= got[simhash.PIVOTS] <= got[1] <= got[0]
+    assert len(got[1]) < 0.7 * len(got[0]) and len(got[simhash.PIVOTS]) < 0.05 * len(got[0])
+    assert {(r.a, r.b) for r in simhash.verified(simhash.candidates(df, stored, ["k"])).collect()} == true
