@@ -2,8 +2,9 @@
 
 Counts of (language, bucket) are summed over the whole text of every learning row: each task counts into one dense
 matrix and sends a row for each bucket it has seen, so what is shuffled is bounded by tasks x languages x buckets. The
-log-probability matrix, languages x buckets floats with a checked number of languages, is broadcast; texts are scored
-in Arrow batches by gathering and summing its columns.
+log-probability matrix, buckets x languages floats with a checked number of languages, is broadcast. Texts are scored
+in batches: their counts are the rows of a sparse matrix of at most ``BATCH`` entries and one text more, which is
+multiplied with the matrix one language after another, so memory depends on neither languages nor lengths.
 
 Rows whose lang or text is null teach nothing. Null texts and texts without a letter are ``und`` with score 0; equal
 texts get equal results; ties go to the language that sorts first. With nothing to learn from, all is ``und``.
@@ -11,7 +12,7 @@ texts get equal results; ties go to the language that sorts first. With nothing
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,25 +26,62 @@ BITS = 14
 LANGUAGES = 1000
 SMOOTHING = 0.5
 FOLDS = 5
+#: Entries of a sparse batch of texts, beyond which it is scored.
+BATCH = 1 << 19
 #: Evidence is divided by the square root of its n-grams over this many: long texts don't all score 1.
 TEMPER = 50.0
 
 
+def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text and how often each comes."""
+    each = np.zeros(1 << BITS, np.int64)
+    for h in hashed(text or "", SIZES, BITS):
+        each += np.bincount(h, minlength=1 << BITS)
+    at = np.flatnonzero(each)
+    return at, each[at]
+
+
 class Model:
     def __init__(self, langs: list[str], logp: np.ndarray, prior: np.ndarray):
         self.langs, self.logp, self.prior = langs, logp, prior
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not any(c.isalpha() for c in text):
-            return "und", 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        for h in hashed(text, SIZES, BITS):
-            total += self.logp[h].sum(axis=0, dtype=np.float64)
-            n += len(h)
-        score = (total + self.prior) / max(1.0, np.sqrt(n / TEMPER))
-        p = np.exp(score - score.max())
-        best = int(np.argmax(p))
-        return self.langs[best], float(p[best] / p.sum())
+    def _score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, float]]:
+        """Sparse rows (buckets, counts) times the matrix, language by language."""
+        sizes = np.array([len(at) for at, _ in rows])
+        at, n = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
+        first = np.cumsum(sizes) - sizes
+        total = np.stack([np.add.reduceat(n * self.logp[at, k], first) for k in range(len(self.langs))], axis=1)
+        length = np.add.reduceat(n, first)
+        score = (total + self.prior) / np.maximum(1.0, np.sqrt(length / TEMPER))[:, None]
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = p.argmax(axis=1)
+        return [(self.langs[k], float(p[i, k])) for i, k in enumerate(best)]
+
+    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """(language, probability) of each text."""
+        out: list[tuple[str, float]] = []
+        rows: list[tuple[np.ndarray, np.ndarray]] = []
+        places: list[int] = []
+
+        def flush() -> None:
+            for i, found in zip(places, self._score(rows) if rows else (), strict=True):
+                out[i] = found
+            rows.clear()
+            places.clear()
+
+        held = 0
+        for text in texts:
+            out.append(("und", 0.0))
+            if text and self.langs and any(map(str.isalpha, text)):
+                rows.append(counts(text))
+                places.append(len(out) - 1)
+                held += len(rows[-1][0])
+                if held > BATCH:
+                    flush()
+                    held = 0
+        flush()
+        return out
 
 
 def learn(docs: DataFrame) -> Model:
@@ -85,7 +123,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([(d, *shared.value.predict(t)) for d, t in zip(b["doc_id"], b["text"], strict=True)], columns=["doc_id", "lang_pred", "score"]).astype({"doc_id": "Int64"})
+            langs, scores = zip(*shared.value.predict(b["text"]), strict=True) if len(b) else ((), ())
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, lang_pred string, score double")
 
@@ -105,7 +144,6 @@ def reject(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
-        got = [shared.value.predict(t) for t in texts]
-        return pd.Series([lang != "und" and score >= least for lang, score in got], dtype=bool)
+        return pd.Series([lang != "und" and score >= least for lang, score in shared.value.predict(texts)], dtype=bool)
 
     return docs.where(kept("text"))
