@@ -34,29 +34,43 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger of all rules over whole texts, and the strict policy's verdict."""
-    led = rules.apply_policy(rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), rules.BASE, "_base"), rules.STRICT)
+    """Ledger of all rules over whole texts, stored, and the strict policy's verdict."""
+    stored = Scratch(spark, "op9").keep(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    led = rules.apply_policy(rules.apply_policy(stored, rules.BASE, "_base"), rules.STRICT)
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "failed_bits")
 
 
+def quality_rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of two versions of the policy rejects, alone and in all: both read one stored ledger."""
+    stored = Scratch(spark, "op9").keep(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return rules.ablation(stored, rules.STRICT_2).union(rules.ablation(stored, rules.STRICT))
 
-OP9_SQL = r"""
+
+OP9_LEDGER = r"""
 with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
 w as (select rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w,
  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) wl from d),
 m as (select *, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) word_chars,
  len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols, len(wl) - len(list_distinct(wl)) n_dup_lines,
- len(string_split(t, chr(10))) n_lines, len(regexp_extract_all(t, '!')) n_shouts from w),
+ len(string_split(t, chr(10))) n_lines, len(regexp_extract_all(t, '!')) n_shouts, len(regexp_extract_all(t, '[A-Z]')) n_upper, len(regexp_extract_all(t, '[0-9]')) n_digits,
+ len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) n_bullets from w),
 g as (select rid, unnest(range(1, len(w) - 1)) p, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) g from m where len(w) >= 3),
 r as (select rid, count(distinct p + k) n from (select rid, p, count(*) over (partition by rid, g) c from g), (values (0), (1), (2)) o(k) where c > 1 group by rid),
 f as (select m.*, coalesce(r.n, 0) n_repeat_words from m left join r using (rid)),
 b as (select *, cast(n_words < 50 as int) + 2 * cast(100 * n_repeat_words > 50 * n_words as int) + 4 * cast(5 * n_symbols > n_words as int)
  + 8 * cast(2 * n_dup_lines > n_lines as int) + 16 * cast(2 * n_shouts > n_words as int)
- + 32 * cast(word_chars < 2 * n_words or word_chars > 15 * n_words as int) failed_bits from f)
-select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols,
+ + 32 * cast(word_chars < 2 * n_words or word_chars > 15 * n_words as int) + 64 * cast(2 * n_upper > word_chars as int)
+ + 128 * cast(2 * n_digits > word_chars as int) + 256 * cast(10 * n_bullets > 9 * n_lines as int) failed_bits from f)
+"""
+OP9_SQL = OP9_LEDGER + """select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_chars, cast(n_symbols as bigint) n_symbols,
  cast(n_dup_lines as bigint) n_dup_lines, cast(n_repeat_words as bigint) n_repeat_words, failed_bits & 3 != 0 base_failed,
  failed_bits = 0 kept, cast(failed_bits as bigint) failed_bits from b
 """
+OP9_ABLATION_SQL = OP9_LEDGER + """, p(policy, mask) as (values ('strict-2', 127), ('strict-3', 511)),
+rb(rule, bit) as (values ('too_short', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('exclamations', 16), ('word_length', 32), ('shouting', 64), ('digits', 128), ('bullets', 256))
+select policy, rule, count(*) filter (failed_bits & bit != 0) n_failed, count(*) filter (failed_bits & mask = bit) n_only,
+ count(*) filter (failed_bits & mask & ~bit = 0) n_kept_without, count(*) n_docs from b, p, rb where bit & mask != 0 group by policy, rule
+"""
 
 
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +158,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_cutting_stock_packing": op7_cutting_stock_packing,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
+        "quality_rule_ablation": quality_rule_ablation,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_transactions": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op1_warc_transactions": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op9_quality_rules": OP9_SQL, "quality_rule_ablation": OP9_ABLATION_SQL}

@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document. The ledger keeps the measurements and one bit per failed rule; policies
-are versioned masks over those bits, so a change of policy and ablations read the ledger and never the texts again.
-All of it is built-in expressions on one scan: no shuffle, no Python.
+are versioned masks over those bits, so a change of policy and ablations read the stored ledger and never the texts again.
+The ledger is built-in expressions on one scan: no shuffle, no Python; an ablation is one aggregate over its bits.
 
 Null texts have no words and every measurement 0; repeated rows get one ledger row each; empty tables give empty
 ledgers. Columns of the input other than ``doc_id`` and ``text`` are carried only if asked for.
@@ -90,6 +90,8 @@ def measures(text: Column, w: Column) -> dict[str, Column]:
         "n_lines": F.size(F.split(text, "\n")).cast("long"),
         "n_shouts": occurrences(text, "!"),
         "n_upper": capitals(text),
+        "n_digits": (F.octet_length(text) - F.octet_length(F.translate(text, "0123456789", ""))).cast("long"),
+        "n_bullets": F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike("^[ \t]*[-*\u2022]"))).cast("long"),
     }
 
 
@@ -110,6 +112,8 @@ RULES = (
     Rule("exclamations", "2 * n_shouts > n_words"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     Rule("shouting", "2 * n_upper > word_chars"),
+    Rule("digits", "2 * n_digits > word_chars"),
+    Rule("bullets", "10 * n_bullets > 9 * n_lines"),
 )
 BIT = {r.name: 1 << i for i, r in enumerate(RULES)}
 
@@ -128,7 +132,8 @@ class Policy:
 
 BASE = Policy("base", ("too_short", "repeated_windows"))
 #: strict-1 had no rule against capitals: its "shouting" was what is now "exclamations".
-STRICT = Policy("strict-2", ("too_short", "repeated_windows", "symbols", "duplicate_lines", "exclamations", "word_length", "shouting"))
+STRICT_2 = Policy("strict-2", ("too_short", "repeated_windows", "symbols", "duplicate_lines", "exclamations", "word_length", "shouting"))
+STRICT = Policy("strict-3", (*STRICT_2.rules, "digits", "bullets"))
 
 
 def ledger(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -82,6 +82,14 @@ def test_ablation(spark):
     assert got["too_short"].n_failed == 32 and got["too_short"].n_only == 16 and got["too_short"].n_kept_without == 32 and got["too_short"].n_docs == 64
 
 
+def test_digits_and_bullets(spark):
+    low = " ".join(f"{a}{b}word" for a in "abcdefgh" for b in "abcdefgh")
+    rows = [(1, low), (2, low.replace("word", "12345")), (3, "- " + low.replace(" ", "\n - ")), (4, "- a\n" + low.replace(" ", "\n"))]
+    led = rules.ledger(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: {n for n, b in rules.BIT.items() if r.failed_bits & b} for r in led.collect()}
+    assert got == {1: set(), 2: {"digits"}, 3: {"bullets"}, 4: set()}
+
+
 def test_capitals_are_shouting(spark):
     low = " ".join(f"{a}{b}word" for a in "abcdefgh" for b in "abcdefgh")
     rows = [(1, low), (2, low.upper()), (3, low.replace(" ", "! ")), (4, low.replace("word", "WORD")), (5, low.replace("word", "WOrd")), (6, "é" * 9 + "É" * 200)]
