@@ -57,6 +57,11 @@ class Scratch:
             self.remove(t._scratch_path)
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of the rows as text: what a side is measured by before it is broadcast."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()[0]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; ASCII texts take the built-in's fast path."""
     plain = F.octet_length(text) == F.length(text)

@@ -7,6 +7,11 @@ over the pages, a small aggregate between them. Votes are broadcast only while t
 A container gives way to one inside it only if no good text is left outside: noise, mostly linked blocks and a div of
 its own with a single word, outside all articles, sections and cells, don't count.
 
+Pages are read as browsers read them, each character once: a tag, comment or script that isn't closed goes on to the end
+of the page, and a quote that isn't closed is a character of its tag. A path is known by the chain of its labels' hashes,
+at any depth. Classes that only name what isn't an article take a container out of the running; where nothing else is
+left, they are ignored.
+
 Null html is empty; null urls and urls without a host vote together as one host. A page that lacks its host's path
 falls back to its own best container. Equal rows give equal rows; tied paths go to the one that sorts last. Empty
 tables give empty results; other columns of the input are left alone.
@@ -21,12 +26,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from xxhash import xxh64_intdigest
+
+from skald.llm.common import size_of
 
-BROADCAST = 200_000
+#: Bytes of winning paths that are broadcast at most.
+BROADCAST = 64 << 20
 #: A container competes if it holds this share of the page's good text; the innermost wins that leaves none of it outside.
 SHARE = 0.9
-#: Paths don't grow beyond this depth.
-DEPTH = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -36,35 +43,56 @@ CONTAINER = frozenset("html body main article section div td center".split())
 PART = frozenset("main article section td".split())
 #: What an opening tag closes if it is open, and what stops the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
-#: Class, id and role words of what isn't the article.
+#: Words in a class, id or role of what isn't the article, and words that may stand beside one without changing that.
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|comments?|commentlist|disqus|replies|reply|respond|menu|nav\w*|sidebar|side|footer|foot|header|masthead|breadcrumbs?|share|sharing|social|"
-    r"related|recommend\w*|popup|modal|overlay|newsletter|subscri\w*|login|signup|search|widget|pagination|pager|tags|toolbar|skip|complementary|contentinfo|navigation|hidden|sr-only)(?:$|[\s_-])",
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|comments?|commentlist|disqus|replies|reply|respond|menu|nav\w*|sidebar|side|footer|foot|header|masthead|breadcrumbs?|share|sharing|social|"
+    r"related|recommend\w*|popup|modal|overlay|newsletter|subscri\w*|login|signup|search|widgets?|pagination|pager|tags|toolbar|skip|complementary|contentinfo|navigation|hidden|sr|only",
+    re.I,
+)
+BESIDE = re.compile(
+    r"\d*|[a-z]|site|page|main|global|primary|secondary|top|bottom|left|right|upper|lower|first|last|list|items?|box|block|bar|area|section|wrap|wrapper|container|inner|outer|content|row|col|column|slot|unit|space|zone|panel|card|link|links|"
+    r"icons?|buttons?|form|text|title|heading|posts?|articles?|stories|thread|count|policy|message|warning|info|js|is|has|the|no|us|this",
     re.I,
 )
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b[^>]*+(?:>|\Z).*?(?:</(?P=raw)\s*+[^>]*+>|\Z)|"
+    r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
+    re.S | re.I,
 )
 ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
+def _noisy(names: str) -> bool:
+    """Whether one of the names is made of words of noise, and of words beside them at most."""
+    for name in names.split():
+        parts = re.split(r"[_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name))
+        if any(NOISE.fullmatch(x) for x in parts) and all(NOISE.fullmatch(x) or BESIDE.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
 class Page:
     """Blocks of text with the element each is in; elements with parent, path and whether they are noise."""
 
     def __init__(self, source: str | None):
-        self.parent, self.path, self.bare, self.box, self.blocks = [-1], [""], [False], [False], []
+        self._read(source or "", True)
+        if not any(not self.bare[at] and len(text) > 2 * linked for at, text, linked in self.blocks):
+            self._read(source or "", False)
+
+    def _read(self, source: str, named: bool) -> None:
+        self.parent, self.label, self.chain, self.bare, self.box, self.blocks = [-1], [""], [0], [False], [False], []
+        self._named = named
         self._tags, self._open = [""], [0]
         self._text: list[str] = []
         self._linked = 0
         at = 0
-        source = source or ""
         for m in TOKEN.finditer(source):
             if m.start() > at:
                 self._say(source[at : m.start()])
             at = m.end()
             if tag := m["tag"]:
                 self._close(tag.lower()) if m["end"] else self._start(tag.lower(), m["attrs"])
-        self._say(source[at:] if "<" not in source[at:] or not re.match(r"</?[a-zA-Z!?]", source[at:]) else "")
+        self._say(source[at:])
         self._break()
 
     def _say(self, text: str) -> None:
@@ -107,10 +135,12 @@ class Page:
             found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)}
             names = sorted({re.sub(r"\d+", "#", x) for x in found.get("class", "").split()})
             label = ".".join([tag, *names])
-            named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-            noisy = noisy or (tag not in ("html", "body", "article", "main") and bool(NOISE.search(named))) or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
+            if self._named and not noisy and tag not in ("html", "body", "article", "main"):
+                noisy = _noisy(" ".join(found.get(k, "") for k in ("class", "id", "role")))
+            noisy = noisy or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
         self.parent.append(up)
-        self.path.append(f"{self.path[up]}>{label}" if len(self._open) <= DEPTH else self.path[up])
+        self.label.append(label)
+        self.chain.append(xxh64_intdigest(label.encode("utf-8", "surrogatepass"), self.chain[up]))
         self.bare.append(self.bare[up] or noisy)
         self.box.append(tag in CONTAINER)
         self._tags.append(tag)
@@ -170,9 +200,17 @@ class Page:
             at = self.parent[at]
         return side
 
-    def text(self, path: str | None) -> str:
-        """The blocks within the elements of a path, or within the page's own best container."""
-        chosen = [bool(path) and p == path and not b for p, b in zip(self.path, self.bare, strict=True)]
+    def path(self, at: int) -> str:
+        """The labels from the root to an element."""
+        labels = []
+        while at > 0:
+            labels.append(self.label[at])
+            at = self.parent[at]
+        return ">".join(reversed(labels))
+
+    def text(self, chain: int | None) -> str:
+        """The blocks within the elements of a chain, or within the page's own best container."""
+        chosen = [bool(chain) and p == chain and not b for p, b in zip(self.chain, self.bare, strict=True)]
         if not any(chosen):
             chosen[self.best()[0]] = True
         for i in range(1, len(chosen)):
@@ -180,12 +218,16 @@ class Page:
         return " ".join(text for at, text, _ in self.blocks if chosen[at] and not self.bare[at])
 
 
+def _signed(h: int) -> int:
+    return h - ((h >> 63) << 64)
+
+
 def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path): each host's winning path."""
+    """(host, path, chain): each host's winning path, and its hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -194,25 +236,26 @@ def votes(pages: DataFrame) -> DataFrame:
                 page = Page(source)
                 at, score = page.best()
                 if at:
-                    out.append((h, page.path[at], score))
-            yield pd.DataFrame(out, columns=["host", "path", "score"])
+                    out.append((h, page.path(at), _signed(page.chain[at]), score))
+            yield pd.DataFrame(out, columns=["host", "path", "chain", "score"])
 
-    each = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string")).mapInPandas(run, "host string, path string, score double")
+    each = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string")).mapInPandas(run, "host string, path string, chain long, score double")
     # a page has one vote; whole numbers of characters, so that sums don't depend on their order
-    sums = each.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("score")).alias("chars"))
-    return sums.groupBy("host").agg(F.max_by("path", F.struct("n", "chars", "path")).alias("path"))
+    sums = each.groupBy("host", "chain", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("score")).alias("chars"))
+    return sums.groupBy("host").agg(F.max(F.struct("n", "chars", "path", "chain")).alias("w")).select("host", "w.path", "w.chain")
 
 
 def extract(pages: DataFrame, winners: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, host_path) for each row of ``pages``. ``winners``: votes(), kept as a table."""
-    known = winners.select(F.col("host").alias("_host"), F.col("path").alias("host_path"))
-    known = F.broadcast(known) if winners.count() <= BROADCAST else known
+    known = winners.select(F.col("host").alias("_host"), F.col("path").alias("host_path"), "chain")
+    known = F.broadcast(known) if size_of(known) <= BROADCAST else known
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host(F.col("url")).alias("_h"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [Page(s).text(p) for s, p in zip(b["html"], b["host_path"], strict=True)]
+            chains = [None if c is None else int(c) & (2**64 - 1) for c in b["chain"]]
+            texts = [Page(s).text(c) for s, c in zip(b["html"], chains, strict=True)]
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts], "host_path": b["host_path"]})
 
-    joined = rows.join(known, rows["_h"] == known["_host"], "left").select("page_id", "url", "html", "host_path")
+    joined = rows.join(known, rows["_h"] == known["_host"], "left").select("page_id", "url", "html", "host_path", F.col("chain").cast("string"))
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long, host_path string")

@@ -7,22 +7,24 @@ on position and length discard candidates that would stick out of the text; surv
 shingles at the start and the end of the window, which together spell it.
 
 The documents are exploded once and joined with the benchmark's shingles before anything is shuffled. That side is
-broadcast only while it has at most ``BROADCAST`` rows, and shuffled beyond.
+broadcast only while it has at most ``BROADCAST`` bytes, and shuffled beyond.
 
 Null and blank texts have no words, and items without words no windows. Results are by (doc_id, text): repeated rows,
-null ids and ids with several texts each get the result of their own text. Empty tables give clean documents or none.
+null ids and ids with several texts each get the result of their own text. An item without an id hits words, but is
+listed nowhere. Empty tables give clean documents or none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skald.llm.common import Scratch, ascii_lower, let, words
+from skald.llm.common import Scratch, ascii_lower, let, size_of, words
 
 SEPARATORS = "".join(map(chr, [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 WINDOW = 10
 SHINGLE = 5
-BROADCAST = 500_000
+#: Bytes of shingles that are broadcast at most.
+BROADCAST = 64 << 20
 
 
 def item_words(text: Column) -> Column:
@@ -53,8 +55,8 @@ def shingles(wins: DataFrame) -> DataFrame:
     return wins.select("win", "n", "k").distinct().select("win", "n", "k", F.inline(let(F.split("win", " "), each)))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST else df
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if size_of(df) <= BROADCAST else df
 
 
 def occurrences(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
@@ -64,7 +66,6 @@ def occurrences(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFram
     sizes = known.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()  # at most SHINGLE rows
     if not sizes:
         return docs.limit(0).select("doc_id", F.xxhash64("text").alias("digest"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("win"))
-    rows = sum(r["n"] for r in sizes)
 
     def grams(w: Column) -> Column:
         parts = [_grams(w, k) for k in sorted(r["k"] for r in sizes)]
@@ -74,14 +75,14 @@ def occurrences(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFram
     found = docs.select("doc_id", F.xxhash64(text).alias("digest"), let(item_words(text), grams).alias("q"))
     found = found.select("doc_id", "digest", F.col("q.n").alias("n_words"), F.inline("q.g"))
     # repeated rows are one text here
-    hits = scratch.keep(found.join(_sized(known.select("gram"), rows), "gram").distinct(), "shingles")
+    hits = scratch.keep(found.join(_sized(known.select("gram")), "gram").distinct(), "shingles")
     often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     # the rarest shingle of a window is its prefix; a window with a shingle that no document has is nowhere
     ranked = wins.join(often, "gram", "left").groupBy("win", "n", "k").agg(
         F.count_if(F.col("often").isNull()).alias("absent"), F.min(F.struct("often", "gram", "at")).alias("p")
     )
     prefix = scratch.keep(ranked.where("absent = 0").select("win", "n", "k", F.col("p.gram").alias("gram"), F.col("p.at").alias("off")), "prefix")
-    candidates = hits.join(_sized(prefix, prefix.count()), "gram").withColumn("start", F.col("at") - F.col("off"))
+    candidates = hits.join(_sized(prefix), "gram").withColumn("start", F.col("at") - F.col("off"))
     candidates = candidates.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words"))).select("doc_id", "digest", "start", "n", "k", "win")
     for at in (F.lit(0), F.col("n") - F.col("k")):  # the shingles at both ends spell the window
         end = candidates.withColumns({"at": F.col("start") + at, "gram": _gram(F.split("win", " "), at, F.col("k"))})

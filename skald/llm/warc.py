@@ -21,16 +21,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skald.llm.common import Scratch
+from skald.llm.common import Scratch, size_of
 
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 #: Payloads from this size on are stored once and revisited.
 REVISIT_BYTES = 0
-#: Records in an archive; bounds what one task holds.
+#: Bytes of payload in an archive and records in one, at most; a larger payload has an archive of its own. Bounds what one task holds.
+ARCHIVE_BYTES = 32 << 20
 ARCHIVE_RECORDS = 1500
-#: Repeated digests that are broadcast at most, about 100 bytes each.
-BROADCAST = 200_000
+#: Bytes of repeated digests, with the page and url of their responses, that are broadcast at most.
+BROADCAST = 64 << 20
 RFC4648 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -51,7 +52,7 @@ def captures(pages: DataFrame, scratch: Scratch, revisit_bytes: int = REVISIT_BY
     """``pages`` as captures: page_id, url, payload, digest, bytes, id (of the response record), refers_to, refers_id.
 
     Payloads that occur once need no partner, so only repeated digests are joined: broadcast while there are at most
-    ``BROADCAST``, which leaves the payloads unshuffled, and by shuffle beyond.
+    ``BROADCAST`` bytes, which leaves the payloads unshuffled, and by shuffle beyond.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
@@ -59,7 +60,7 @@ def captures(pages: DataFrame, scratch: Scratch, revisit_bytes: int = REVISIT_BY
     # the url breaks ties between rows of one page_id
     group = key.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = scratch.keep(group.where("n > 1").drop("n"), "repeated")
-    out = rows.join(F.broadcast(first) if first.count() <= BROADCAST else first, "digest", "left")
+    out = rows.join(F.broadcast(first) if size_of(first) <= BROADCAST else first, "digest", "left")
     identity = lambda page, url: _urn(F.lit("response"), page.alias("p"), url.alias("u"), F.col("digest"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return out.select(
@@ -108,8 +109,15 @@ def records(caps: DataFrame) -> DataFrame:
 
 
 def write(caps: DataFrame, path: str) -> None:
-    """Archives of bounded size, as the part files of ``path``."""
-    records(caps).write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    """Archives of bounded size, as the part files of ``path``: captures of a size class are written together."""
+    per_record = ARCHIVE_BYTES * 3 // ARCHIVE_RECORDS  # a capture is three records
+    limits = [per_record << 4 * k for k in range(4)]
+    rank = F.lit(0)
+    for limit in limits:
+        rank = rank + (F.col("bytes") > limit).cast("int")
+    for k in sorted(r[0] for r in caps.select(rank).distinct().collect()) or [0]:  # len(limits) + 1 rows at most
+        most = ARCHIVE_RECORDS >> 4 * k
+        records(caps.where(rank == k)).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, most)).text(path)
 
 
 RECORD = (

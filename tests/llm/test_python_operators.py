@@ -1,6 +1,7 @@
 """The operators that run Python in tasks, against brute force or held-out accuracy."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -45,7 +46,26 @@ def test_pii_base_spans(spark, odd):
     assert pii.digest(pii.detect(odd)).count() == len(ODD)
 
 
+def test_pii_spans_of_random_strings():
+    rng = np.random.default_rng(3)
+    signs = np.array(list("a1@.-+ 5()%_Z0,"))
+    for _ in range(4000):
+        text = "".join(rng.choice(signs, rng.integers(1, 60), p=[0.08, 0.2, 0.08, 0.14, 0.08, 0.06, 0.08, 0.1, 0.02, 0.02, 0.02, 0.02, 0.03, 0.05, 0.02]))
+        assert [s[:3] for s in pii.spans(text) if s[0] in pii.BASE] == base_spans(text), text
+    for _ in range(1500):
+        text = ".".join(str(int(n)) for n in rng.integers(0, 300, rng.integers(3, 12))) + rng.choice(["", "@", "x@y.z", " +49 (0)123 456-78"])
+        assert [s[:3] for s in pii.spans(text) if s[0] in pii.BASE] == base_spans(text), text
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "a" * 1_000_000, "a" * 500_000 + "@" + "b" * 500_000, "@a." * 300_000, "1." * 250_000, "999." * 250_000, "1 " * 500_000, "+1 " * 300_000, "DE12 " * 200_000])
+def test_pii_takes_linear_time(text):
+    began = time.perf_counter()
+    pii.spans(text)
+    assert time.perf_counter() - began < 2
+
+
 def test_pii_further_kinds():
+    assert [s[:3] for s in pii.spans("konto DE89 3704 0044 0532 0130 00 TODAY PLEASE")] == [("iban", 6, 33)]
     good, bad = "DE89370400440532013000", "DE88370400440532013000"
     assert [s[0] for s in pii.spans(f"iban {good} and {bad}")] == ["iban"]
     assert [s[0] for s in pii.spans("ssn 123-45-6789")] == ["ssn"] and pii.spans("number 123-45-6789") == []
@@ -187,6 +207,54 @@ def test_sizes_of_schema(spark):
     assert queries.op5_pii_spans(spark, SF).agg(F.sum("n_email")).first()[0] >= 0
 
 
+def test_malformed_pages():
+    text = lambda source: consensus.Page(source).text(None)
+    assert text('<p title="x>first para</p><p>second') == "first para second"
+    assert text("<p title='a>b'>one</p><p data-x=\"c>d\">two</p>") == "one two"
+    assert text("<p don't>one</p><p>two</p>") == "one two"
+    assert text("<p>one</p><div class='y") == "one" and text("<p>one</p><!-- never closed <p>two") == "one"
+    assert text("<p>one</p><script>var x = '<p>two</p>'") == "one" and text("<p>1 < 2 </ p>and</p>") == "1 < 2 and"
+    assert text('<div class="post hidden-gem"><p>' + "the article itself " * 9 + "</div>") == ("the article itself " * 9).strip()
+    assert text("<div class='menu'><p>all there is</p></div>") == "all there is"
+    assert text("<div class='content'><p>body</p><ul class='related-posts'><li>x</ul><div id='cookieNotice'>y</div></div>") == "body"
+
+
+@pytest.mark.parametrize("piece", ['<a x="', "<a x='", "<script ", "<!-", "<a b=c ", "</", '<a "', "<p>", "<div>", "&amp", "<style><"])
+def test_pages_take_linear_time(piece):
+    took = []
+    for n in (20_000, 40_000):
+        began = time.perf_counter()
+        consensus.Page(piece * n).text(None)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3 * took[0] + 0.5 and took[1] < 2
+
+
+def test_deep_paths(spark):
+    """Beyond any depth, pages of a host agree on the path that most vote for."""
+    deep = "<section>" * 200
+    page = lambda name, other: f"<body>{deep}<div class='{name}'><p>{'text of the article ' * 9}</p></div><div class='x'><p>{'other matter ' * other}</p></div></body>"
+    rows = [(i, "http://h.example/a", page(f"post-{i}", 0)) for i in range(3)] + [(9, "http://h.example/b", page("post-9", 50))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    votes = consensus.votes(df)
+    assert votes.first().path.count(">") == 201
+    assert {r.text for r in consensus.extract(df, votes).collect()} == {("text of the article " * 9).strip()}
+
+
+def test_vote_by_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    count = {}
+    for r in pages.collect():
+        page = consensus.Page(r.html)
+        at, score = page.best()
+        if at:
+            host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]*)", r.url or "")
+            own = count.setdefault(host[1].lower() if host else "", {}).setdefault(page.path(at), [0, 0])
+            own[0] += 1
+            own[1] += int(score)
+    want = {h: max((n, chars, p) for p, (n, chars) in paths.items())[2] for h, paths in count.items()}
+    assert {r.host: r.path for r in consensus.votes(pages).collect()} == want
+
+
 def test_nested_articles_are_whole(spark):
     body = "words of a very long article " * 400
     pages = {

@@ -51,6 +51,17 @@ def test_no_rows(spark, tmp_path):
     assert warc.assemble(warc.read(spark, str(tmp_path / "w"))).collect() == []
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 16)
+    rows = [(i, f"http://a.example/{i}", f"{i} " + "z" * n) for i, n in enumerate((10, 5_000_000, 3000, 3001, 40_000, *[900] * 90))]
+    got, path = round_trip(spark, tmp_path, rows)
+    assert sorted(len(r.response.payload) for r in got) == sorted(len(h) for *_, h in rows)
+    sizes = sorted(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part-"))
+    assert sizes[-1] < 5_010_000 and sizes[-2] < 2.2 * (1 << 16) and len(sizes) < 60
+
+
 def test_links_the_other_way(spark):
     rec = lambda kind, i, to: (kind, i, to, None, "u", None, None, None, None)
     rows = [rec("response", "r1", "q1"), rec("request", "q1", None), rec("metadata", "m1", "q1"), rec("request", "lone", "gone"), rec("response", "r2", None)]
