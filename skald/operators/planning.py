@@ -24,12 +24,17 @@ def wpm_to_scale(natural: Column, target: Column) -> Column:
     return F.when((natural <= 0) | (target <= 0), F.lit(1.0)).otherwise(clamp_scale(natural / target))
 
 
+def _whole(value: Column, most: float) -> Column:
+    """The value within -most..most as a whole number; halves go to the even one."""
+    return F.rint(F.greatest(F.lit(-most), F.least(F.lit(most), value)))
+
+
 def rate_percent(scale: Column) -> Column:
-    return F.format_string("%+.0f%%", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), (1.0 / scale - 1.0) * 100.0)))
+    return F.format_string("%+.0f%%", _whole((1.0 / scale - 1.0) * 100.0, 30.0))
 
 
 def pitch_hertz(semitones: Column) -> Column:
-    return F.format_string("%+.0fHz", F.greatest(F.lit(-40.0), F.least(F.lit(40.0), semitones * 8.0)))
+    return F.format_string("%+.0fHz", _whole(semitones * 8.0, 40.0))
 
 
 def hash01(key: Column) -> Column:
@@ -129,11 +134,32 @@ def cache_misses(plan: DataFrame, cache: DataFrame) -> DataFrame:
     return plan.join(cache.where(F.col("size_bytes") > VALID_BYTES).select("key"), "key", "left_anti")
 
 
+def cache_flags(plan: DataFrame, cache: DataFrame) -> DataFrame:
+    """``plan`` with ``hit``: hits and misses by one join."""
+    valid = cache.where(F.col("size_bytes") > VALID_BYTES).select("key", F.lit(True).alias("hit")).distinct()
+    return plan.join(valid, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def cache_stats(cache: DataFrame, *by: str) -> DataFrame:
+    return cache.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("total_bytes"))
+
+
 def plan_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(key, state): added, removed or kept."""
-    a, b = old.select("key").distinct(), new.select("key").distinct()
-    tag = lambda df, s: df.select("key", F.lit(s).alias("state"))
-    return tag(b.join(a, "key", "left_anti"), "added").union(tag(a.join(b, "key", "left_anti"), "removed")).union(tag(a.join(b, "key"), "kept"))
+    """(key, state): added, removed or kept, by one full outer join."""
+    side = lambda df, c: df.select("key", F.lit(True).alias(c)).distinct()
+    both = side(old, "_old").join(side(new, "_new"), "key", "full_outer")
+    return both.select("key", F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("kept").alias("state"))
+
+
+def all_voices(catalog: DataFrame, *engines: str) -> DataFrame:
+    """The voices of the engines, one catalog after the other."""
+    return catalog.where(F.col("engine").isin(*engines))
+
+
+def voices_for_engine(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``rows`` with ``voices``, those of the row's engine in the catalog's order; a catalog has a fixed size."""
+    each = catalog.groupBy("engine").agg(F.sort_array(F.collect_list(F.struct("pos", "voice_id"))).alias("_v"))
+    return rows.join(F.broadcast(each), "engine", "left").withColumn("voices", F.coalesce(F.transform("_v", lambda x: x["voice_id"]), F.array().cast("array<string>"))).drop("_v")
 
 
 def base_name(path: Column) -> Column:

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from skald.plans.registry import query
+from skald.plans.registry import query, workspace
 from skald.plans.views import TAGGED, duck, table, view
 from skald.sources import files
 from skald.streaming import jobs
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; in the local temporary folder where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skald-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s2_s3_projects", "select source as name, count(*) n_chunks, cast(sum(length(text)) as bigint) chars, 'DOCUMENTARY' preset from documents group by source")
 def s2(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
@@ -26,7 +17,8 @@ def s2(spark, d) -> DataFrame:
     path = workspace(spark, "projects")
     files.write_projects(docs.select(F.col("source").alias("name"), F.lit("x").alias("unknown_key")).distinct(), chunks, path)
     back = files.scan_projects(spark, path, one_per_file=False)
-    return back.select("name", F.size("chunks").cast("long").alias("n_chunks"), F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + F.length(c["text"])).alias("chars"), F.col("settings.preset").alias("preset"))
+    chars = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + F.length(c["text"]))
+    return back.groupBy("name", F.col("settings.preset").alias("preset")).agg(F.sum(F.size("chunks")).alias("n_chunks"), F.sum(chars).alias("chars"))
 
 
 @query("s6_append_generation", "with " + duck("v_history") + " select cast(created_at as date) created, count(*) * 2 n from v_history group by 1")
@@ -68,14 +60,14 @@ def x1(spark, d) -> DataFrame:
 SYNTH = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-@query("x2_stream_dedup_chunks")
+@query("x2_stream_dedup_chunks", "select distinct user_id || '-' || event_type key from events")
 def x2(spark, d) -> DataFrame:
     e = jobs.events_stream(spark, f"{d}/events.parquet*", SYNTH).select("ts", F.concat_ws("-", "user_id", "event_type").alias("key"), "event_id")
-    return jobs.drain(jobs.dedup_chunks(e, "365 days"), workspace(spark, "x2_out"), workspace(spark, "x2")).select("key", "event_id")
+    return jobs.drain(jobs.dedup_chunks(e, "365 days"), workspace(spark, "x2_out"), workspace(spark, "x2")).select("key")
 
 
-@query("x3_stream_progress")
+@query("x3_stream_progress", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, user_id run_id, count(*) n, max(row(ts, event_id, event_type))[2] chunk_id, max(row(ts, event_id, event_type))[3] status from events group by 1, 2")
 def x3(spark, d) -> DataFrame:
     e = jobs.events_stream(spark, f"{d}/events.parquet*", SYNTH).select("ts", F.col("user_id").alias("run_id"), F.col("event_id").alias("chunk_id"), F.col("event_type").alias("status"))
     out = jobs.latest(jobs.drain(jobs.run_progress(e), workspace(spark, "x3_out"), workspace(spark, "x3"), mode="update"), "window", "run_id")
-    return out.select(F.col("window.start").alias("start"), "run_id", "n", F.col("last.chunk_id").alias("chunk_id"), F.col("last.status").alias("status"))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "run_id", "n", F.col("last.chunk_id").alias("chunk_id"), F.col("last.status").alias("status"))

@@ -83,12 +83,9 @@ def r2(spark, d):
     return s.select("chunk_id", P.wpm_to_scale(F.col("word_count") * 60.0 / F.col("duration_seconds"), (130 + F.col("chunk_id") % 40).cast("double")).alias("scale"))
 
 
-@query("r3_rate_pitch", f"with {duck(S)}, p as (select chunk_id, 0.7 + (chunk_id % 61) / 100.0 scale, (chunk_id % 21 - 10) * 1.0 semis from v_synth) select chunk_id, printf('%+.0f%%', greatest(-30.0, least(30.0, (1.0 / scale::double - 1.0) * 100.0))) rate, printf('%+.0fHz', greatest(-40.0, least(40.0, semis::double * 8.0))) pitch from p where abs((1.0 / scale::double - 1.0) * 100.0 - floor((1.0 / scale::double - 1.0) * 100.0) - 0.5) > 1e-6")
+@query("r3_rate_pitch", f"with {duck(S)}, p as (select chunk_id, 0.7 + (chunk_id % 61) / 100.0 scale, (chunk_id % 21 - 10) * 1.0 semis from v_synth) select chunk_id, printf('%+.0f%%', greatest(-30.0, least(30.0, (1.0 / scale::double - 1.0) * 100.0))) rate, printf('%+.0fHz', greatest(-40.0, least(40.0, semis::double * 8.0))) pitch from p")
 def r3(spark, d):
     p = synth(spark, d).select("chunk_id", (F.lit(0.7) + (F.col("chunk_id") % 61) / 100.0).alias("scale"), ((F.col("chunk_id") % 21 - 10) * 1.0).alias("semis"))
-    raw = (1.0 / F.col("scale") - 1.0) * 100.0
-    # values halfway between two whole numbers are rounded differently by printf implementations
-    p = p.where(F.abs(raw - F.floor(raw) - 0.5) > 1e-6)
     return p.select("chunk_id", P.rate_percent(F.col("scale")).alias("rate"), P.pitch_hertz(F.col("semis")).alias("pitch"))
 
 
@@ -153,16 +150,15 @@ def a6(spark, d):
     return runs.groupBy("status").agg(F.count(F.lit(1)).alias("scripts"))
 
 
-@query("a7_cache_stats", "select count(*) files, cast(sum(length(text)) as bigint) total_bytes from documents where doc_id % 3 = 0")
+@query("a7_cache_stats", "select lang, count(*) files, cast(sum(strlen(text)) as bigint) total_bytes from documents group by lang")
 def a7(spark, d):
-    cache = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.length("text").alias("size_bytes"))
-    return cache.agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("total_bytes"))
+    return P.cache_stats(table(spark, d, "documents").select("lang", F.octet_length("text").alias("size_bytes")), "lang")
 
 
-@query("a8_natural_wpm", f"with {duck(S)} select voice_id, greatest(60, least(300, round(sum(word_count) / sum(duration_seconds) * 60.0, 4)))::double wpm from v_synth where chunk_id % 3 = 0 group by voice_id")
+@query("a8_natural_wpm", f"with {duck(S)} select voice_id, greatest(60, least(300, round(sum(word_count) / sum(duration_seconds) * 60.0, 4)))::double wpm from v_synth group by voice_id")
 def a8(spark, d):
     rate = F.round(F.sum("word_count") / F.sum("duration_seconds") * 60.0, 4)
-    return synth(spark, d).where("chunk_id % 3 = 0").groupBy("voice_id").agg(F.greatest(F.lit(60.0), F.least(F.lit(300.0), rate)).alias("wpm"))
+    return synth(spark, d).groupBy("voice_id").agg(F.greatest(F.lit(60.0), F.least(F.lit(300.0), rate)).alias("wpm"))
 
 
 @query("w2_timeline_cursor", f"with {duck(S)} select chunk_id, run_id, round(pause_before + coalesce(sum(pause_before + duration_seconds + pause_after) over (partition by run_id order by chunk_id rows between unbounded preceding and 1 preceding), 0), 4) start_seconds from v_synth")
@@ -225,8 +221,7 @@ def r9(spark, d):
 def j3(spark, d):
     plan = planned(spark, d)
     cache = plan.where("doc_id % 3 = 0")
-    hits, misses = P.cache_hits(plan, cache), P.cache_misses(plan, cache)
-    return hits.select("doc_id", "key", F.lit(True).alias("hit")).union(misses.select("doc_id", "key", F.lit(False).alias("hit")))
+    return P.cache_flags(plan, cache).select("doc_id", "key", "hit")
 
 
 KEY_B = KEY.replace("text,", "case when doc_id % 10 = 0 then text || ' More.' else text end,")
@@ -306,18 +301,23 @@ def r4(spark, d):
     return s.select("chunk_id", F.concat(F.lit("Read aloud "), style_expr(F.col("emotion"), F.col("preset")), F.lit(": "), "voice_id").alias("prompt"))
 
 
-@query("p4_voices_for_engine", "select pos, voice_id, n from " + D.values_sql([(v[0], v[1], v[5]) for v in D.VOICES], "pos, voice_id, engine") + ", (select count(*) n from events) where engine = 'gemini'")
+CATALOG_SQL = D.values_sql([(v[0], v[1], v[5]) for v in D.VOICES], "pos, voice_id, engine")
+
+
+@query("p4_voices_for_engine", "with " + duck(S) + ", v as (select engine, count(*) n_voices, string_agg(voice_id, ',' order by pos) voices from " + CATALOG_SQL + " group by engine) select chunk_id, engine, n_voices, voices from v_synth join v using (engine)")
 def p4(spark, d):
-    n = table(spark, d, "events").agg(F.count(F.lit(1)).alias("n"))
-    return D.voices(spark).where("engine = 'gemini'").crossJoin(n).select("pos", "voice_id", "n")
+    rows = P.voices_for_engine(synth(spark, d).select("chunk_id", "engine"), D.voices(spark))
+    return rows.select("chunk_id", "engine", F.size("voices").cast("long").alias("n_voices"), F.array_join("voices", ",").alias("voices"))
 
 
-@query("u1_all_voices", "with " + duck(S) + " select v.voice_id, v.pos, count(chunk_id) uses from " + D.values_sql([v[:2] for v in D.VOICES], "pos, voice_id").replace(" t(", " v(") + " left join v_synth s on chunk_id % 50 = pos group by 1, 2")
+@query("u1_all_voices", "with " + duck(S) + ", w as (select *, row_number() over (partition by engine order by pos) - 1 i, count(*) over (partition by engine) m from " + CATALOG_SQL + ") select w.voice_id, w.pos, count(chunk_id) uses, cast(coalesce(sum(word_count), 0) as bigint) words from w left join v_synth s on s.engine = w.engine and chunk_id % m = i group by 1, 2")
 def u1(spark, d):
-    every = D.voices(spark)
-    both = every.where("engine = 'edge'").unionByName(every.where("engine = 'gemini'"))
-    uses = synth(spark, d).groupBy((F.col("chunk_id") % 50).cast("int").alias("pos")).agg(F.count(F.lit(1)).alias("uses"))
-    return both.join(uses, "pos", "left").select("voice_id", "pos", F.coalesce("uses", F.lit(0)).cast("long").alias("uses"))
+    """The use of every voice of both catalogs, those included that no chunk has: chunks take the voices of their engine in turn."""
+    every = P.all_voices(D.voices(spark), "edge", "gemini")
+    rows = P.voices_for_engine(synth(spark, d).select("chunk_id", "engine", "word_count"), every)
+    said = rows.select("word_count", F.get("voices", (F.col("chunk_id") % F.size("voices")).cast("int")).alias("voice_id"))
+    uses = said.groupBy("voice_id").agg(F.count(F.lit(1)).alias("uses"), F.sum("word_count").alias("words"))
+    return every.join(uses, "voice_id", "left").select("voice_id", "pos", F.coalesce("uses", F.lit(0)).cast("long").alias("uses"), F.coalesce("words", F.lit(0)).cast("long").alias("words"))
 
 
 @query("k2_find_by_style", "with w as (select event_id, case event_id % 4 when 0 then 'UPBEAT' when 1 then 'firm' when 2 then 'news' else 'none' end style, case event_id % 3 when 0 then 'male' when 1 then 'Female' else '' end gender from events), v as (select * from " + D.values_sql([(v[0], v[1], v[2], v[3]) for v in D.VOICES], "pos, voice_id, gender, style") + ") select event_id, min_by(voice_id, pos) voice_id from w left join v on lower(v.style) = lower(w.style) and (w.gender = '' or v.gender = lower(w.gender)) group by event_id")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from skald import dimensions as D
 from skald.functions import text as X
-from skald.operators import script as S
-from skald.plans.registry import query
+from skald.operators import planning as P, script as S
+from skald.plans.registry import query, workspace
 from skald.plans.views import duck, table, view
+from skald.sources import files
 
 TAG = r"\[/?[A-Za-z_]+(?::[^\]]*)?\]"
 T = "with " + duck("v_tagged")
@@ -23,19 +26,22 @@ def numeric(spark, d) -> DataFrame:
     return view(spark, d, "v_numeric")
 
 
-@query("s1_scan_scripts", "select doc_id script_id, source as name, lang, length(text) chars from documents where lang in ('en', 'fr')")
+@query("s1_scan_scripts", "select doc_id script_id, source as name, lang, length(text) chars from documents")
 def s1(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.where(F.col("lang").isin("en", "fr")).select(F.col("doc_id").alias("script_id"), F.col("source").alias("name"), "lang", F.length("text").cast("long").alias("chars"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("script_id"), F.col("source").alias("name"), "lang", F.length("text").cast("long").alias("chars"))
+
+
+USER_LEXICON = {"_comment": "x", "Nevada": "neh-VAH-dah", "Harris": "HAIR-iss"}
+LEXICON_SQL = D.values_sql([*({**D.PRONUNCIATIONS, **{k: v for k, v in USER_LEXICON.items() if k[0] != "_"}}).items()], "word, spoken")
 
 
-@query("s4_scan_pronunciations", "select doc_id, k as word, case when k = 'Nevada' then 'neh-VAH-dah' when k = 'Nguyen' then 'win' else v end spoken from documents, " + D.values_sql([*D.PRONUNCIATIONS.items(), ("Nguyen", "win")], "k, v") + " where doc_id % 10 = 0")
+@query("s4_scan_pronunciations", "with " + duck("v_numeric") + ", w as (select distinct script_id, unnest(regexp_extract_all(script_text, '[A-Za-z]+')) word from v_numeric), l as (select * from " + LEXICON_SQL + ") select script_id, word, spoken from w join l using (word)")
 def s4(spark, d):
-    user = F.from_json(F.lit('{"_comment": "x", "Nevada": "neh-VAH-dah", "Nguyen": "win"}'), "map<string,string>")
-    ids = table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id")
-    mine = ids.select("doc_id", F.explode(user).alias("word", "u")).where(~F.col("word").startswith("_"))
-    built = ids.select("doc_id", F.explode(F.create_map(*(F.lit(x) for kv in D.PRONUNCIATIONS.items() for x in kv))).alias("word", "b"))
-    return built.join(mine, ["doc_id", "word"], "full_outer").select("doc_id", "word", F.coalesce("u", "b").alias("spoken"))
+    """The words of every script that a user's lexicon file or the built-in lexicon respells."""
+    path = workspace(spark, "lexicon")
+    spark.range(1).select(F.lit(json.dumps(USER_LEXICON)).alias("value")).coalesce(1).write.text(path)
+    words = numeric(spark, d).select("script_id", F.explode(F.array_distinct(F.regexp_extract_all("script_text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("word"))
+    return P.lookup(words, files.scan_pronunciations(spark, path), "word").where("spoken is not null").select("script_id", "word", "spoken")
 
 
 @query("p1_strip_markup", T + rf" select script_id, regexp_replace(script_text, '{TAG}', '', 'g') plain from v_tagged")

@@ -12,7 +12,7 @@ select doc_id as script_id, source as name, lang, text as script_text,
 TAGGED = """
 select doc_id as script_id, concat('[SCENE: S', cast(doc_id % 7 as varchar(20)), ']', chr(10), chr(10), 'It began quietly. ',
  case when doc_id % 4 = 0 then '[EMOTION:FEAR]' when doc_id % 4 = 1 then '[WHISPER]' when doc_id % 4 = 2 then '[EMPHASIS]' else '[BOGUS]' end,
- substring(text, 1, 200), case when doc_id % 4 = 1 then '[/WHISPER]' when doc_id % 4 = 2 then '[/EMPHASIS]' else '' end,
+ text, case when doc_id % 4 = 1 then '[/WHISPER]' when doc_id % 4 = 2 then '[/EMPHASIS]' else '' end,
  ' [PAUSE:', cast(doc_id % 12 as varchar(20)), '] ', chr(10), chr(10), '# Part two', chr(10), chr(10),
  case when doc_id % 5 = 0 then 'But everything changed that night! ' when doc_id % 5 = 1 then 'Maria whispered the secret. '
       when doc_id % 5 = 2 then '"Why now?" John asked. ' else 'Dr. Smith smiled. ' end, 'In the end, peace returned.') as script_text from {documents}

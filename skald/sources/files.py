@@ -10,10 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skald import dimensions as D
+
 BLOCK = 4096
+#: Chunk numbers in a part of a project.
+PROJECT_BLOCK = 1000
 
 PROJECT = """
-name string, script_text string, format_version int, settings struct<voice_id:string, preset:string, target_wpm:int, words_per_chunk:int, auto_emotion:boolean, emotion_intensity:double, loudness_preset:string>,
+name string, part long, script_text string, format_version int, settings struct<voice_id:string, preset:string, target_wpm:int, words_per_chunk:int, auto_emotion:boolean, emotion_intensity:double, loudness_preset:string>,
 chunks array<struct<chunk_id:int, scene_id:int, text:string, emotion:string, effects:array<string>, pause_before:double, pause_after:double, status:string, audio_path:string, est_duration:double>>,
 timeline_events array<struct<path:string, start_seconds:double, gain_db:double, track:string>>, last_generation_stats map<string,string>
 """
@@ -25,8 +29,19 @@ def scan_scripts(spark: SparkSession, path: str, pattern: str = "*.txt") -> Data
     return files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("script_text"))
 
 
+def scan_pronunciations(spark: SparkSession, path: str) -> DataFrame:
+    """(word, spoken): a lexicon file, one JSON object of words, over the built-in lexicon; keys that begin with _ are comments.
+
+    A lexicon is one small file written by hand. A file that isn't JSON, or no words in it, leaves the built-in words.
+    """
+    file = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("word", "spoken"))
+    own = file.where(~F.col("word").startswith("_") & F.col("spoken").isNotNull()).select("word", F.col("spoken").alias("_own")).dropDuplicates(["word"])
+    built = spark.createDataFrame([*D.PRONUNCIATIONS.items()], "word string, spoken string")
+    return built.join(own, "word", "full_outer").select("word", F.coalesce("_own", "spoken").alias("spoken"))
+
+
 def scan_projects(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
-    """Nested project documents, one per file or one per line; unknown keys are dropped, missing settings take their defaults."""
+    """Nested project documents, one per file or one per line; unknown keys are dropped, missing settings take their defaults. A long project has several parts."""
     p = spark.read.schema(PROJECT).option("multiLine", one_per_file).option("mode", "PERMISSIVE").json(path)
     s = F.col("settings")
     filled = F.struct(
@@ -40,10 +55,10 @@ def project_chunks(projects: DataFrame) -> DataFrame:
     return projects.select("name", F.inline("chunks"))
 
 
-def write_projects(projects: DataFrame, chunks: DataFrame, path: str) -> None:
-    """One JSON document per project, its chunks in order. Both sides share ``name``."""
+def write_projects(projects: DataFrame, chunks: DataFrame, path: str, block: int = PROJECT_BLOCK) -> None:
+    """JSON documents of projects, a part for each ``block`` chunk numbers, its chunks in order. Both sides share ``name``."""
     cols = [c for c in chunks.columns if c != "name"]
-    nested = chunks.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("chunk_id", *(c for c in cols if c != "chunk_id")))).alias("chunks"))
+    nested = chunks.groupBy("name", F.floor(F.col("chunk_id") / block).alias("part")).agg(F.sort_array(F.collect_list(F.struct("chunk_id", *(c for c in cols if c != "chunk_id")))).alias("chunks"))
     projects.drop("chunks").join(nested, "name", "left").write.mode("overwrite").json(path)
 
 
