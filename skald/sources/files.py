@@ -59,7 +59,7 @@ def write_projects(projects: DataFrame, chunks: DataFrame, path: str, block: int
     """JSON documents of projects, a part for each ``block`` chunk numbers, its chunks in order. Both sides share ``name``."""
     cols = [c for c in chunks.columns if c != "name"]
     nested = chunks.groupBy("name", F.floor(F.col("chunk_id") / block).alias("part")).agg(F.sort_array(F.collect_list(F.struct("chunk_id", *(c for c in cols if c != "chunk_id")))).alias("chunks"))
-    projects.drop("chunks").join(nested, "name", "left").write.mode("overwrite").json(path)
+    projects.drop("chunks", "part").dropDuplicates(["name"]).join(nested, "name", "left").write.mode("overwrite").json(path)
 
 
 def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
