@@ -7,7 +7,7 @@ from skald.plans import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["t1_parse_markup", "t3_split_scenes", "t4a_split_sentences", "e4_analyze_sentence", "e5_detect_story_structure", "n11_normalize", "j4_plan_diff", "j9_resume_plan", "w2_timeline_cursor", "a11_gated_loudness", "a12_quality_gate", "j8_crossfade", "r1_plan_prosody", "s7_write_stems"]
+CHECKED = ["t1_parse_markup", "t3_split_scenes", "t4a_split_sentences", "e4_analyze_sentence", "e5_detect_story_structure", "n11_normalize", "j4_plan_diff", "j9_resume_plan", "w2_timeline_cursor", "a11_gated_loudness", "a12_quality_gate", "j8_crossfade", "r1_plan_prosody", "s7_write_stems", "s4_scan_pronunciations", "r3_rate_pitch", "p4_voices_for_engine", "u1_all_voices", "j3_cache_hits", "x2_stream_dedup_chunks", "x3_stream_progress", "s2_s3_projects", "t7_annotate_script"]
 
 
 def plain(v):
