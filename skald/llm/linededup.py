@@ -52,7 +52,7 @@ def split_lines(text: Column) -> Column:
 
 
 def _has_word(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\n\x0b\f\r")) != ""
+    return F.ltrim(line, F.lit(" \t\n\x0b\f\r")) != ""  # ends at the first other character
 
 
 def _starts(b: Column, n: int, width: int) -> Column:
@@ -73,18 +73,20 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(node, often, m0..m23): how often the line occurs, and the least shingle hash in each residue class, null where there is none.
+    """(node, often, m0..m23): how often the line occurs, and the least shingle hash in each residue class, ``NONE`` where there is none.
 
     Places are exploded rather than hashed in a lambda: cutting, hashing and the partial minima are one compiled loop.
     Shingles are of UTF-16 units, all but rare characters.
     """
     lines = F.filter(split_lines(F.col("text")), _has_word)
-    each = docs.select(F.inline(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("node"), F.encode(x, "UTF-16BE").alias("b")))))
-    limit = F.least(F.lit(2.0**31 - 1), 2.0**31 * DEPTH * CLASSES / F.greatest(F.lit(1), F.octet_length("b") / 2 - LONG + 1)).cast("int")
-    at = each.select("node", "b", limit.alias("limit"), F.explode(_starts(F.col("b"), LONG, 2)).alias("i"))
+    limit = lambda b: F.least(F.lit(2.0**31 - 1), 2.0**31 * DEPTH * CLASSES / F.greatest(F.lit(1), F.octet_length(b) / 2 - LONG + 1)).cast("int")
+    # made with the row of the line: a column projected from it would be worked out again for every shingle
+    row = lambda node, b: F.struct(node.alias("node"), b.alias("b"), limit(b).alias("limit"))
+    each = docs.select(F.inline(F.transform(lines, lambda x: let(F.encode(x, "UTF-16BE"), lambda b: row(F.xxhash64(x), b)))))
+    at = each.select("node", "b", "limit", F.explode(_starts(F.col("b"), LONG, 2)).alias("i"))
     h = at.select("node", "i", "limit", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * LONG))).alias("h")).withColumn("v", F.shiftrightunsigned("h", 33).cast("int"))
     h = h.where("v < limit or i = 1").select("node", (F.col("i") == 1).cast("int").alias("first"), "v", F.pmod("h", F.lit(CLASSES)).alias("class"))
-    return h.groupBy("node").agg(F.sum("first").alias("often"), *(F.nullif(F.min(F.when(F.col("class") == k, F.col("v")).otherwise(F.lit(NONE))), F.lit(NONE)).alias(f"m{k}") for k in range(CLASSES)))
+    return h.groupBy("node").agg(F.sum("first").alias("often"), *(F.coalesce(F.min(F.when(F.col("class") == k, F.col("v")).otherwise(F.lit(NONE))), F.lit(NONE)).alias(f"m{k}") for k in range(CLASSES)))
 
 
 def bands(sigs: DataFrame) -> DataFrame:
@@ -95,14 +97,17 @@ def bands(sigs: DataFrame) -> DataFrame:
     """
     ms = [f"m{k}" for k in range(CLASSES)]
     for step in (1, 2, 4, 8, 16):  # an empty class takes the next that isn't
-        sigs = sigs.select("node", "often", *(F.coalesce(F.col(c), F.col(ms[(k + step) % CLASSES])).alias(c) for k, c in enumerate(ms)))
+        sigs = sigs.select("node", "often", *(F.expr(f"if({c} < {NONE}, {c}, {ms[(k + step) % CLASSES]})").alias(c) for k, c in enumerate(ms)))
+        if step == 8:  # a lambda ends the compiled stage: the JVM interprets methods as long as that of all steps would be
+            sigs = sigs.select("node", "often", F.transform(F.array(*ms), lambda x: x).alias("m")).select("node", "often", *(F.coalesce(F.get("m", F.lit(k)), F.lit(NONE)).alias(c) for k, c in enumerate(ms)))
     lane = lambda k: F.call_function("shiftleft", F.col(ms[k]).bitwiseAND(7).cast("long"), F.lit(3 * k))
     lanes = lane(0)
     for k in range(1, LANES):
         lanes = lanes.bitwiseOR(lane(k))
-    keys = F.array(*(F.xxhash64(F.lit(i), *(F.col(ms[k]) for k in b)) for i, b in enumerate(BANDS)))
-    own = F.xxhash64(F.lit(-1), F.col("node"))
-    rows = sigs.select("node", lanes.alias("lanes"), F.explode(F.when(F.col("often") > 1, F.concat(keys, F.array(own, own))).otherwise(keys)).alias("band")).repartition("band")
+    own = F.when(F.col("often") > 1, F.xxhash64(F.lit(-1), F.col("node")))
+    keys = F.array(*(F.xxhash64(F.lit(i), *(F.col(ms[k]) for k in b)) for i, b in enumerate(BANDS)), own, own)
+    # lanes are made before the bands, once a line, and no key twice: the loop stays within what the JVM compiles
+    rows = sigs.withColumn("lanes", lanes).select("node", "lanes", F.explode(keys).alias("band")).where("band is not null").repartition("band")
     size = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor("lanes").alias("x"))
     shared = size.where((F.col("n") > 2) | ((F.col("n") == 2) & _agree(F.col("x")))).drop("x").hint("shuffle_hash")
     # the same exchange feeds both sides: nothing is shuffled or sorted again
@@ -146,9 +151,12 @@ def _sets(line: Column) -> Column:
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have Jaccard similarity SIMILARITY or more."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"t{c}"))
-    sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _sets(F.col("ta")).alias("x"), _sets(F.col("tb")).alias("y"))
-    both = sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("i"))
-    return both.where(F.col("i") / (F.col("nx") + F.col("ny") - F.col("i")) >= SIMILARITY).select("a", "b")
+    # a generator's output isn't worked out again by the filter: each set is made once a pair
+    sets = F.inline(F.array(F.struct(_sets(F.col("ta")).alias("x"), _sets(F.col("tb")).alias("y"))))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", sets)
+    # i / (|x| + |y| - i) >= SIMILARITY, i once
+    enough = F.size(F.array_intersect("x", "y")) * (1 + SIMILARITY) >= SIMILARITY * (F.size("x") + F.size("y")) - 1e-6
+    return both.where(enough).select("a", "b")
 
 
 def _centres(large: DataFrame) -> DataFrame:

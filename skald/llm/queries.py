@@ -102,7 +102,7 @@ select page_id, cast(n as bigint) payload_bytes, payload_digest, case when page_
 def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes of every document: its lines that are near copies of a line that comes first."""
     found = linededup.dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
-    lines = F.size(F.filter(linededup.split_lines(F.col("text")), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
+    lines = F.size(F.filter(linededup.split_lines(F.col("text")), lambda x: F.ltrim(x, F.lit(SPACE)) != ""))
     cells = F.transform("removed_lines", lambda r: F.concat_ws(":", r["no"], r["keep_doc_id"], r["keep_no"]))
     return found.select(
         "doc_id", F.coalesce(lines, F.lit(0)).cast("long").alias("n_kept"), F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"),
