@@ -29,8 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
+#: Removes a query's shuffle files at its end; else they stay until the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes one that is no longer read."""
+    """Tables written to the shared folder to cut lineage; ``drop`` removes one that is no longer read.
+
+    A table's shuffle files go as soon as it is written: nothing reads them again.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -43,7 +50,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str = "t") -> DataFrame:
         path = self.path(label)
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
