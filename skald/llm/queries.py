@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skald.llm import consensus, decontam, langid, linededup, packing, pii, quality, rules, simhash, warc
+from skald.llm import consensus, decontam, langid, linededup, packing, pii, quality, round3, rules, simhash, warc
 from skald.llm.common import SPACE, Scratch, table
 
 
@@ -160,8 +160,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "quality_rule_ablation": quality_rule_ablation,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
-    }
+    } | round3.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_transactions": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op9_quality_rules": OP9_SQL, "quality_rule_ablation": OP9_ABLATION_SQL}
+    return {"op1_warc_transactions": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op9_quality_rules": OP9_SQL, "quality_rule_ablation": OP9_ABLATION_SQL} | round3.SQL
