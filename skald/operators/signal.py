@@ -1,7 +1,6 @@
-"""Clip tables: levels, gains, fades, silence, and mixing of timelines, over (clip, pos, amp) rows.
+"""Sample expressions (gains, fades, saturation), silence, crossfades and the quality gate.
 
-Everything is an expression, an aggregate or a window; only the smoothers, which feed on their own output, fold an
-array per clip, after the clip has been reduced to blocks.
+Levels, look-ahead, followers, placing and mixing are in ``blocks``, over arrays of samples.
 """
 
 from __future__ import annotations
@@ -62,28 +61,6 @@ def downmix(df: DataFrame) -> DataFrame:
     return df.groupBy("clip_id", "pos").agg(F.avg("amp").alias("amp"))
 
 
-def peaks(df: DataFrame) -> DataFrame:
-    return df.groupBy("clip_id").agg(F.max(F.abs("amp")).alias("peak"))
-
-
-def blocks(df: DataFrame, size: int) -> DataFrame:
-    """(clip_id, block, peak, energy) of blocks of ``size`` samples."""
-    return df.groupBy("clip_id", F.floor(F.col("pos") / size).cast("int").alias("block")).agg(F.max(F.abs("amp")).alias("peak"), F.avg(F.col("amp") * F.col("amp")).alias("energy"))
-
-
-def gated_level(df: DataFrame, size: int, hop: int, absolute: float = -70.0, relative: float = -10.0) -> DataFrame:
-    """(clip_id, gated_level_db): mean energy of overlapping blocks through an absolute and a relative gate."""
-    k = size // hop
-    n = F.count(F.lit(1)).over(per_clip())
-    parts = df.withColumn("n", n).select("clip_id", "n", (F.col("amp") * F.col("amp")).alias("e"), F.explode(F.sequence(F.floor(F.col("pos") / hop) - (k - 1), F.floor(F.col("pos") / hop))).alias("b"))
-    whole = parts.where(f"b >= 0 and b * {hop} + {size} <= n").groupBy("clip_id", "b").agg(F.avg("e").alias("energy"))
-    loud = whole.where(power_db(F.col("energy")) > absolute)
-    gate = F.avg("energy").over(per_clip()) * (10 ** (relative / 10))
-    kept = loud.withColumn("gate", gate).where("energy > gate").groupBy("clip_id").agg(F.avg("energy").alias("e"))
-    level = kept.select("clip_id", power_db(F.col("e")).alias("gated_level_db"))
-    return df.select("clip_id").distinct().join(level, "clip_id", "left").select("clip_id", F.coalesce("gated_level_db", F.lit(absolute)).alias("gated_level_db"))
-
-
 def silence_runs(blk: DataFrame, threshold: float) -> DataFrame:
     """(clip_id, longest): the longest run of blocks below the threshold; 0 if there is none."""
     w = per_clip().orderBy("block")
@@ -99,29 +76,6 @@ def trim_tail(df: DataFrame, threshold: float, keep: int) -> DataFrame:
     return df.withColumn("_last", last).where(F.col("_last").isNull() | (F.col("pos") < F.col("_last") + keep)).drop("_last")
 
 
-def short_term(blk: DataFrame, width: int) -> DataFrame:
-    w = per_clip().orderBy("block").rowsBetween(0, width - 1)
-    return blk.select("clip_id", "block", power_db(F.avg("energy").over(w)).alias("level_db"), F.count(F.lit(1)).over(w).alias("n")).where(F.col("n") == width).drop("n")
-
-
-def lookahead_gain(df: DataFrame, ceiling: float, ahead: int) -> DataFrame:
-    top = F.max(F.abs("amp")).over(per_clip().orderBy("pos").rowsBetween(0, ahead))
-    return df.select("clip_id", "pos", F.least(ceiling / F.greatest(top, F.lit(FLOOR)), F.lit(1.0)).alias("gain"))
-
-
-def duck_gain(voice: DataFrame, music: DataFrame, ducked: float) -> DataFrame:
-    """(mix_id, block, gain): ``ducked`` where the voice is active in a block of the music."""
-    active = F.col("peak") > F.greatest(0.06 * F.max("peak").over(Window.partitionBy("mix_id")), F.lit(1e-6))
-    v = voice.select("mix_id", "block", active.alias("active"))
-    return music.select("mix_id", "block").join(v, ["mix_id", "block"], "left").select("mix_id", "block", F.when(F.col("active"), F.lit(ducked)).otherwise(F.lit(1.0)).alias("gain"))
-
-
-def place(clips: DataFrame, events: DataFrame, total: int) -> DataFrame:
-    """Samples of the clips at their places on the timelines; what lies beyond ``total`` is dropped."""
-    at = clips.join(events, "clip_id").withColumn("at", F.col("start") + F.col("pos"))
-    return at.where((F.col("at") >= 0) & (F.col("at") < total))
-
-
 def crossfade(a: DataFrame, b: DataFrame, overlap: int) -> DataFrame:
     """(pair, pos, amp): b after a, the last ``overlap`` samples of a under the first of b with cosine weights.
 
@@ -138,46 +92,9 @@ def crossfade(a: DataFrame, b: DataFrame, overlap: int) -> DataFrame:
     return both.select("pair", "pos", (F.coalesce("l", F.lit(0.0)) + F.coalesce("r", F.lit(0.0))).alias("amp"))
 
 
-def follow(values: Column, attack: float, release: float, start: float = 0.0) -> Column:
-    """Smoothed array: towards a larger value by ``attack``, towards a smaller by ``release``; 0 is at once."""
-    step = lambda acc, v: F.concat(
-        acc, F.array(F.element_at(acc, -1) + (v - F.element_at(acc, -1)) * F.when(v > F.element_at(acc, -1), F.lit(1.0 - attack)).otherwise(F.lit(1.0 - release)))
-    )
-    return F.slice(F.aggregate(values, F.array(F.lit(start)), step), 2, F.size(values))
-
-
-def envelopes(blk: DataFrame, attack: float, release: float) -> DataFrame:
-    """(clip_id, env array): the follower over each clip's block peaks."""
-    rows = blk.groupBy("clip_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "peak"))), lambda x: x["peak"]).alias("p"))
-    return rows.select("clip_id", follow(F.col("p"), attack, release).alias("env"))
-
-
-def compress(env: DataFrame, threshold_db: float, ratio: float) -> DataFrame:
-    """(clip_id, block, gain_db) with make-up of 0.7 of the mean reduction."""
-    rows = env.select("clip_id", F.posexplode("env").alias("block", "e"))
-    cut = F.greatest(decibels(F.col("e")) - threshold_db, F.lit(0.0)) * (1.0 / ratio - 1.0)
-    return rows.withColumn("cut", cut).select("clip_id", "block", (F.col("cut") - 0.7 * F.avg("cut").over(per_clip())).alias("gain_db"))
-
-
-def mixdown(clips: DataFrame, events: DataFrame, total: int, block: int, ducking_db: float) -> DataFrame:
-    """(mix_id, at, amp): events placed, music and ambience ducked under the voice, summed and guarded.
-
-    ``events``: mix_id, clip_id, track, start. Ambience is ducked by a third, by 3 dB at least.
-    """
-    placed = place(clips, events, total).select("mix_id", "track", "at", "amp", F.floor(F.col("at") / block).alias("block"))
-    summed = placed.groupBy("mix_id", "track", "block", "at").agg(F.sum("amp").alias("amp"))
-    voice = summed.where("track = 'VOICE'").groupBy("mix_id", "block").agg(F.max(F.abs("amp")).alias("peak"))
-    active = F.col("peak") > F.greatest(0.06 * F.max("peak").over(Window.partitionBy("mix_id")), F.lit(1e-6))
-    ducks = voice.select("mix_id", "block", active.alias("active"))
-    down = F.when(F.col("track") == "MUSIC", ducking_db).when(F.col("track") == "AMBIENCE", max(3.0, ducking_db / 3)).otherwise(0.0)
-    level = F.when(F.col("active"), F.pow(F.lit(10.0), -down / 20.0)).otherwise(F.lit(1.0))
-    mixed = summed.join(ducks, ["mix_id", "block"], "left").groupBy("mix_id", "at").agg(F.sum(F.col("amp") * level).alias("amp"))
-    return mixed.withColumn("amp", peak_guard(F.col("amp"), "mix_id"))
-
-
-def quality(clips: DataFrame, levels: DataFrame, silences: DataFrame, missing: DataFrame, rate: int, target: float, ceiling: float, silent: int) -> DataFrame:
-    """(clip_id, duration, peak_db, issues, blocked): the gate's findings; a critical one blocks export."""
-    stats = clips.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("amp")).alias("peak"))
+def quality(blocks: DataFrame, levels: DataFrame, silences: DataFrame, missing: DataFrame, rate: int, target: float, ceiling: float, silent: int) -> DataFrame:
+    """(clip_id, duration, peak_db, issues, blocked): the gate's findings; a critical one blocks export. ``blocks``: clip_id, n, peak."""
+    stats = blocks.groupBy("clip_id").agg(F.sum("n").alias("n"), F.max("peak").alias("peak"))
     q = stats.join(levels, "clip_id", "left").join(silences, "clip_id", "left").join(missing, "clip_id", "left")
     issue = lambda when, severity, code: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code")))
     db, seconds = decibels(F.col("peak")), F.col("n") / float(rate)

@@ -1,13 +1,15 @@
 import io
 import json
 import random
+import time
 import wave
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skald.functions import text as X
-from skald.operators import script as S, signal as G
+from skald.operators import blocks as K, script as S, signal as G
 from skald.sources import files
 from skald.streaming import jobs
 
@@ -147,9 +149,139 @@ def test_silence_against_a_loop(spark):
     assert {r.clip_id: r.longest for r in got} == want
 
 
+def as_blocks(spark, clips, size):
+    return K.cut(spark.createDataFrame([(k, [float(v) for v in x]) for k, x in clips.items()], "clip_id long, amps array<double>"), size)
+
+
 def test_follower(spark):
-    got = spark.createDataFrame([([0.0, 1.0, 1.0, 0.0],)], "p array<double>").select(G.follow(F.col("p"), 0.5, 0.9)).first()[0]
-    assert [round(x, 4) for x in got] == [0.0, 0.5, 0.75, 0.675]
+    rng = random.Random(2)
+    rows, want = [(None, i, v) for i, v in enumerate([0.0, 1.0, 1.0, None, 0.0])], {None: [0.0, 0.5, 0.75, 0.75, 0.675]}
+    for clip in range(5):
+        level, want[clip] = 0.0, []
+        for i in range(rng.randint(1, 40)):
+            v = rng.random()
+            level += (v - level) * (1 - (0.5 if v > level else 0.9))
+            want[clip].append(level)
+            rows.append((clip, i, v))
+    rng.shuffle(rows)
+    got = {}
+    for r in K.follow(spark.createDataFrame(rows, "clip_id long, block int, peak double"), "clip_id", "block", "peak", 0.5, 0.9).orderBy("clip_id", "block").collect():
+        got.setdefault(r.clip_id, []).append(r.env)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
+
+
+def test_follower_takes_linear_time(spark):
+    """Two hours at 10 ms blocks."""
+    took = {}
+    for n in (1_000, 720_000):
+        began = time.perf_counter()
+        rows = spark.range(n).select(F.lit(1).alias("clip_id"), F.col("id").alias("block"), F.rand(3).alias("peak"))
+        assert K.follow(rows, "clip_id", "block", "peak", 0.2, 0.999).agg(F.count("env")).first()[0] == n
+        took[n] = time.perf_counter() - began
+    assert took[720_000] < 20
+
+
+def test_lookahead_is_the_naive_maximum(spark):
+    rng = np.random.default_rng(1)
+    clips = {i: rng.standard_normal(n) for i, n in enumerate((1, 7, 8, 9, 50, 1000))}
+    for size, ahead in ((8, 0), (8, 4), (8, 7), (8, 8), (16, 37), (4, 2000)):
+        got = {i: [] for i in clips}
+        for r in K.lookahead_gain(as_blocks(spark, clips, size), size, 0.5, ahead).orderBy("clip_id", "block").collect():
+            got[r.clip_id] += r.gain
+        for i, x in clips.items():
+            want = [min(1.0, 0.5 / max(1e-9, np.abs(x[j : j + ahead + 1]).max())) for j in range(len(x))]
+            assert np.allclose(got[i], want), (size, ahead, i)
+
+
+def test_lookahead_on_a_long_clip(spark):
+    """120 seconds at 44.1 kHz: the peak stays under the ceiling, and the look-ahead costs nothing."""
+    n, size = 44_100 * 120, 4410
+    amps = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.sin((F.col("id") * size + i).cast("double") * 12.9898) * 1.4)
+    blocks = spark.range(n // size).select(F.lit(1).alias("clip_id"), F.col("id").alias("block"), amps.alias("amps"))
+    took = []
+    for ahead in (220, 4000):
+        began = time.perf_counter()
+        gains = K.lookahead_gain(blocks, size, 0.84, ahead)
+        top = gains.join(blocks, ["clip_id", "block"]).select(F.array_max(F.zip_with("gain", "amps", lambda g, x: F.abs(g * x))).alias("t"), F.size("gain").alias("n")).agg(F.max("t"), F.sum("n")).first()
+        assert top[0] <= 0.84 * 1.000001 and top[1] == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3 * took[0] + 2
+
+
+def test_blocks_of_another_size_hold_the_same(spark):
+    clips = {i: np.arange(n) + i for i, n in enumerate((1, 10, 64, 101))}
+    for size, to in ((8, 4), (8, 12), (10, 7), (4, 500)):
+        got = {i: [] for i in clips}
+        for r in K.reblock(as_blocks(spark, clips, size), size, to).orderBy("clip_id", "block").collect():
+            assert len(r.amps) <= to
+            got[r.clip_id] += r.amps
+        assert all(list(got[i]) == list(x) for i, x in clips.items())
+
+
+def test_levels_from_hops(spark):
+    rng = np.random.default_rng(4)
+    clips = {0: rng.standard_normal(400) * np.repeat([1, 0.001, 1, 0.3], 100), 1: np.zeros(100), 2: rng.standard_normal(15), 3: rng.standard_normal(16)}
+    hops = K.levels(as_blocks(spark, clips, 4))
+    got = {r.clip_id: r.gated_level_db for r in K.gated_level(hops, 16, 4).collect()}
+    for i, x in clips.items():
+        e = np.array([np.mean(x[j : j + 16] ** 2) for j in range(0, len(x) - 15, 4)])
+        e = e[10 * np.log10(np.maximum(e, 1e-12)) > -70]
+        want = 10 * np.log10(e[e > 0.1 * e.mean()].mean()) if len(e) else -70.0
+        assert abs(got[i] - want) < 1e-6
+    short = {(r.clip_id, r.block): r.level_db for r in K.short_term(hops, 3).collect()}
+    assert len(short) == 98 + 23 + 2 + 2 and abs(short[0, 5] - 10 * np.log10(np.mean([np.mean(clips[0][j : j + 4] ** 2) for j in (20, 24, 28)]))) < 1e-6
+
+
+def mixed(clips, events, total, size, db):
+    """A mix by loops; None where nothing is placed."""
+    stems = {}
+    for clip, track, start in events:
+        for i, v in enumerate(clips[clip]):
+            if 0 <= start + i < total:
+                stems.setdefault(track, {}).setdefault(start + i, 0.0)
+                stems[track][start + i] += v
+    peaks = {}
+    for at, v in stems.get("VOICE", {}).items():
+        peaks[at // size] = max(peaks.get(at // size, 0.0), abs(v))
+    active = {c for c, p in peaks.items() if p > max(0.06 * max(peaks.values()), 1e-6)}
+    out = {}
+    for track, stem in stems.items():
+        down = {"MUSIC": db, "AMBIENCE": max(3.0, db / 3)}.get(track, 0.0)
+        for at, v in stem.items():
+            out[at] = out.get(at, 0.0) + v * (10 ** (-down / 20) if at // size in active else 1.0)
+    top = max(map(abs, out.values()))
+    return {at: v / top if top > 1 else v for at, v in out.items()}
+
+
+def test_a_mix_of_a_thousand_events(spark):
+    rng = np.random.default_rng(5)
+    clips = {i: rng.standard_normal(int(rng.integers(1, 60))) * (0.01 if i % 7 == 0 else 0.4) for i in range(100)}
+    events = [(int(rng.integers(100)), ["VOICE", "MUSIC", "SFX", "AMBIENCE"][int(rng.integers(4))], int(rng.integers(-20, 3000))) for _ in range(1000)]
+    table = spark.createDataFrame([(1, *e) for e in events], "mix_id long, clip_id long, track string, start int")
+    mix = K.mixdown(as_blocks(spark, clips, 16), table, 2900, 16, 9.0)
+    got = {r.cell * 16 + i: v for r in mix.collect() for i, v in enumerate(r.amps) if v is not None}
+    want = mixed(clips, events, 2900, 16, 9.0)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_smooth_ducking_glides_over_the_music(spark):
+    clips = {1: np.full(32, 0.5), 2: np.full(96, 0.2)}
+    table = spark.createDataFrame([(1, 1, "VOICE", 32), (1, 2, "MUSIC", 0)], "mix_id long, clip_id long, track string, start int")
+    stems = K.sum_pieces(K.place(as_blocks(spark, clips, 8), table, 96, 8), ["mix_id", "track", "cell"], 8)
+    a = {r.cell: r.a for r in K.smooth_activity(K.activity(stems), 12, 0.5, 0.9).collect()}
+    level, want = 0.0, []
+    for c in range(12):
+        x = float(4 <= c < 8)
+        level += (x - level) * (0.5 if x > level else 0.1)
+        want.append(level)
+    assert np.allclose([a[c] for c in range(12)], want)
+    music = K.duck(stems.where("track = 'MUSIC'"), K.smooth_activity(K.activity(stems), 12, 0.5, 0.9), F.lit(9.0), 8)
+    got = np.concatenate([r.amps for r in music.orderBy("cell").collect()])
+    gain = 1 - (1 - 10 ** (-9 / 20)) * np.interp(np.arange(96), np.arange(12) * 8 + 4, want)
+    assert np.allclose(got, 0.2 * gain)
+    mix = np.concatenate([r.amps for r in K.mixdown(as_blocks(spark, clips, 8), table, 96, 8, 9.0, (0.5, 0.9)).orderBy("cell").collect()])
+    voice = np.where((np.arange(96) >= 32) & (np.arange(96) < 64), 0.5, 0.0)
+    assert np.allclose(mix, 0.2 * gain + voice)
 
 
 def tone(n, rate=8000, channels=1):
