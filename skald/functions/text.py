@@ -59,16 +59,27 @@ def _thousand(n: Column) -> Column:
     return F.concat_ws(" ", F.when(n >= 100, F.concat(pick(ONES, F.floor(n / 100)), F.lit(" hundred"))), F.when(n % 100 > 0, _hundred(n % 100)))
 
 
-def number_words(n: Column) -> Column:
-    """Cardinal of a whole number below 10^12 in size."""
+def whole_words(digits: Column) -> Column:
+    """Cardinal of a text of digits of any length: groups of nine, with a billion between them."""
+
+    def say(n: Column) -> Column:
+        part = lambda k: F.floor(n / 10**k) % 1000
+        parts = [F.when(part(k) > 0, F.concat(_thousand(part(k)), F.lit(f" {w}"))) for k, w in ((6, "million"), (3, "thousand"))]
+        return F.concat_ws(" ", *parts, F.when(n % 1000 > 0, _thousand(n % 1000)))
 
-    def say(m: Column) -> Column:
-        group = lambda k: F.floor(m / 10**k) % 1000
-        parts = [F.when(group(k) > 0, F.concat(_thousand(group(k)), F.lit(f" {w}"))) for k, w in ((9, "billion"), (6, "million"), (3, "thousand"))]
-        return F.when(m == 0, F.lit("zero")).otherwise(F.concat_ws(" ", *parts, F.when(m % 1000 > 0, _thousand(m % 1000))))
+    def spell(bare: Column) -> Column:
+        wide = F.lpad(bare, F.ceil(F.length(bare) / 9) * 9, F.lit("0"))
+        groups = F.transform(F.when(F.length(bare) <= 9, F.array(bare)).otherwise(F.regexp_extract_all(wide, F.lit(r"\d{9}"), F.lit(0))), lambda g: g.cast("int"))
+        said = F.transform(groups, lambda n, i: F.when(n == 0, "").otherwise(F.concat(F.when(i == 0, "").otherwise(" "), say(n))))
+        return F.when(bare == "", F.lit("zero")).otherwise(F.array_join(said, " billion"))
 
-    n = n.cast("long")
-    return F.concat(F.when(n < 0, F.lit("minus ")).otherwise(F.lit("")), let(F.abs(n), say))
+    return let(F.ltrim(digits, F.lit("0")), spell)
+
+
+def number_words(n: Column) -> Column:
+    """Cardinal of a whole number, or of a text of digits, with its sign."""
+    text = n.cast("string")
+    return F.concat(F.when(text.startswith("-"), F.lit("minus ")).otherwise(F.lit("")), whole_words(F.ltrim(text, F.lit("-"))))
 
 
 def year_words(y: Column) -> Column:
@@ -86,12 +97,12 @@ def digit_words(digits: Column) -> Column:
 
 
 def number_token(token: Column) -> Column:
-    """A written number: commas, decimals digit by digit, over nine digits spelled."""
+    """A written number of any length: commas, decimals digit by digit, whole ones of over nine digits spelled."""
 
     def say(bare: Column) -> Column:
         whole = F.substring_index(bare, ".", 1)
         fraction = F.when(bare.contains("."), F.concat(F.lit(" point "), digit_words(F.substring_index(bare, ".", -1)))).otherwise(F.lit(""))
-        return F.when(~bare.contains(".") & (F.length(bare) > 9), digit_words(bare)).otherwise(F.concat(number_words(whole), fraction))
+        return F.when(~bare.contains(".") & (F.length(bare) > 9), digit_words(bare)).otherwise(F.concat(whole_words(whole), fraction))
 
     bare = F.replace(F.ltrim(token, F.lit("-")), F.lit(","), F.lit(""))
     return F.concat(F.when(token.startswith("-"), F.lit("minus ")).otherwise(F.lit("")), let(bare, say))
@@ -101,7 +112,7 @@ def say_money(m: Column) -> Column:
     unit = F.when(m.startswith("$"), "dollars").when(m.startswith("€"), "euros").otherwise("pounds")
     amount = F.replace(F.regexp_replace(m, r"^.", ""), F.lit(","), F.lit(""))
     cents = F.concat(F.lit(" and "), digit_words(F.substring(F.substring_index(amount, ".", -1), 1, 2)), F.lit(" cents"))
-    return F.concat(number_words(F.substring_index(amount, ".", 1)), F.lit(" "), unit, F.when(amount.contains("."), cents).otherwise(F.lit("")))
+    return F.concat(whole_words(F.substring_index(amount, ".", 1)), F.lit(" "), unit, F.when(amount.contains("."), cents).otherwise(F.lit("")))
 
 
 def say_percent(m: Column) -> Column:
@@ -162,13 +173,53 @@ PASSES = {
 }
 
 
-def normalise(text: Column) -> Column:
-    """All passes, each bound once: a pass reads its text three times."""
+def in_passes(text: Column) -> Column:
+    """All passes one after the other, each bound once: a pass reads its text three times."""
     for step in PASSES.values():
         text = let(text, step)
     return text
 
 
+UNIT_WORDS = r"(?:km|kg|lbs?|mph|miles?|feet|foot|ft|meters?|m|cm|mm)\b"
+NUMBERED = rf"(?:{MONEY})|(?:{PERCENT})|(?:{TIME})|(?:{MEASURE.replace('(?i)', '(?i:', 1)}))|(?:{DATE.replace('(?i)', '(?i:', 1)}))|(?:{YEAR})|(?:{NUMBER})"
+#: Where a form may begin within another one, or stand so close to it that a replacement changes what comes next: only passes tell.
+ENTANGLED = "|".join(
+    (
+        URL.replace("(?i)", "(?i:", 1) + ")",
+        # digits and marks that are no number, amount or time of their own
+        r"(?<![\d.,:])(?!(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?[.,:]*(?![\d.,:])|\d{1,2}:\d{2}[.,:]*(?![\d.,:]))[.,:]*\d",
+        # letters that follow digits and are neither a unit, a decade nor an ordinal
+        rf"\d(?!(?i:{UNIT_WORDS})|s\b)(?!(?<=(?<!\d)\d)(?:st|nd|rd|th)\b|(?<=(?<!\d)\d\d)(?:st|nd|rd|th)\b)[A-Za-z_]",
+        rf"(?<![\w.])-(?:{PERCENT}|{TIME}|{MEASURE.replace('(?i)', '(?i:', 1)})|{YEAR})",
+        r"%-?\w|\d:\d{2}\s*%|\w[$€£]\d|\.(?:1[89]\d{2}|20\d{2})s?\b",
+        rf"{DATE.replace('(?i)', '(?i:', 1)})(?:\.\d+)?\s*(?:%|(?i:{UNIT_WORDS}))",
+    )
+)
+
+
+def say_form(m: Column) -> Column:
+    """A matched form in words, by what it looks like."""
+    return (
+        F.when(m.rlike(r"^[$€£]"), say_money(m)).when(m.endswith("%"), say_percent(m)).when(m.contains(":"), say_time(m)).when(m.rlike(r"^[A-Za-z]"), say_date(m))
+        .when(m.rlike(r"^(?:1[89]\d{2}|20\d{2})s?$"), year_words(F.rtrim(m, F.lit("s")))).when(m.rlike(r"[A-Za-z]$"), say_measure(m)).otherwise(number_token(m))
+    )
+
+
+def normalise(text: Column) -> Column:
+    """The spoken form of a text: every number form found by one pattern and said by its kind.
+
+    Texts without a digit or an address skip that, and those whose forms are entangled take the passes, which define the result.
+    """
+
+    def say(t: Column) -> Column:
+        plain = strip_abbreviation_dots(t)
+        blanks = PASSES["blanks"]
+        once = let(plain, lambda p: replace_each(p, NUMBERED, say_form))
+        return F.when(~t.rlike(r"\d|(?i:https?://|www\.)"), blanks(plain)).when(t.rlike(ENTANGLED), in_passes(t)).otherwise(blanks(once))
+
+    return let(text, say)
+
+
 def pronunciation_pattern(key: str) -> str:
     quoted = "".join("\\" + c if c in r"\.[]{}()*+-?^$|" else c for c in key)
     return (r"\b" if key[:1].isupper() else r"(?i)\b") + quoted + r"\b"

@@ -113,14 +113,13 @@ def sentences(df: DataFrame, text: str = "script_text") -> DataFrame:
 
 
 def hard_split(sentence: Column, most: int = MAX_CHARS) -> Column:
-    """Array of pieces: clauses of an overlong sentence packed up to ``most`` characters."""
-    clauses = F.split(sentence, r"(?U)(?<=[,;:।])\s+")
-    fits = lambda acc, c: F.length(F.element_at(acc, -1)) + F.length(c) + 1 <= most
-    step = lambda acc, c: F.when(
-        fits(acc, c), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.trim(F.concat_ws(" ", F.element_at(acc, -1), c))))
-    ).otherwise(F.concat(acc, F.array(c)))
-    packed = F.filter(F.aggregate(clauses, F.array(F.lit("")), step), lambda x: x != "")
-    return F.when(F.length(sentence) <= most, F.array(sentence)).otherwise(packed)
+    """Array of pieces: clauses of an overlong sentence packed up to ``most`` characters, in one scan of one pattern.
+
+    A piece is the rest if that fits, else the most that ends with a clause, else one clause too long by itself.
+    """
+    pieces = rf"(?s) ?(.{{1,{most}}}\z|.{{0,{most - 1}}}[,;:।](?= )|.+?[,;:।](?= )|.+\z)"
+    packed = F.regexp_extract_all(F.regexp_replace(sentence, r"(?U)(?<=[,;:।])\s+", " "), F.lit(pieces), F.lit(1))
+    return F.when(F.length(sentence) <= most, F.array(sentence)).otherwise(F.filter(packed, lambda x: x != ""))
 
 
 # rules
@@ -145,13 +144,6 @@ def cue_emotion(lower: Column, whole_word: bool = False) -> Column:
     return found
 
 
-def cue_join(sents: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """The same with a lexicon table: a nested-loop join with the broadcast lexicon, the least priority wins."""
-    hits = sents.join(F.broadcast(lexicon), F.lower("sentence").contains(F.col("cue")))
-    first = hits.groupBy("script_id", "sent_no").agg(F.min_by("emotion", "priority").alias("cue_emotion"))
-    return sents.join(first, ["script_id", "sent_no"], "left")
-
-
 def punctuation_emotion(s: Column) -> tuple[Column, Column]:
     end, low = F.rtrim(s), F.lower(s)
     afraid = low.rlike("no|stop|run|help") | s.rlike(BENGALI_FEAR)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skald import dimensions as D
 from skald.functions import text as X
-from skald.operators import planning as P, script as S
+from skald.operators import lexicon as L, planning as P, script as S
 from skald.plans.registry import query, workspace
 from skald.plans.views import duck, table, view
 from skald.sources import files
@@ -31,17 +31,22 @@ def s1(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("script_id"), F.col("source").alias("name"), "lang", F.length("text").cast("long").alias("chars"))
 
 
-USER_LEXICON = {"_comment": "x", "Nevada": "neh-VAH-dah", "Harris": "HAIR-iss"}
+USER_LEXICON = {"_comment": "x", "Nevada": "neh-VAH-dah", "Harris": "HAIR-iss", "paid in": "PAYD in", "in Nevada": "never read"}
 LEXICON_SQL = D.values_sql([*({**D.PRONUNCIATIONS, **{k: v for k, v in USER_LEXICON.items() if k[0] != "_"}}).items()], "word, spoken")
 
 
+def user_lexicon(spark) -> DataFrame:
+    """A user's lexicon file, written and read again, over the built-in lexicon."""
+    path = workspace(spark, "lexicon")
+    spark.range(1).select(F.lit(json.dumps(USER_LEXICON)).alias("value")).coalesce(1).write.text(path)
+    return files.scan_pronunciations(spark, path)
+
+
 @query("s4_scan_pronunciations", "with " + duck("v_numeric") + ", w as (select distinct script_id, unnest(regexp_extract_all(script_text, '[A-Za-z]+')) word from v_numeric), l as (select * from " + LEXICON_SQL + ") select script_id, word, spoken from w join l using (word)")
 def s4(spark, d):
     """The words of every script that a user's lexicon file or the built-in lexicon respells."""
-    path = workspace(spark, "lexicon")
-    spark.range(1).select(F.lit(json.dumps(USER_LEXICON)).alias("value")).coalesce(1).write.text(path)
     words = numeric(spark, d).select("script_id", F.explode(F.array_distinct(F.regexp_extract_all("script_text", F.lit("[A-Za-z]+"), F.lit(0)))).alias("word"))
-    return P.lookup(words, files.scan_pronunciations(spark, path), "word").where("spoken is not null").select("script_id", "word", "spoken")
+    return words.join(user_lexicon(spark), "word").select("script_id", "word", "spoken")
 
 
 @query("p1_strip_markup", T + rf" select script_id, regexp_replace(script_text, '{TAG}', '', 'g') plain from v_tagged")
@@ -93,7 +98,7 @@ CUE = ", lex as (select * from " + D.values_sql(LEX, "priority, cue, emotion") +
 
 @query("e2_cue_emotion", T + ", " + SENTS.format("v_tagged") + CUE + " select script_id, cast(sent_no as int) sent_no, cue_emotion from s left join cue using (script_id, sent_no)")
 def e2(spark, d):
-    return S.cue_join(S.simple_sentences(tagged(spark, d)), D.cues(spark)).select("script_id", "sent_no", "cue_emotion")
+    return L.first_cue(S.simple_sentences(tagged(spark, d)), D.cues(spark)).select("script_id", "sent_no", "cue_emotion")
 
 
 MARK = "case when rtrim(sentence) like '%!' and regexp_matches(lower(sentence), 'no|stop|run|help') then 'FEAR' when rtrim(sentence) like '%!' then 'EXCITED' when rtrim(sentence) like '%?' and regexp_matches(lower(sentence), '\\b(who|what|where|why|how)\\b') then 'MYSTERIOUS' end"
@@ -231,7 +236,11 @@ def t4a(spark, d):
     return S.sentences(view(spark, d, "v_script")).select("script_id", F.col("sent_no").cast("int"), "sentence")
 
 
-@query("t5_hard_split")
+CLAUSES = r"list_transform(string_split(regexp_replace(sentence, '([,;:।])\s+', '\1' || chr(1), 'g'), chr(1)), lambda c: [c])"
+PACKED = f"list_reduce({CLAUSES}, lambda acc, x: case when length(acc[-1]) + length(x[1]) + 1 <= 200 then list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) else list_concat(acc, x) end)"
+
+
+@query("t5_hard_split", "with " + duck("v_script") + ", " + SENTS.format("v_script") + f", h as (select script_id, sent_no, case when length(sentence) <= 200 then [sentence] else {PACKED} end parts from s) select script_id, cast(sent_no as int) sent_no, cast(unnest(range(0, len(parts))) as int) part, unnest(parts) as text from h")
 def t5(spark, d):
     s = S.simple_sentences(view(spark, d, "v_script"))
     return s.select("script_id", "sent_no", F.posexplode(S.hard_split(F.col("sentence"), 200)).alias("part", "text"))
@@ -315,10 +324,13 @@ x as (select k, {words_sql('k')} key_w, {words_sql('price')} || ' dollars and '
 spoken as (select k, case when k between 1800 and 2099 then {year_sql('k')} else {words_sql('k')} end order_w from o)"""
 
 
-@query("n1_number_to_words", N + " select k, key_w as said, case when k = 0 then key_w else 'minus ' || key_w end minus_said from x")
+@query("n1_number_to_words", N + " select k, key_w as said, case when k = 0 then key_w else 'minus ' || key_w end minus_said, key_w || ' billion ' || key_w || ' billion ' || key_w || ' billion' long_said from x where k > 0 union all select k, key_w, key_w, key_w from x where k = 0")
 def n1(spark, d):
+    """Keys, their negatives, and numbers of some 28 to 34 digits made of the key."""
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select(k.alias("k"), X.number_words(k).alias("said"), X.number_words(-k).alias("minus_said"))
+    nine = F.lpad(k.cast("string"), 9, "0")
+    long = F.concat(k.cast("string"), nine, nine, F.lit("0" * 9))
+    return table(spark, d, "orders").select(k.alias("k"), X.number_words(k).alias("said"), X.number_words(-k).alias("minus_said"), X.number_words(long).alias("long_said"))
 
 
 @query("n2_year_to_words", N + " select k, year_w as said from x")
@@ -342,6 +354,15 @@ def one_pass(name: str):
     return run
 
 
+@query("n4_long_amounts", N + " select k, 'Paid ' || key_w || ' billion ' || key_w || ' euros and one two cents, up ' || key_w || ' billion ' || key_w || ' point five percent in ' || key_w || ' billion ' || key_w || ' point two five miles' said from x where k > 0")
+def n4_long(spark, d):
+    """Amounts, shares and measures of more than twelve digits."""
+    k = F.col("o_orderkey").cast("string")
+    long = F.concat(k, F.lpad(k, 9, "0"))
+    text = F.concat(F.lit("Paid €"), long, F.lit(".129, up "), long, F.lit(".5% in "), long, F.lit(".25 miles"))
+    return table(spark, d, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").alias("k"), X.normalise(text).alias("said"))
+
+
 RAW_MONEY = "'$' || price || '.' || lpad(cast(cents as varchar), 2, '0')"
 query("n4_normalize_money", N + f" select script_id, replace(script_text, {RAW_MONEY}, money_w) said from v_numeric join x on k = script_id join o using (k)")(one_pass("money"))
 query("n5_normalize_percent", N + " select script_id, replace(script_text, ' ' || pct || '%', ' ' || pct_w) said from v_numeric join x on k = script_id join o using (k)")(one_pass("percent"))
@@ -361,7 +382,7 @@ def n9(spark, d):
     return table(spark, d, "pages").select("page_id", X.PASSES["urls"](F.concat(F.lit("see "), "url", F.lit(" now"))).alias("said"))
 
 
-@query("l1_apply_pronunciations", "with " + duck("v_numeric") + r" select script_id, regexp_replace(script_text, '\bNevada\b', 'nuh-VAD-uh', 'g') said, cast(len(regexp_extract_all(script_text, '\bNevada\b')) as int) hits from v_numeric")
+@query("l1_apply_pronunciations", "with " + duck("v_numeric") + r" select script_id, replace(replace(replace(script_text, 'Harris', 'HAIR-iss'), 'paid in', 'PAYD in'), 'Nevada', 'neh-VAH-dah') said, 3 as hits from v_numeric")
 def l1(spark, d):
-    said, hits = X.pronounce(F.col("script_text"))
-    return numeric(spark, d).select("script_id", said.alias("said"), hits.cast("int").alias("hits"))
+    """A user's lexicon file applied to every script; 'paid in' begins before 'in Nevada' and wins."""
+    return L.respell(numeric(spark, d), user_lexicon(spark)).select("script_id", "said", "hits")

@@ -107,10 +107,10 @@ def g3(spark, d):
     return clips(spark, d).select("clip_id", "pos", r6(G.fade(F.col("amp"), F.col("pos"), F.lit(64), 8, 16, 1.5), "amp"))
 
 
-@query("g4_micro_fades", V + " select clip_id, pos, round(case when label % 4 <> 0 then amp else amp * case when pos < 4 then 0.5 - 0.5 * cos(pi() * pos / 4.0) else 1.0 end * case when pos >= 56 then 0.5 - 0.5 * cos(pi() * (63 - pos) / 8.0) else 1.0 end end, 6) amp from v_clip")
+@query("g4_micro_fades", V + " select clip_id, pos, round(case when label % 4 <> 0 then amp else amp * case when pos < 4 then 0.5 - 0.5 * cos(pi() * pos / 4.0) else 1.0 end * case when pos >= 56 then 0.5 - 0.5 * cos(pi() * (63 - pos) / 8.0) else 1.0 end end, 6) + 0.0 amp from v_clip")
 def g4(spark, d):
     voice = F.col("label") % 4 == 0  # only the voice is faded
-    return clips(spark, d).select("clip_id", "pos", r6(F.when(voice, G.micro_fade(F.col("amp"), F.col("pos"), F.lit(64), 4, 8)).otherwise(F.col("amp")), "amp"))
+    return clips(spark, d).select("clip_id", "pos", (F.round(F.when(voice, G.micro_fade(F.col("amp"), F.col("pos"), F.lit(64), 4, 8)).otherwise(F.col("amp")), 6) + F.lit(0.0)).alias("amp"))
 
 
 @query("g5_peak_normalise", V + ", m as (select *, max(abs(amp * 3)) over (partition by clip_id) p from v_clip) select clip_id, pos, round(case when p > 1 then amp * 3 / p else amp * 3 end, 6) guarded, round(case when p > 1e-9 then amp * 3 * (0.9 / p) else amp * 3 end, 6) scaled from m")

@@ -1,6 +1,7 @@
 import io
 import json
 import random
+import re
 import time
 import wave
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skald.functions import text as X
-from skald.operators import blocks as K, script as S, signal as G
+from skald.operators import blocks as K, lexicon as L, script as S, signal as G
 from skald.sources import files
 from skald.streaming import jobs
 
@@ -46,6 +47,83 @@ def test_number_words(spark):
     ]
 
 
+def spoken_number(n):
+    """Words of a whole number by recursion."""
+    if n < 20:
+        return X.ONES[n]
+    if n < 100:
+        return X.TENS[n // 10] + (f"-{X.ONES[n % 10]}" if n % 10 else "")
+    for scale, word in ((10**9, "billion"), (10**6, "million"), (10**3, "thousand"), (100, "hundred")):
+        if n >= scale:
+            return f"{spoken_number(n // scale)} {word}" + (f" {spoken_number(n % scale)}" if n % scale else "")
+
+
+def test_numbers_of_any_length(spark):
+    numbers = [0, 7, 100, 10**9 - 1, 10**9, 10**12, 1234567890123, 12345678901234567890, 10**18, 10**39, 10**40 + 5, int("9" * 40), 10**27 + 10**9]
+    digits = [str(n) for n in numbers] + ["000", "0007"]
+    assert said(spark, X.whole_words, *digits) == [spoken_number(int(d)) for d in digits]
+    for n in numbers[5:]:
+        w, spelled = spoken_number(n), " ".join(X.ONES[int(c)] for c in str(n))
+        texts = [f"${n}", f"${n}.50", f"{n}%", f"{n}.25%", f"{n}.5 km", f"{n} km", f"-{n}.75", f"{n}"]
+        want = [f"{w} dollars", f"{w} dollars and five zero cents", f"{spelled} percent", f"{w} point two five percent", f"{w} point five kilometers", f"{spelled} kilometers", f"minus {w} point seven five", spelled]
+        assert said(spark, X.normalise, *texts) == want
+
+
+def test_one_pattern_says_what_the_passes_say(spark):
+    rng = random.Random(7)
+    bits = ["5", "12", "1999", "2004", "1,250", "2,1999", "0.5", ".", ",", ":", "-", "%", " %", "$", "€", " ", " ", " ", "km", " km", "m", "s", "st", "nd", "th", "March ", "may", "Sept. 21, ", "May 5, 1999", "5:30", "x", "Dr. ", "St. A", "https://a.io/2004-x", "www.b.com ", "\n", "A", "_", "1990s", "7 miles"]
+    texts = ["", "No number.", "5:30%", "-1999", "1.2.5 km", "May 21, 1999%", "May 21, 1999 km", "a%3", "5%3", "5%-3", "$5-6", "$5km", "1995st 21st", "2,1999", "On 1990s nights", "-5% -5:30 -7 x-7"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    assert said(spark, X.normalise, *texts) == said(spark, X.in_passes, *texts)
+
+
+def test_first_cue_is_the_first_of_the_lexicon(spark, monkeypatch):
+    rng = random.Random(5)
+    letters = "abcé"
+    lexicon = [("".join(rng.choice(letters) for _ in range(rng.randint(1, 4))), f"E{i % 7}", rng.randint(0, 50)) for i in range(60)] + [(None, "N", 0), ("aa", None, 0)]
+    sents = [(1, i, "".join(rng.choice(letters.upper() + letters + " ") for _ in range(rng.randint(0, 12)))) for i in range(200)] + [(2, 0, None), (2, 1, "")]
+    df, table = spark.createDataFrame(sents, "script_id int, sent_no int, sentence string"), spark.createDataFrame(lexicon, "cue string, emotion string, priority int")
+    best = {}
+    for c, e, p in lexicon:
+        if c is not None and e is not None:
+            best[c] = min(best.get(c, (p, e)), (p, e))
+    want = {}
+    for s, n, text in sents:
+        hits = [] if text is None else [(p, c, e) for c, (p, e) in best.items() if c in text.lower()]
+        want[s, n] = min(hits)[2] if hits else None
+    for size in (50_000, 7):
+        monkeypatch.setattr(L, "CUES", size)
+        plan = L.first_cue(df, table)
+        assert {(r.script_id, r.sent_no): r.cue_emotion for r in plan.collect()} == want
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r.cue_emotion for r in L.first_cue(df, table.limit(0)).collect()} == {None}
+
+
+def test_ten_thousand_cues(spark):
+    table = spark.range(10_000).select(F.concat(F.lit("cue"), "id", F.lit("x")).alias("cue"), F.concat(F.lit("E"), "id").alias("emotion"), F.col("id").cast("int").alias("priority"))
+    sents = spark.range(20_000).select(F.col("id").alias("script_id"), F.lit(0).alias("sent_no"), F.concat(F.lit("It has CUE"), F.col("id") % 10_000, F.lit("x and cue9999x")).alias("sentence"))
+    began = time.perf_counter()
+    assert L.first_cue(sents, table).where(F.col("cue_emotion") == F.concat(F.lit("E"), F.col("script_id") % 10_000)).count() == 20_000
+    assert time.perf_counter() - began < 30
+
+
+def test_respell_by_table(spark):
+    lexicon = [("Nevada", "nuh-VAD-uh"), ("new york", "noo YORK"), ("york", "YAWK"), ("york minster", "the minster"), ("", "x"), (None, "y"), ("same", "same"), ("a$b", "money"), ("...", "dots"), ("New", "NOO"), ("york", "zzz")]
+    texts = ["Nevada nevada NEVADA", "New York Minster, york", "In new YORK minster", "xyork york's", "a$b A$B ...", "", None, "Nevada" * 2, "New new"]
+    want = [("nuh-VAD-uh nevada NEVADA", 1), ("noo YORK Minster, YAWK", 2), ("In noo YORK minster", 1), ("xyork YAWK's", 1), ("money money ...", 2), ("", 0), (None, 0), ("NevadaNevada", 0), ("NOO new", 1)]
+    df = spark.createDataFrame([(i, t, 1.5) for i, t in enumerate(texts)] + [(None, "Nevada", 0.0)], "script_id int, script_text string, word double")
+    got = {r.script_id: (r.said, r.hits) for r in L.respell(df, spark.createDataFrame(lexicon, "word string, spoken string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and got[None] == ("nuh-VAD-uh", 1)
+
+
+def test_respell_by_a_large_table(spark):
+    table = spark.range(100_000).select(F.concat(F.lit("word"), "id").alias("word"), F.concat(F.lit("said"), "id").alias("spoken"))
+    df = spark.range(3000).select(F.col("id").alias("script_id"), F.concat(F.lit("it is word"), F.col("id") * 33, F.lit(" or wordx")).alias("script_text"))
+    plan = L.respell(df, table)
+    assert plan.where(F.col("said") == F.concat(F.lit("it is said"), F.col("script_id") * 33, F.lit(" or wordx"))).count() == 3000
+    assert "word99" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pronounce(spark):
     df = spark.createDataFrame([("Nevada and nevada, aioli AIOLI Nevadan",)], "t string")
     text, hits = X.pronounce(F.col("t"), {"Nevada": "nuh-VAD-uh", "aioli": "ay-OH-lee", "": "x"})
@@ -74,10 +152,32 @@ def test_sentences(spark):
     assert [r.sentence for r in rows] == ["Dr. Smith came.", "He sat at 5 p.m. today.", '"Why?"', "She left!", "আমি যাই।", "তুমি থাকো।"]
 
 
-def test_hard_split(spark):
-    text = ", ".join(["clause number %d" % i for i in range(100)])
-    parts = spark.createDataFrame([(text,)], "s string").select(S.hard_split(F.col("s"), 200)).first()[0]
-    assert " ".join(parts) == text and max(map(len, parts)) <= 200
+def packed(text, most):
+    """Clauses packed by a loop."""
+    out = [""]
+    for c in re.split(r"(?<=[,;:।])\s+", text):
+        if len(out[-1]) + len(c) + 1 <= most:
+            out[-1] = (out[-1] + " " + c).strip()
+        else:
+            out.append(c)
+    return [text] if len(text) <= most else [x for x in out if x]
+
+
+def test_hard_split_is_the_loop(spark):
+    rng = random.Random(3)
+    texts = [", ".join(f"clause number {i}" for i in range(100)), "x" * 700, "é" * 200 + ", b", "a, " + "y" * 300 + "; z", "ক, " * 100 + "end"]
+    for _ in range(300):
+        texts.append("".join(rng.choice(["word", "a", "longerword " * rng.randint(1, 9), ",", ", ", ";  ", ": ", "। ", " "]) for _ in range(rng.randint(1, 120))).strip())
+    for most in (20, 200):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", S.hard_split(F.col("s"), most).alias("p")).collect()
+        assert {r.i: list(r.p) for r in rows} == {i: packed(t, most) for i, t in enumerate(texts)}
+
+
+def test_hard_split_of_a_million_clauses(spark):
+    text = F.array_join(F.array_repeat(F.lit("a clause of it"), 1_000_000), ", ")
+    began = time.perf_counter()
+    r = spark.range(1).select(S.hard_split(text).alias("p")).select(F.size("p"), F.array_max(F.transform("p", F.length)), F.length(F.array_join("p", " "))).first()
+    assert r[1] <= 600 and r[2] == 16 * 1_000_000 - 2 and time.perf_counter() - began < 30
 
 
 @pytest.mark.parametrize(
