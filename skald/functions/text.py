@@ -20,6 +20,8 @@ UNITS = {
 }
 URL_WORDS = [("https://", ""), ("http://", ""), ("www.", "w w w dot "), (".com", " dot com"), (".org", " dot org"), (".net", " dot net"), (".io", " dot i o"), ("/", " slash "), ("-", " dash "), ("_", " underscore ")]
 
+#: A character that texts hardly have.
+MARK = "\x01"
 AMOUNT = r"\d(?:[\d,]*\d)?(?:\.\d+)?"
 URL = r"(?i)\b(?:https?://|www\.)\S+"
 ABBREVIATION = r"(?i)\b(Mr|Mrs|Ms|Dr|Prof|St|Ave|Blvd)\.(?=\s+(?-i:[A-Z]))"
@@ -40,7 +42,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def replace_each(text: Column, pattern: str, spoken: Callable[[Column], Column]) -> Column:
     """Every match replaced by a function of it; texts without a match are left as they are."""
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spoken)
-    joined = F.array_join(F.zip_with(F.split(text, pattern), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    # split compiles its pattern for every row, unless it is one character
+    parts = F.when(text.contains(MARK), F.split(text, pattern)).otherwise(F.split(F.regexp_replace(text, pattern, MARK), MARK))
+    joined = F.array_join(F.zip_with(parts, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
@@ -60,18 +64,19 @@ def _thousand(n: Column) -> Column:
 
 
 def whole_words(digits: Column) -> Column:
-    """Cardinal of a text of digits of any length: groups of nine, with a billion between them."""
-
-    def say(n: Column) -> Column:
-        part = lambda k: F.floor(n / 10**k) % 1000
-        parts = [F.when(part(k) > 0, F.concat(_thousand(part(k)), F.lit(f" {w}"))) for k, w in ((6, "million"), (3, "thousand"))]
-        return F.concat_ws(" ", *parts, F.when(n % 1000 > 0, _thousand(n % 1000)))
+    """Cardinal of a text of digits of any length: groups of three, with a billion after every third."""
 
     def spell(bare: Column) -> Column:
-        wide = F.lpad(bare, F.ceil(F.length(bare) / 9) * 9, F.lit("0"))
-        groups = F.transform(F.when(F.length(bare) <= 9, F.array(bare)).otherwise(F.regexp_extract_all(wide, F.lit(r"\d{9}"), F.lit(0))), lambda g: g.cast("int"))
-        said = F.transform(groups, lambda n, i: F.when(n == 0, "").otherwise(F.concat(F.when(i == 0, "").otherwise(" "), say(n))))
-        return F.when(bare == "", F.lit("zero")).otherwise(F.array_join(said, " billion"))
+        m = F.ceil(F.length(bare) / 3)
+        groups = F.when(F.length(bare) <= 3, F.array(bare)).otherwise(F.regexp_extract_all(F.lpad(bare, m * 3, F.lit("0")), F.lit(r"\d{3}"), F.lit(0)))
+
+        def say(g: Column, i: Column) -> Column:
+            low = (m - i) % 3  # 1 for ones, 2 for thousands, 0 for millions
+            scale = F.when(low == 1, "").when(low == 2, " thousand").otherwise(" million")
+            return F.concat(F.when(g > 0, F.concat(F.lit(" "), _thousand(g), scale)).otherwise(""), F.when((low == 1) & (i < m - 1), " billion").otherwise(""))
+
+        said = F.transform(F.transform(groups, lambda g: g.cast("int")), say)
+        return F.when(bare == "", F.lit("zero")).otherwise(F.ltrim(F.array_join(said, "")))
 
     return let(F.ltrim(digits, F.lit("0")), spell)
 
@@ -125,12 +130,14 @@ def say_time(m: Column) -> Column:
     return F.concat(_hundred(hour), F.lit(" "), low)
 
 
+def unit_of(m: Column) -> Column:
+    """The spoken unit that a measure ends with."""
+    names, words = list(UNITS), list(UNITS.values())
+    return pick(words, F.array_position(F.split(F.lit(",".join(names)), ","), F.lower(F.regexp_extract(m, r"[A-Za-z]+$", 0))) - 1)
+
+
 def say_measure(m: Column) -> Column:
-    unit = F.lower(F.regexp_extract(m, r"[A-Za-z]+$", 0))
-    word = unit
-    for k, v in UNITS.items():
-        word = F.when(unit == k, F.lit(v)).otherwise(word)
-    return F.concat(number_token(F.regexp_extract(m, "^" + AMOUNT, 0)), F.lit(" "), word)
+    return F.concat(number_token(F.regexp_extract(m, "^" + AMOUNT, 0)), F.lit(" "), unit_of(m))
 
 
 def ordinal_words(n: Column) -> Column:
@@ -139,13 +146,18 @@ def ordinal_words(n: Column) -> Column:
     return F.when(n <= 20, pick(ORDINALS, n)).otherwise(tens)
 
 
+def month_of(m: Column) -> Column:
+    """The full name of the month that a date begins with."""
+    return pick(MONTHS, F.array_position(F.split(F.lit(",".join(name[:3].lower() for name in MONTHS)), ","), F.lower(F.substring(m, 1, 3))) - 1)
+
+
+def day_of(m: Column) -> Column:
+    day = F.regexp_extract(m, r"\s(\d{1,2})", 1).cast("int")
+    return F.when(day <= 31, ordinal_words(day)).otherwise(_hundred(day))
+
+
 def say_date(m: Column) -> Column:
-    head = F.lower(F.substring(m, 1, 3))
-    month = F.lit(None)
-    for name in MONTHS:
-        month = F.when(head == name[:3].lower(), F.lit(name)).otherwise(month)
-    day, year = F.regexp_extract(m, r"\s(\d{1,2})", 1).cast("int"), F.regexp_extract(m, r"(\d{4})$", 1)
-    return F.concat(month, F.lit(" "), F.when(day <= 31, ordinal_words(day)).otherwise(number_words(day)), F.lit(", "), year_words(year))
+    return F.concat(month_of(m), F.lit(" "), day_of(m), F.lit(", "), year_words(F.regexp_extract(m, r"(\d{4})$", 1)))
 
 
 def say_url(m: Column) -> Column:
@@ -199,9 +211,13 @@ ENTANGLED = "|".join(
 
 def say_form(m: Column) -> Column:
     """A matched form in words, by what it looks like."""
+    dated = m.rlike(r"^[A-Za-z]")
+    year = dated | m.rlike(r"^(?:1[89]\d{2}|20\d{2})s?$")
+    date = F.concat(month_of(m), F.lit(" "), day_of(m), F.lit(", "))
+    unit = F.when(m.endswith("%"), " percent").when(m.rlike(r"[A-Za-z]$"), F.concat(F.lit(" "), unit_of(m))).otherwise("")
     return (
-        F.when(m.rlike(r"^[$€£]"), say_money(m)).when(m.endswith("%"), say_percent(m)).when(m.contains(":"), say_time(m)).when(m.rlike(r"^[A-Za-z]"), say_date(m))
-        .when(m.rlike(r"^(?:1[89]\d{2}|20\d{2})s?$"), year_words(F.rtrim(m, F.lit("s")))).when(m.rlike(r"[A-Za-z]$"), say_measure(m)).otherwise(number_token(m))
+        F.when(year, F.concat(F.when(dated, date).otherwise(""), year_words(F.regexp_extract(m, r"(\d{4})s?$", 1)))).when(m.rlike(r"^[$€£]"), say_money(m)).when(m.contains(":"), say_time(m))
+        .otherwise(F.concat(number_token(F.regexp_extract(m, "^-?" + AMOUNT, 0)), unit))
     )
 
 

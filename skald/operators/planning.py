@@ -167,17 +167,33 @@ def base_name(path: Column) -> Column:
 
 
 def relocate(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """``rows`` with ``path`` pointing at the cached file of the same base name, where there is one."""
-    f = files.select(base_name(F.col("path")).alias("_base"), F.col("path").alias("_path"))
+    """``rows`` with ``path`` pointing at the cached file of the same base name, where there is one; of several the first by its path."""
+    f = files.where("path is not null").groupBy(base_name(F.col("path")).alias("_base")).agg(F.min("path").alias("_path"))
     return rows.join(f, base_name(F.col("path")) == F.col("_base"), "left").withColumn("path", F.coalesce("_path", "path")).drop("_base", "_path")
 
 
 def resume_plan(plan: DataFrame, results: DataFrame) -> DataFrame:
-    """``plan`` with state, path and seconds: finished chunks keep theirs, the rest is pending."""
-    r = results.select("key", "status", F.col("path").alias("_path"), F.col("seconds").alias("_seconds"))
-    done = (F.col("status") == "done") & F.col("_path").isNotNull()
-    out = plan.join(r, "key", "left")
-    return out.select(*plan.columns, F.when(done, "done").otherwise("pending").alias("state"), F.when(done, F.col("_path")).alias("path"), F.when(done, F.col("_seconds")).alias("seconds"))
+    """``plan`` with state, path and seconds: finished chunks keep theirs, the rest is pending.
+
+    A key counts as finished if one of its results is done and has a path; of several the last by its path, then its seconds.
+    """
+    done = results.where((F.col("status") == "done") & F.col("path").isNotNull())
+    r = done.groupBy("key").agg(F.max(F.struct("path", "seconds")).alias("_r"))
+    has = F.col("_r").isNotNull()
+    return plan.join(r, "key", "left").select(*plan.columns, F.when(has, "done").otherwise("pending").alias("state"), F.col("_r.path").alias("path"), F.col("_r.seconds").alias("seconds"))
+
+
+def recoverable(saves: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(project, source, at, file): what each project opens with, its last snapshot if that is newer than its last save.
+
+    Both sides: project, at, file. A project without a save opens with its snapshot, one without a snapshot with its save;
+    at the same time the save counts. Rows without a time count only where a project has no other.
+    """
+    last = lambda df, c: df.groupBy("project").agg(F.max(F.struct("at", "file")).alias(c))
+    both = last(saves, "_save").join(last(snapshots, "_snap"), "project", "full_outer")
+    newer = F.col("_save").isNull() | F.coalesce(F.col("_snap.at") > F.col("_save.at"), F.col("_save.at").isNull() & F.col("_snap.at").isNotNull())
+    pick = F.when(newer, F.col("_snap")).otherwise(F.col("_save"))
+    return both.withColumns({"source": F.when(newer, "snapshot").otherwise("save"), "_x": pick}).select("project", "source", F.col("_x.at").alias("at"), F.col("_x.file").alias("file"))
 
 
 def latest(df: DataFrame, by: str | list[str], *order: Column) -> DataFrame:
@@ -189,9 +205,12 @@ def latest(df: DataFrame, by: str | list[str], *order: Column) -> DataFrame:
 # timelines
 
 
-def timeline(df: DataFrame, by: str, order: str, before: Column, seconds: Column, after: Column) -> DataFrame:
-    """``df`` with start_seconds: a running cursor over the rows of ``by``."""
+def timeline(df: DataFrame, by: str, order: str, before: Column, seconds: Column, after: Column, gap: Column | None = None) -> DataFrame:
+    """``df`` with start_seconds: a running cursor over the rows of ``by``. A ``gap`` is added to the silence ahead of its row."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if gap is not None:  # gaps look back a row themselves: they are worked out ahead of the cursor
+        df = df.withColumn("_gap", gap)
+        return timeline(df, by, order, before + F.col("_gap"), seconds, after).drop("_gap")
     return df.withColumn("start_seconds", F.coalesce(F.sum(before + seconds + after).over(w), F.lit(0.0)) + before)
 
 

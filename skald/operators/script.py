@@ -1,4 +1,8 @@
-"""Scripts to segments, scenes, sentences, annotations and chunks: windows over rows, one shuffle by script."""
+"""Scripts to segments, scenes, sentences, annotations and chunks: windows over rows, one shuffle by script.
+
+``by`` names the columns that tell scripts, or parts of scripts, apart; the first is the script's, by which rows are dealt.
+What a script or part brings along (rates, scenes, effects) is among them, so that nothing is joined back.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skald import dimensions as D
 from skald.functions import text as X
-from skald.operators import planning as P
+from skald.operators import lexicon as L, planning as P
 
 SCENE_LINE = r"(?i)^\s*(?:\[\s*SCENE\s*:?\s*([^\]]*)\]\s*|#{1,3}\s*(.+))$"
 SENTENCE = r"""(?U)(?<=[.!?।])\s+(?=["'A-Z0-9ঀ-৿])|(?<=[.!?।]["”’])\s+"""
@@ -19,8 +23,9 @@ BENGALI_SAID = "বললেন|বলল|বলে উঠল|জিজ্ঞে
 BENGALI_FEAR = "বাঁচাও|থাম|দৌড়|পালাও"
 BENGALI_WH = r"(?<![ঀ-৿])(?:কে|কী|কেন|কিভাবে|কোথায়|কখন|কোন|কেমন)(?![ঀ-৿])"
 
-ordered = lambda *by: Window.partitionBy("script_id").orderBy(*by)
-running = lambda *by: ordered(*by).rowsBetween(Window.unboundedPreceding, 0)
+ID = ("script_id",)
+ordered = lambda *order, by=ID: Window.partitionBy(*by).orderBy(*order)
+running = lambda *order, by=ID: ordered(*order, by=by).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def explode_lines(df: DataFrame, text: str, sep: str, no: str, out: str) -> DataFrame:
@@ -31,15 +36,15 @@ def explode_lines(df: DataFrame, text: str, sep: str, no: str, out: str) -> Data
 # markup
 
 
-def segments(scripts: DataFrame) -> DataFrame:
-    """(script_id, seg_no, text, emotion, effects, pause_after) of tagged scripts.
+def segments(scripts: DataFrame, by: tuple[str, ...] = ID) -> DataFrame:
+    """(by, seg_no, text, emotion, effects, pause_after) of tagged scripts.
 
     A tag's state holds for the text after it; a pause belongs to the text before it, pauses ahead of all text are
     dropped. Unknown tags vanish without ending a segment.
     """
     raw = F.col("script_text")
     tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(raw, F.lit(X.TAG), F.lit(0)))
-    rows = scripts.select("script_id", F.posexplode(F.arrays_zip(F.split(raw, X.TAG).alias("part"), tags.alias("tag"))).alias("i", "z")).select("script_id", "i", "z.part", "z.tag")
+    rows = scripts.select(*by, F.posexplode(F.arrays_zip(F.split(raw, X.TAG).alias("part"), tags.alias("tag"))).alias("i", "z")).select(*by, "i", "z.part", "z.tag")
     head = F.upper(F.regexp_extract("tag", r"^\[(/?[A-Za-z_]+)", 1))
     value = F.trim(F.regexp_extract("tag", r":([^\]]*)\]$", 1))
     number = F.when(value == "", F.lit("1")).otherwise(value).try_cast("double")
@@ -52,21 +57,21 @@ def segments(scripts: DataFrame) -> DataFrame:
         }
     )
     on = {f"on_{e}": F.when(F.col("head") == e.upper(), True).when(F.col("head") == "/" + e.upper(), False) for e in D.EFFECTS}
-    rows = rows.withColumns(on).withColumn("grp", F.sum("known").over(running("i")))
-    state = {"emo": F.last("emo", True).over(running("i"))} | {c: F.coalesce(F.last(c, True).over(running("i")), F.lit(False)) for c in on}
+    rows = rows.withColumns(on).withColumn("grp", F.sum("known").over(running("i", by=by)))
+    state = {"emo": F.last("emo", True).over(running("i", by=by))} | {c: F.coalesce(F.last(c, True).over(running("i", by=by)), F.lit(False)) for c in on}
     rows = rows.withColumns(state)
-    parts = rows.groupBy("script_id", "grp").agg(
+    parts = rows.groupBy(*by, "grp").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "").alias("text"),
         F.max_by("emo", "i").alias("emotion"), F.sum("pause").alias("pause"), *(F.max_by(c, "i").alias(c) for c in on),
     )
     full = (F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "").cast("int")
-    parts = parts.withColumn("full", full).withColumn("seg_no", F.sum("full").over(running("grp")))
-    # the pause of a group stands before its text: it goes to the segment before
-    back = parts.withColumn("to", F.col("seg_no") - F.col("full"))
-    pauses = back.groupBy("script_id", F.col("to").alias("seg_no")).agg(F.sum("pause").alias("pause_after"))
+    parts = parts.withColumn("full", full).withColumn("seg_no", F.sum("full").over(running("grp", by=by)))
     effects = F.array_compact(F.array(*(F.when(F.col(f"on_{e}"), e) for e in sorted(D.EFFECTS))))
-    segs = parts.where("full = 1").select("script_id", "seg_no", F.regexp_replace("text", r"(?U)\s+$", "").alias("text"), F.coalesce("emotion", F.lit("")).alias("emotion"), effects.alias("effects"))
-    return segs.join(pauses, ["script_id", "seg_no"], "left").withColumn("pause_after", F.coalesce("pause_after", F.lit(0.0)))
+    said = F.struct(F.regexp_replace("text", r"(?U)\s+$", "").alias("text"), F.coalesce("emotion", F.lit("")).alias("emotion"), effects.alias("effects"))
+    # the pause of a group stands before its text: it goes to the segment before
+    each = parts.select(*by, F.inline(F.array(F.struct("seg_no", F.when(F.col("full") == 1, said).alias("x"), F.lit(0.0).alias("pause")), F.struct((F.col("seg_no") - F.col("full")).alias("seg_no"), F.lit(None).alias("x"), F.col("pause")))))
+    segs = each.groupBy(*by, "seg_no").agg(F.first("x", True).alias("x"), F.sum("pause").alias("pause_after")).where("x is not null")
+    return segs.select(*by, "seg_no", "x.text", "x.emotion", "x.effects", "pause_after")
 
 
 def unknown_tags(scripts: DataFrame) -> DataFrame:
@@ -75,19 +80,19 @@ def unknown_tags(scripts: DataFrame) -> DataFrame:
     return tags.where(~F.upper(F.regexp_extract("tag", r"^\[(/?[A-Za-z_]+)", 1)).isin(*known))
 
 
-def scenes(scripts: DataFrame) -> DataFrame:
-    """(script_id, scene_id, title, para_no, paragraph): paragraphs by scene; marker lines are not spoken."""
-    blocks = explode_lines(scripts.select("script_id", F.replace("script_text", F.lit("\r\n"), F.lit("\n")).alias("t")), "t", "\n\n", "para_no", "block")
+def scenes(scripts: DataFrame, by: tuple[str, ...] = ID) -> DataFrame:
+    """(by, scene_id, title, para_no, paragraph): paragraphs by scene; marker lines are not spoken."""
+    blocks = explode_lines(scripts.select(*by, F.replace("script_text", F.lit("\r\n"), F.lit("\n")).alias("t")), "t", "\n\n", "para_no", "block")
     lines = F.split("block", "\n")
     marks = F.filter(lines, lambda x: F.trim(x).rlike(SCENE_LINE))
     first = F.trim(F.get(marks, F.lit(0)))
     title = F.trim(F.concat(F.regexp_extract(first, SCENE_LINE, 1), F.regexp_extract(first, SCENE_LINE, 2)))
     marked = F.size(marks) > 0
     body = F.when(marked, F.array_join(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(SCENE_LINE)), "\n")).otherwise(F.col("block"))
-    rows = blocks.select("script_id", "para_no", body.alias("paragraph"), marked.cast("int").alias("m"), F.when(marked, title).alias("t"))
-    rows = rows.withColumns({"s": F.sum("m").over(running("para_no")), "t": F.last("t", True).over(running("para_no"))}).where(F.trim(F.regexp_replace("paragraph", r"(?U)\s+", " ")) != "")
-    rows = rows.withColumn("scene_id", F.dense_rank().over(ordered("s")))
-    return rows.select("script_id", "scene_id", F.coalesce(F.nullif("t", F.lit("")), F.concat(F.lit("Scene "), F.col("scene_id").cast("string"))).alias("title"), "para_no", "paragraph")
+    rows = blocks.select(*by, "para_no", body.alias("paragraph"), marked.cast("int").alias("m"), F.when(marked, title).alias("t"))
+    rows = rows.withColumns({"s": F.sum("m").over(running("para_no", by=by)), "t": F.last("t", True).over(running("para_no", by=by))}).where(F.trim(F.regexp_replace("paragraph", r"(?U)\s+", " ")) != "")
+    rows = rows.withColumn("scene_id", F.dense_rank().over(ordered("s", by=by)))
+    return rows.select(*by, "scene_id", F.coalesce(F.nullif("t", F.lit("")), F.concat(F.lit("Scene "), F.col("scene_id").cast("string"))).alias("title"), "para_no", "paragraph")
 
 
 # sentences
@@ -98,18 +103,18 @@ def simple_sentences(df: DataFrame, text: str = "script_text") -> DataFrame:
     return rows.where(F.trim("sentence") != "")
 
 
-def sentences(df: DataFrame, text: str = "script_text") -> DataFrame:
-    """(script_id, sent_no, sentence): lines cut at sentence ends, fragments after an abbreviation joined again."""
+def sentences(df: DataFrame, text: str = "script_text", by: tuple[str, ...] = ID) -> DataFrame:
+    """(by, sent_no, sentence): lines cut at sentence ends, fragments after an abbreviation joined again."""
     pieces = F.flatten(F.transform(F.split(F.col(text), "\n"), lambda x: F.concat(F.split(x, SENTENCE), F.array(F.lit("\x00")))))
-    rows = df.select("script_id", F.posexplode(pieces).alias("i", "p")).withColumn("p", F.regexp_replace("p", r"(?U)^\s+|\s+$", "")).where("p <> ''")
+    rows = df.select(*by, F.posexplode(pieces).alias("i", "p")).withColumn("p", F.regexp_replace("p", r"(?U)^\s+|\s+$", "")).where("p <> ''")
     last = F.regexp_replace(F.lower(F.regexp_replace(F.regexp_extract("p", r"(?U)(\S+)$", 1), r'[").]+$', "")), r"\.+$", "")
     short = last.isin(*D.ABBREVIATIONS) & ~F.col("p").rlike(r"[!?]$")
-    w = ordered("i")
+    w = ordered("i", by=by)
     # line ends are rows of their own until sentences are joined, so that none is joined across a line
     goes_on = F.coalesce(F.lag(short).over(w), F.lit(False)) & (F.col("p") != "\x00")
-    rows = rows.withColumn("n", F.sum((~goes_on).cast("int")).over(running("i"))).where("p <> '\x00'")
-    joined = rows.groupBy("script_id", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), " ").alias("sentence"))
-    return joined.select("script_id", (F.row_number().over(ordered("n")) - 1).alias("sent_no"), "sentence")
+    rows = rows.withColumn("n", F.sum((~goes_on).cast("int")).over(running("i", by=by))).where("p <> '\x00'")
+    joined = rows.groupBy(*by, "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), " ").alias("sentence"))
+    return joined.select(*by, (F.row_number().over(ordered("n", by=by)) - 1).alias("sent_no"), "sentence")
 
 
 def hard_split(sentence: Column, most: int = MAX_CHARS) -> Column:
@@ -240,29 +245,37 @@ def chunks(grouped: DataFrame) -> DataFrame:
     return out.withColumn("est_seconds", P.estimate_seconds(F.greatest(F.lit(1), "words"), F.col("target_wpm").cast("double"), F.col("pause_after"))).drop("_first", "_last")
 
 
-def process(scripts: DataFrame, strength: float = 0.7) -> DataFrame:
+def force_emotion(scripts: DataFrame, emotion: str | None = None) -> DataFrame:
+    """``scripts`` whose lines begin with the tag of the forced emotion; blank lines and scene markers stay as they are."""
+    own = F.col("forced_emotion") if "forced_emotion" in scripts.columns else F.lit(None).cast("string")
+    forced = F.upper(F.coalesce(F.nullif(F.trim(own), F.lit("")), F.lit(emotion or "")))
+    tagged = F.regexp_replace("script_text", F.lit(r"(?m)^(?=.*\S)(?!(?i:\s*(?:\[\s*SCENE\b|#{1,3}\s)))"), F.concat(F.lit("[EMOTION:"), F.regexp_replace(forced, r"[^A-Z_]", ""), F.lit("]")))
+    return scripts.withColumn("script_text", F.when(forced.isin("", "AUTO"), F.col("script_text")).otherwise(tagged))
+
+
+def process(scripts: DataFrame, strength: float = 0.7, forced_emotion: str | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """Scripts (script_id, script_text, target_wpm, words_per_chunk) to chunks: explicit tags win over annotations.
 
-    Scenes come first, then the segments of each paragraph, its sentences and their analysis; one partitioning by script
-    serves all windows.
+    Scenes come first, then the segments of each paragraph, its sentences and their analysis; rows are dealt by script once,
+    for all windows. An emotion that is forced, by a column ``forced_emotion`` or else the argument, holds from the start of
+    every line to a tag within it; null, empty and AUTO force none. A ``lexicon`` table (word, spoken) respells the text in
+    place of the built-in words.
     """
-    meta = scripts.select("script_id", "target_wpm", "words_per_chunk")
-    paras = scenes(scripts)
-    keyed = paras.select(F.struct("script_id", "para_no").alias("script_id"), F.col("paragraph").alias("script_text"))
-    segs = segments(keyed).select(F.struct("script_id", "seg_no").alias("script_id"), "text", "emotion", "effects", "pause_after")
-    said = segs.withColumn("text", X.let(X.normalise(F.col("text")), lambda t: X.pronounce(t)[0]))
-    sents = sentences(said, "text").select("script_id", F.posexplode(hard_split(F.col("sentence"))).alias("k", "sentence"), "sent_no")
-    rows = sents.join(segs.withColumnRenamed("emotion", "given").drop("text"), "script_id")
-    key = F.col("script_id")
-    last = F.lead("sent_no").over(Window.partitionBy("script_id").orderBy("sent_no", "k")).isNull()
-    rows = rows.select(
-        key["script_id"]["script_id"].alias("script_id"), key["script_id"]["para_no"].alias("para_no"), key["seg_no"].alias("seg_no"), F.col("sent_no").alias("_s"), "k", "sentence", "given", "effects",
-        F.when(last, F.col("pause_after")).otherwise(F.lit(0.0)).alias("pause"),
-    )
+    script = ("script_id", "target_wpm", "words_per_chunk")
+    dealt = force_emotion(scripts, forced_emotion).select(*script, "script_text").repartition("script_id")
+    para = (*script, "scene_id", "para_no")
+    paras = scenes(dealt, script).select(*para, F.col("paragraph").alias("script_text"))
+    seg = (*para, "seg_no", "given", "effects", "pause_after")
+    segs = segments(paras, para).withColumnRenamed("emotion", "given").withColumn("text", X.normalise(F.col("text")))
+    if lexicon is None:
+        said = segs.withColumn("text", X.let(F.col("text"), lambda t: X.pronounce(t)[0]))
+    else:
+        said = L.respell(segs.withColumn("_id", F.struct("script_id", "para_no", "seg_no")), lexicon, "text", "_id").withColumn("text", F.col("said"))
+    sents = sentences(said, "text", seg).select(*seg, F.posexplode(hard_split(F.col("sentence"))).alias("k", "sentence"), F.col("sent_no").alias("_s"))
+    last = F.lead("_s").over(ordered("_s", "k", by=seg)).isNull()
+    rows = sents.withColumn("pause", F.when(last, F.col("pause_after")).otherwise(F.lit(0.0)))
     rows = rows.withColumn("sent_no", F.row_number().over(ordered("para_no", "seg_no", "_s", "k")) - 1)
     rows = annotate(analyse(rows), strength)
-    rows = rows.withColumns(
-        {"emotion": F.when(F.col("given") != "", F.col("given")).otherwise(F.col("tag_emotion")), "effects": F.when(F.col("whispered"), F.array_sort(F.array_union("effects", F.array(F.lit("whisper"))))).otherwise(F.col("effects"))}
-    )
-    rows = rows.join(paras.select("script_id", "para_no", "scene_id"), ["script_id", "para_no"]).join(meta, "script_id")
+    tag = F.when(F.col("given") != "", F.col("given")).otherwise(F.col("tag_emotion"))
+    rows = rows.withColumns({"emotion": tag, "effects": F.when(F.col("whispered"), F.array_sort(F.array_union("effects", F.array(F.lit("whisper"))))).otherwise(F.col("effects"))})
     return chunks(chunk_groups(rows))

@@ -42,10 +42,30 @@ def s7(spark, d) -> DataFrame:
     return spark.read.parquet(path).groupBy("track").agg(F.count(F.lit(1)).alias("n_blocks"))
 
 
-@query("s5_scan_clips", "with b as (select vec_id clip_id, unnest(range(0, (len(embedding) + 15) // 16)) block_no, embedding from embeddings) select clip_id, cast(block_no as int) block_no, cast(len(embedding[block_no * 16 + 1:block_no * 16 + 16]) as int) n, cast(list_max(embedding[block_no * 16 + 1:block_no * 16 + 16]) as double) top from b")
+Q16 = "list_transform(embedding, lambda x: cast(floor(x::double * 32767) as int) / 32768.0::double)"
+
+
+@query("s5_scan_clips", f"with q as (select vec_id, {Q16} x from embeddings where vec_id % 50 <> 0), b as (select vec_id, x, unnest(range(0, (len(x) + 15) // 16)) block_no from q) select 'clip' || vec_id || '.wav' clip, cast(block_no as bigint) block_no, cast(len(x[block_no * 16 + 1:block_no * 16 + 16]) as int) n, list_max(x[block_no * 16 + 1:block_no * 16 + 16]) top, false failed from b union all select 'clip' || vec_id || '.wav', 0, null, null, true from embeddings where vec_id % 50 = 0")
 def s5(spark, d) -> DataFrame:
-    b = files.clip_blocks(table(spark, d, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("samples")), 16)
-    return b.select("clip_id", "block_no", F.size("samples").alias("n"), F.array_max("samples").cast("double").alias("top"))
+    """Clips written as WAV files, every third in two channels, every fiftieth broken, and read back by ranges of some frames."""
+    e = table(spark, d, "embeddings").repartition(8)
+    k, x = F.col("vec_id"), F.transform("embedding", lambda v: v.cast("double"))
+    clips = e.select(F.concat(F.lit("clip"), k.cast("string"), F.lit(".wav")).alias("clip"), F.when(k % 3 == 0, F.array(x, x)).otherwise(F.array(x)).alias("channels"), (k % 50 == 0).alias("broken"))
+    path = workspace(spark, "clips")
+    files.write_clips(clips, path, 8000).agg(F.sum("n_bytes")).first()
+    read = files.scan_clips(spark, path, 16, split=1 << 20)
+    return read.select("clip", "block_no", F.size("samples").alias("n"), F.array_max("samples").cast("double").alias("top"), F.col("error").isNotNull().alias("failed")).withColumn("n", F.when(~F.col("failed"), F.col("n")))
+
+
+@query("s1_scan_scripts", "select doc_id script_id, length(coalesce(text, '')) chars, md5(coalesce(text, '')) digest from documents")
+def s1(spark, d) -> DataFrame:
+    """Every document written as a text file of its own, and the folder read back."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("folder"), F.col("text").alias("script_text"))
+    path = workspace(spark, "scripts")
+    files.write_scripts(docs.repartition(8), path)
+    back = files.scan_scripts(spark, path)
+    text = F.expr("substring(script_text, 1, length(script_text) - 1)")
+    return back.select(F.substring_index("folder", "=", -1).cast("long").alias("script_id"), F.length(text).cast("long").alias("chars"), F.md5(text.cast("binary")).alias("digest"))
 
 
 @query("x1_stream_scripts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skald import dimensions as D
-from skald.operators import planning as P
+from skald.operators import planning as P, script
 from skald.plans.registry import query
 from skald.plans.views import duck, table, view
 
@@ -70,17 +70,20 @@ def p9(spark, d):
     return P.triage(log).select("event_id", "reason", "failure", "retryable", F.col("wait_seconds").cast("double"))
 
 
-@query("p10_force_emotion", "with e as (select event_id, case when event_id % 5 = 0 then 'SAD' end forced, case when event_id % 3 = 0 then 'HAPPY' end explicit, case when event_type = 'click' then 'EXCITED' else 'NEUTRAL' end automatic from events) select event_id, coalesce(forced, explicit, automatic) emotion from e")
+FORCED = "case doc_id % 3 when 0 then 'SAD' when 1 then 'auto' end"
+
+
+@query("p10_force_emotion", "with l as (select doc_id, case when doc_id % 3 = 0 then array_to_string(list_transform(string_split(text, chr(10)), lambda x: case when regexp_matches(x, '[^ \\t\\n\\x0B\\f\\r]') and not regexp_matches(x, '(?i)^\\s*(\\[\\s*SCENE\\b|#{1,3}\\s)') then '[EMOTION:SAD]' || x else x end), chr(10)) else text end t from documents) select doc_id as script_id, t as script_text from l")
 def p10(spark, d):
-    k = F.col("event_id")
-    automatic = F.when(F.col("event_type") == "click", "EXCITED").otherwise("NEUTRAL")
-    return table(spark, d, "events").select("event_id", F.coalesce(F.when(k % 5 == 0, "SAD"), F.when(k % 3 == 0, "HAPPY"), automatic).alias("emotion"))
+    """The scripts with the emotion that their row forces, as the pipeline reads them."""
+    docs = table(spark, d, "documents").selectExpr("doc_id as script_id", "text as script_text", f"{FORCED} as forced_emotion")
+    return script.force_emotion(docs).select("script_id", "script_text")
 
 
-@query("r2_length_scale", f"with {duck(S)} select chunk_id, case when word_count * 60.0 / duration_seconds <= 0 then 1.0 else round(greatest(0.8, least(1.25, (word_count * 60.0 / duration_seconds) / cast(130 + chunk_id % 40 as double))), 4) end::double scale from v_synth where duration_seconds > 0")
+@query("r2_length_scale", f"with {duck(S)}, r as (select chunk_id, case when duration_seconds > 0 then word_count * 60.0 / duration_seconds else 0 end rate from v_synth) select chunk_id, case when rate <= 0 then 1.0 else round(greatest(0.8, least(1.25, rate / cast(130 + chunk_id % 40 as double))), 4) end::double scale from r")
 def r2(spark, d):
-    s = synth(spark, d).where("duration_seconds > 0")
-    return s.select("chunk_id", P.wpm_to_scale(F.col("word_count") * 60.0 / F.col("duration_seconds"), (130 + F.col("chunk_id") % 40).cast("double")).alias("scale"))
+    rate = F.when(F.col("duration_seconds") > 0, F.col("word_count") * 60.0 / F.col("duration_seconds")).otherwise(0.0)
+    return synth(spark, d).select("chunk_id", P.wpm_to_scale(rate, (130 + F.col("chunk_id") % 40).cast("double")).alias("scale"))
 
 
 @query("r3_rate_pitch", f"with {duck(S)}, p as (select chunk_id, 0.7 + (chunk_id % 61) / 100.0 scale, (chunk_id % 21 - 10) * 1.0 semis from v_synth) select chunk_id, printf('%+.0f%%', greatest(-30.0, least(30.0, (1.0 / scale::double - 1.0) * 100.0))) rate, printf('%+.0fHz', greatest(-40.0, least(40.0, semis::double * 8.0))) pitch from p")
@@ -172,6 +175,15 @@ def w3(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", P.character_gap(F.col("text"), "conv_id", "turn", "meditation").alias("gap"))
 
 
+@query("w3_gapped_timeline", "with g as (select conv_id, turn, length(text) / 15.0::double secs, case when regexp_matches(rtrim(lag(text) over (partition by conv_id order by turn)), '[।!?.；]$') then 1.5 else 0.0 end::double gap from conversations) select conv_id, turn, round(gap + coalesce(sum(gap + secs) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0), 4) start_seconds from g")
+def w3_gapped(spark, d):
+    """The cursor with a character's gaps in it."""
+    c = table(spark, d, "conversations")
+    gap = P.character_gap(F.col("text"), "conv_id", "turn", "meditation")
+    t = P.timeline(c, "conv_id", "turn", F.lit(0.0), F.length("text") / 15.0, F.lit(0.0), gap)
+    return t.select("conv_id", "turn", F.round("start_seconds", 4).alias("start_seconds"))
+
+
 @query("w9_pacing_schedule", f"with {duck(S)} select chunk_id, run_id, (row_number() over (partition by run_id order by chunk_id) - 1) * 4.0::double send_at from v_synth")
 def w9(spark, d):
     return synth(spark, d).select("chunk_id", "run_id", P.pacing("run_id", "chunk_id", 4.0).alias("send_at"))
@@ -182,9 +194,12 @@ def w10(spark, d):
     return P.progress(synth(spark, d), "run_id", "chunk_id", F.col("duration_seconds")).select("chunk_id", "run_id", "percent", "eta")
 
 
-@query("w11_latest_snapshot", "select user_id, event_type, ts, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) n from events) where n = 1")
+@query("w11_latest_snapshot", "with s as (select user_id, max(row(ts, event_id)) x from events where event_type = 'purchase' and user_id % 5 <> 0 group by 1), a as (select user_id, max(row(ts, event_id)) x from events where event_type <> 'purchase' and user_id % 7 <> 0 group by 1) select user_id project, case when s.x is null or a.x[1] > s.x[1] then 'snapshot' else 'save' end source, case when s.x is null or a.x[1] > s.x[1] then a.x[2] else s.x[2] end file from s full join a using (user_id)")
 def w11(spark, d):
-    return P.latest(table(spark, d, "events"), "user_id", F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "ts", "event_id")
+    """Projects of users: purchases are saves, all other events autosaves; some projects have only one of both."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("project"), F.col("ts").alias("at"), F.col("event_id").alias("file"), "event_type")
+    saves = e.where("event_type = 'purchase' and project % 5 <> 0")
+    return P.recoverable(saves, e.where("event_type <> 'purchase' and project % 7 <> 0")).select("project", "source", "file")
 
 
 @query("k1_recent_generations", f"with {duck('v_history')} select id, project_id, duration_seconds from v_history order by id desc limit 25")

@@ -26,11 +26,6 @@ def numeric(spark, d) -> DataFrame:
     return view(spark, d, "v_numeric")
 
 
-@query("s1_scan_scripts", "select doc_id script_id, source as name, lang, length(text) chars from documents")
-def s1(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("script_id"), F.col("source").alias("name"), "lang", F.length("text").cast("long").alias("chars"))
-
-
 USER_LEXICON = {"_comment": "x", "Nevada": "neh-VAH-dah", "Harris": "HAIR-iss", "paid in": "PAYD in", "in Nevada": "never read"}
 LEXICON_SQL = D.values_sql([*({**D.PRONUNCIATIONS, **{k: v for k, v in USER_LEXICON.items() if k[0] != "_"}}).items()], "word, spoken")
 

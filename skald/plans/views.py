@@ -42,9 +42,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it is read in fewer parts than there are: texts cost far more to work on than to move.
+
+    A table of many files or row groups is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    if name in ("v_script", "v_tagged", "v_numeric"):
+        used = {t: wide(df) for t, df in used.items()}
     return spark.sql(sql, **used)
 
 

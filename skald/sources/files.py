@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import wave
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skald import dimensions as D
+from skald.sources import wav
 
 BLOCK = 4096
 #: Chunk numbers in a part of a project.
@@ -24,9 +22,15 @@ timeline_events array<struct<path:string, start_seconds:double, gain_db:double,
 
 
 def scan_scripts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """(name, script_text): one row per file; order by name where order matters."""
-    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    return files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("script_text"))
+    """(name, folder, script_text): one row per file of a folder and those within it; order by name where order matters."""
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
+    parts = F.split(F.input_file_name(), "/")
+    return files.select(F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("folder"), F.col("value").alias("script_text"))
+
+
+def write_scripts(scripts: DataFrame, path: str) -> None:
+    """Text files of scripts (folder, script_text), one in a folder of its own for each row; a line end follows the text."""
+    scripts.select(F.col("folder").cast("string").alias("folder"), F.coalesce("script_text", F.lit("")).alias("script_text")).write.partitionBy("folder").text(path)
 
 
 def scan_pronunciations(spark: SparkSession, path: str) -> DataFrame:
@@ -62,31 +66,31 @@ def write_projects(projects: DataFrame, chunks: DataFrame, path: str, block: int
     projects.drop("chunks", "part").dropDuplicates(["name"]).join(nested, "name", "left").write.mode("overwrite").json(path)
 
 
-def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and mono samples in -1..1 of a 16-bit PCM file."""
-    with wave.open(io.BytesIO(content)) as w:
-        if w.getsampwidth() != 2:
-            raise ValueError("only 16-bit PCM is read")
-        data = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float32) / 32768.0
-        return w.getframerate(), data.reshape(-1, w.getnchannels()).mean(axis=1) if w.getnchannels() > 1 else data
+def scan_clips(spark: SparkSession, path: str, block: int = BLOCK, split: int = wav.SPLIT) -> DataFrame:
+    """(clip, sample_rate, block_no, samples, error): WAV files in blocks of mono samples, read by byte ranges; a file that can't be read is one row with its error."""
+    wav.register(spark)
+    return spark.read.format("wav").option("block", block).option("split", split).load(path)
 
 
-def scan_clips(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """(clip, sample_rate, block_no, samples, error): WAV files in blocks; a file that can't be read is one row with its error."""
+def write_clips(clips: DataFrame, path: str, rate: int) -> DataFrame:
+    """(clip, n_bytes): clips (clip, channels array of arrays, broken) as WAV files of 16-bit PCM; a broken one is cut off in its header.
+
+    A file that is written again replaces itself.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, content in zip(b["clip"], b["content"], strict=True):
-                try:
-                    rate, x = decode_wav(content)
-                except Exception as e:  # noqa: BLE001  the error is the row
-                    yield pd.DataFrame({"clip": [name], "sample_rate": [0], "block_no": [0], "samples": [None], "error": [str(e)]})
-                    continue
-                at = range(0, max(1, len(x)), block)
-                yield pd.DataFrame({"clip": name, "sample_rate": rate, "block_no": range(len(at)), "samples": [x[i : i + block] for i in at], "error": None})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("clip"), "content").mapInPandas(run, "clip string, sample_rate int, block_no int, samples array<float>, error string")
+            files, root = wav.filesystem(path)
+            files.create_dir(root)
+            sizes = []
+            for name, channels, broken in zip(b["clip"], b["channels"], b["broken"], strict=True):
+                data = wav.encode(list(channels), rate)[: 20 if broken else None]
+                with files.open_output_stream(f"{root}/{name}") as f:
+                    f.write(data)
+                sizes.append(len(data))
+            yield pd.DataFrame({"clip": b["clip"], "n_bytes": sizes})
+
+    return clips.select("clip", "channels", "broken").mapInPandas(run, "clip string, n_bytes long")
 
 
 def clip_blocks(clips: DataFrame, block: int = BLOCK) -> DataFrame:

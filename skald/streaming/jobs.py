@@ -20,19 +20,32 @@ def script_folder(spark: SparkSession, folder: str, target_wpm: int = 150) -> Da
     return files.select(F.xxhash64(F.input_file_name()).alias("script_id"), F.col("value").alias("script_text"), F.lit(target_wpm).alias("target_wpm"), F.lit(45).alias("words_per_chunk"))
 
 
+#: Digits of a key that name its part of the plan table, after a letter: 16 ** PREFIX folders.
+PREFIX = 2
+
+
 def stream_scripts(scripts: DataFrame, plan: str, checkpoint: str) -> StreamingQuery:
-    """Plans every new script of a stream and appends the chunks whose keys the plan table doesn't hold; ends when all at hand is done."""
+    """Plans every new script of a stream and appends the chunks whose keys the plan table doesn't hold; ends when all at hand is done.
+
+    The table is partitioned by the first digits of the keys, and a batch reads only the parts that its own keys are in: its
+    cost depends on the batch. Its chunks are staged beside the table first, so that they are planned once. A batch that is
+    repeated finds its keys there and adds nothing.
+    """
     spark = scripts.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
-        chunks = plan_scripts(batch).dropDuplicates(["key"])
+        chunks = plan_scripts(batch).dropDuplicates(["key"]).withColumn("prefix", F.concat(F.lit("k"), F.substring("key", 1, PREFIX)))
+        stage = f"{plan.rstrip('/')}_staged/batch={number}"
+        chunks.write.mode("overwrite").parquet(stage)
+        staged = spark.read.schema(chunks.schema).parquet(stage)
+        touched = [r[0] for r in staged.select("prefix").distinct().collect()]  # 16 ** PREFIX at most
         try:
-            known = spark.read.parquet(plan).select("key")
-            chunks = chunks.join(known, "key", "left_anti")
+            known = spark.read.parquet(plan).where(F.col("prefix").isin(touched)).select("key")
+            staged = staged.join(known, "key", "left_anti")
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        chunks.withColumn("batch", F.lit(number)).write.mode("append").parquet(plan)
+        staged.withColumn("batch", F.lit(number)).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(plan)
 
     return scripts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,17 +1,15 @@
-import io
 import json
 import random
 import re
 import time
-import wave
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skald.functions import text as X
-from skald.operators import blocks as K, lexicon as L, script as S, signal as G
-from skald.sources import files
+from skald.operators import blocks as K, lexicon as L, planning as P, script as S, signal as G
+from skald.sources import files, wav
 from skald.streaming import jobs
 
 
@@ -384,23 +382,27 @@ def test_smooth_ducking_glides_over_the_music(spark):
     assert np.allclose(mix, 0.2 * gain + voice)
 
 
-def tone(n, rate=8000, channels=1):
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(channels)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes(b"".join(int(i % 100).to_bytes(2, "little", signed=True) for i in range(n * channels)))
-    return out.getvalue()
-
-
-def test_clips(spark, tmp_path):
-    (tmp_path / "a.wav").write_bytes(tone(10000))
-    (tmp_path / "b.wav").write_bytes(tone(5, channels=2))
-    (tmp_path / "bad.wav").write_bytes(b"RIFFnothing")
-    rows = files.scan_clips(spark, str(tmp_path)).collect()
-    assert sum(len(r.samples) for r in rows if r.clip == "a.wav") == 10000 and {r.block_no for r in rows if r.clip == "a.wav"} == {0, 1, 2}
-    assert next(r.error for r in rows if r.clip == "bad.wav") and len(next(r.samples for r in rows if r.clip == "b.wav")) == 5
+def test_clips_by_ranges(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    left, right = rng.uniform(-1, 1, 10_000), rng.uniform(-1, 1, 10_000)
+    good = wav.encode([left, right], 8000)
+    files_ = {"stereo.wav": good, "mono.WAV": wav.encode([left[:5]], 8000), "none.wav": wav.encode([left[:0]], 8000), "bad.wav": b"RIFFnothing", "cut.wav": good[:5001], "empty.wav": b"", "x.txt": b"no", "extra.wav": good[:36] + b"LIST" + (3).to_bytes(4, "little") + b"abc\0" + good[36:]}
+    (tmp_path / "sub").mkdir()
+    for name, data in files_.items():
+        (tmp_path / ("sub" if name == "mono.WAV" else ".") / name).write_bytes(data)
+    q = lambda x: np.floor(x * 32767) / 32768
+    stereo = (q(left) + q(right)) / 2
+    for block, split in ((4096, 64 << 20), (100, 999), (7, 64), (1, 10_000)):
+        rows = {}
+        df = files.scan_clips(spark, str(tmp_path), block, split)
+        for r in df.collect():
+            rows.setdefault(r.clip, {})[r.block_no] = r
+        assert set(rows) == set(files_) - {"x.txt"}
+        read = lambda name: np.concatenate([rows[name][i].samples for i in range(len(rows[name]))])
+        assert np.allclose(read("stereo.wav"), stereo, atol=1e-6) and np.allclose(read("extra.wav"), stereo, atol=1e-6)
+        assert np.allclose(read("cut.wav"), stereo[: (5001 - 44) // 4], atol=1e-6) and np.allclose(read("mono.WAV"), q(left[:5]), atol=1e-6)
+        assert len(read("none.wav")) == 0 and all(len(rows[x]) == 1 and rows[x][0].error and rows[x][0].samples is None for x in ("bad.wav", "empty.wav"))
+        assert (df.rdd.getNumPartitions() > 1) == (split < 64 << 20)
 
 
 def test_projects(spark, tmp_path):
@@ -426,6 +428,44 @@ def test_folder_queue(spark, tmp_path):
     assert files.scan_scripts(spark, str(folder)).count() == 3
 
 
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("One sentence here. Another one there.\n\n# Two\n\nMore of it.")
+    for checkpoint in ("cp1", "cp2"):  # a lost checkpoint repeats all batches
+        jobs.stream_scripts(jobs.script_folder(spark, str(folder)), str(tmp_path / "plan"), str(tmp_path / checkpoint)).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "plan")).select("key", "prefix").collect()
+    assert len(rows) == len({r.key for r in rows}) == 3 and all(r.prefix == "k" + r.key[:2] for r in rows)
+
+
+def test_one_row_in_one_row_out(spark):
+    rows = spark.createDataFrame([(1, "C:\\old\\a.wav"), (2, "x/b.wav"), (3, None)], "id int, path string")
+    cached = spark.createDataFrame([("/z/a.wav",), ("/c/a.wav",), (None,)], "path string")
+    assert sorted(map(tuple, P.relocate(rows, cached).collect())) == [(1, "/c/a.wav"), (2, "x/b.wav"), (3, None)]
+    plan = spark.createDataFrame([(1, "k"), (2, "m"), (3, "k"), (4, None)], "id int, key string")
+    done = spark.createDataFrame([("k", "failed", "p0", 9.0), ("k", "done", "p1", 1.0), ("k", "done", "p2", 2.0), ("m", "done", None, 1.0), (None, "done", "n", 1.0)], "key string, status string, path string, seconds double")
+    assert sorted(map(tuple, P.resume_plan(plan, done).collect())) == [(1, "k", "done", "p2", 2.0), (2, "m", "pending", None, None), (3, "k", "done", "p2", 2.0), (4, None, "pending", None, None)]
+
+
+def test_snapshots_against_saves(spark):
+    side = lambda *rows: spark.createDataFrame(rows, "project string, at int, file string")
+    saves = side(("a", 5, "s5"), ("a", 9, "s9"), ("b", 5, "s"), ("c", 5, "s"), ("e", 5, "s"), ("g", None, "s"))
+    snaps = side(("a", 8, "x"), ("b", 6, "x6"), ("b", 7, "x7"), ("c", 5, "x"), ("d", 1, "x"), ("f", None, "x"), ("g", 1, "x"))
+    got = {r.project: (r.source, r.at, r.file) for r in P.recoverable(saves, snaps).collect()}
+    assert got == {"a": ("save", 9, "s9"), "b": ("snapshot", 7, "x7"), "c": ("save", 5, "s"), "d": ("snapshot", 1, "x"), "e": ("save", 5, "s"), "f": ("snapshot", None, "x"), "g": ("snapshot", 1, "x")}
+
+
+def test_forced_emotion(spark):
+    raw = "[SCENE: One]\n\nIt fell down. He wept!\n\nThen [EMOTION:HAPPY]it rose.\nAgain."
+    rows = [(1, raw, 150, 45, "sad"), (2, raw, 150, 45, "auto"), (3, raw, 150, 45, None)]
+    got = {}
+    for r in S.process(spark.createDataFrame(rows, "script_id long, script_text string, target_wpm int, words_per_chunk int, forced_emotion string")).orderBy("script_id", "chunk_id").collect():
+        got.setdefault(r.script_id, []).append((r.scene_id, r.emotion))
+    assert got[1] == [(1, "SAD")] and got[2] == got[3] and got[2][0][1] != "SAD"
+    lines = S.force_emotion(spark.createDataFrame(rows[:1], "script_id long, script_text string, target_wpm int, words_per_chunk int, forced_emotion string")).first().script_text
+    assert lines == "[SCENE: One]\n\n[EMOTION:SAD]It fell down. He wept!\n\n[EMOTION:SAD]Then [EMOTION:HAPPY]it rose.\n[EMOTION:SAD]Again."
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
