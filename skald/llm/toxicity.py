@@ -29,6 +29,8 @@ BITS = 18
 #: Labelled rows of each label that a model learns from, at most.
 SAMPLE = 2000
 EPOCHS = 6
+#: Batches that a small sample is learned from, at least.
+STEPS = 600
 BATCH = 32
 RATE = 0.3
 #: By how much of a step weights are drawn to 0: buckets that explain little have none.
@@ -133,7 +135,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 1) -> tupl
     weight, bias = np.zeros(1 << BITS), BIAS
     seen, seen_bias = np.full(1 << BITS, 0.1), 1.0
     rows = [r for r in rows if len(r[0])]
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(rows))))):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
             batch = [rows[i] for i in order[at : at + BATCH]]
