@@ -2,7 +2,7 @@
 
 Each page's containers are scored by the text they hold; a page votes for the generalised tag-class path of its best
 container, Spark sums the votes per host, and every page is extracted again with its host's winning path. Two passes
-over the pages, a small aggregate between them. Votes are broadcast only while there are at most ``BROADCAST`` hosts.
+over the pages, a small aggregate between them. Winners are broadcast only while they have ``BROADCAST`` bytes at most.
 
 A container gives way to one inside it only if no good text is left outside: noise, mostly linked blocks and a div of
 its own with a single word, outside all articles, sections and cells, don't count.
@@ -41,6 +41,7 @@ BARE = frozenset("nav header footer aside form button select option textarea svg
 CONTAINER = frozenset("html body main article section div td center".split())
 #: What is in one of these belongs to the article, however short.
 PART = frozenset("main article section td".split())
+HEADING = re.compile("h[1-6]")
 #: What an opening tag closes if it is open, and what stops the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 #: Words in a class, id or role of what isn't the article, and words that may stand beside one without changing that.
@@ -83,6 +84,9 @@ class Page:
         self.parent, self.label, self.chain, self.bare, self.box, self.blocks = [-1], [""], [0], [False], [False], []
         self._named = named
         self._tags, self._open = [""], [0]
+        # places in _open: of each tag, and of the elements that aren't inline
+        self._places: dict[str, list[int]] = {}
+        self._outer: list[int] = [0]
         self._text: list[str] = []
         self._linked = 0
         at = 0
@@ -117,18 +121,13 @@ class Page:
             return
         if tag not in INLINE:
             self._break()
-            inner = next((i for i in range(len(self._open) - 1, 0, -1) if self._tags[self._open[i]] not in INLINE), 0)
+            inner = self._outer[-1]
             if inner and self._tags[self._open[inner]] == "p":
-                del self._open[inner:]
+                self._drop(inner)
             if tag in CLOSES:
-                ends, stops = CLOSES[tag]
-                for i in range(len(self._open) - 1, 0, -1):
-                    name = self._tags[self._open[i]]
-                    if name in stops:
-                        break
-                    if name in ends:
-                        del self._open[i:]
-                        break
+                ends, stops = (max(map(self._last, names)) for names in CLOSES[tag])
+                if ends > stops:
+                    self._drop(ends)
         up = self._open[-1]
         label, noisy = tag, tag in BARE
         if attrs and "=" in attrs:
@@ -144,18 +143,31 @@ class Page:
         self.bare.append(self.bare[up] or noisy)
         self.box.append(tag in CONTAINER)
         self._tags.append(tag)
+        self._places.setdefault(tag, []).append(len(self._open))
+        if tag not in INLINE:
+            self._outer.append(len(self._open))
         self._open.append(len(self.parent) - 1)
 
+    def _last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag; 0 if none is open."""
+        places = self._places.get(tag)
+        return places[-1] if places else 0
+
+    def _drop(self, place: int) -> None:
+        """Closes the element at a place and all within it."""
+        while len(self._open) > place:
+            tag = self._tags[self._open.pop()]
+            self._places[tag].pop()
+            if tag not in INLINE:
+                self._outer.pop()
+
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._break()
-        for i in range(len(self._open) - 1, 0, -1):
-            name = self._tags[self._open[i]]
-            if name == tag:
-                del self._open[i:]
-                return
-            if tag in INLINE and name not in INLINE:
-                return
+        place = self._last(tag)
+        # an inline element isn't closed from outside the block that it is in
+        if place and (tag not in INLINE or place > self._outer[-1]):
+            self._drop(place)
 
     def best(self) -> tuple[int, float]:
         """The best container and its score: characters of good text less linked ones."""
@@ -170,11 +182,12 @@ class Page:
         end = self._ends()
         deepest = len(fit) - 1 if held[0] else 0
         labels: dict[tuple[int, int], int] = {}
+        sides = self._sides(set(fit))
         for at, text, linked in self.blocks:
             if not self.bare[at] and len(text) > 2 * linked:
                 level = bisect_left(fit, True, key=lambda c: not c <= at < end[c]) - 1  # noqa: B023
                 if level < deepest:
-                    side = self._label(at, fit[level])
+                    side = sides[at]
                     if side:
                         labels[level, side] = labels.get((level, side), 0) + len(text.split())
                     if not side or labels[level, side] > 1:
@@ -188,17 +201,14 @@ class Page:
             end[self.parent[i]] = max(end[self.parent[i]], end[i])
         return end
 
-    def _label(self, at: int, top: int) -> int:
-        """The outermost div below ``top`` with the element, if that may be a mere label: no heading, and in no article, section or cell; else 0."""
-        side = 0
-        while at > 0:
-            tag = self._tags[at]
-            if tag in PART or re.fullmatch("h[1-6]", tag):
-                return 0
-            if tag == "div" and at > top:
-                side = at
-            at = self.parent[at]
-        return side
+    def _sides(self, fit: set[int]) -> list[int]:
+        """For each element the outermost div around it below its innermost competing container, if that may be a mere label: no heading, and in no article, section or cell; else 0."""
+        part, side = [False] * len(self.parent), [0] * len(self.parent)
+        for i in range(1, len(side)):
+            up, tag = self.parent[i], self._tags[i]
+            part[i] = part[up] or tag in PART or bool(HEADING.fullmatch(tag))
+            side[i] = 0 if i in fit else side[up] or (i if tag == "div" else 0)
+        return [0 if p else s for p, s in zip(part, side, strict=True)]
 
     def path(self, at: int) -> str:
         """The labels from the root to an element."""

@@ -3,17 +3,17 @@
 Words and their character n-grams are hashed to learned vectors; a document is the average of its vectors, and a
 softmax over it gives the class. Training is minibatch stochastic gradient descent in numpy on a bounded sample of
 labelled rows (``SAMPLE``, those with the least hash of the doc_id); features of the sample are made in Spark tasks
-from whole texts, and all of them are learned from: the driver keeps them in mapped files. As the output is linear in the average, scoring needs one learned number for each bucket: the
+from whole texts, and all of them are learned from: the driver holds them packed. As the output is linear in the average, scoring needs one learned number for each bucket: the
 broadcast is 2^BITS floats, and whole texts are scored in Arrow batches.
 
 Null and empty texts have no features and score by the bias alone. Labels that are null or on no document teach
-nothing; labels of one document that differ count once each, equal texts with the same label once in all. Equal texts get equal scores. With nothing to learn from,
+nothing; labels of one document that differ count once each, equal texts with the same label once in all. Rows without a doc_id
+aren't learned from, other columns are ignored. Equal texts get equal scores. With nothing to learn from,
 the score is 0.5.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -121,22 +121,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[n
     texts = named.join(F.broadcast(chosen), ["doc_id", "digest"]).dropDuplicates(["digest", "y"])
     scratch = Scratch(docs.sparkSession, "quality")
     made = scratch.keep(texts.select("text", "digest", "y").mapInPandas(make, "digest long, b binary, w binary, y int"), "features")
-    with tempfile.TemporaryFile() as buckets, tempfile.TemporaryFile() as weights:
-        at, places = 1, []
-        buckets.write(bytes(2))  # nothing can't be mapped
-        weights.write(bytes(4))
-        for r in made.toLocalIterator():
-            buckets.write(r["b"])
-            weights.write(r["w"])
-            places.append((r["digest"], r["y"], at, at + len(r["b"]) // 2))
-            at = places[-1][-1]
-        scratch.drop(made)
-        if not places:
-            return np.zeros(1 << BITS, np.float32), 0.0
-        buckets.flush()
-        weights.flush()
-        b, w = np.asarray(np.memmap(buckets, "<u2", "r")), np.asarray(np.memmap(weights, "<f4", "r"))
-        return train([(b[i:j], w[i:j], y) for _, y, i, j in sorted(places)])  # the order of arrival is chance
+    # SAMPLE rows of 2^BITS features at most, six bytes each: packed, they stay in memory
+    rows = [(r["digest"], r["y"], bytes(r["b"]), bytes(r["w"])) for r in made.toLocalIterator()]
+    scratch.drop(made)
+    if not rows:
+        return np.zeros(1 << BITS, np.float32), 0.0
+    rows.sort()  # the order of arrival is chance
+    return train([(np.frombuffer(b, "<u2"), np.frombuffer(w, "<f4"), y) for _, y, b, w in rows])
 
 
 def score(text: str | None, weight: np.ndarray, bias: float) -> float:

@@ -36,3 +36,11 @@ def test_near_dedup_of_null_and_shared_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()), key=str)
     assert got == sorted([(None, a), (None, b), (5, c), (3, d), (7, e)], key=str)
+
+
+def test_documents_of_white_space_go(spark):
+    """A document whose only line is another's keeps blank lines and tabs at most: it goes, and one with a word left stays."""
+    line = "the very same long line of a good number of words that stands in several of the documents"
+    rows = [(1, line), (2, line + "\n"), (3, "\t\n" + line + "\n \x0b"), (4, line + "\nits own"), (5, "another line altogether, with nothing of the others in it")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()} == {1, 4, 5}

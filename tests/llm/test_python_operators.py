@@ -229,6 +229,65 @@ def test_pages_take_linear_time(piece):
     assert took[1] < 3 * took[0] + 0.5 and took[1] < 2
 
 
+@pytest.mark.parametrize(
+    "head, tail",
+    [("<div>", "</x>"), ("<div>", "</span>"), ("<b>", "<p>x</p>"), ("<div>", "<li>a b</li>"), ("<b>", "</i>"), ("<table><tr><td>", "<td>x"), ("<div>word two ", "</div>"), ("<section>", "<div>some words here</div>"), ("<i>", "<td>")],
+)
+def test_open_elements_take_linear_time(head, tail):
+    took = []
+    for n in (20_000, 40_000):
+        began = time.perf_counter()
+        page = consensus.Page(head * n + tail * n)
+        page.text(None)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3 * took[0] + 0.5 and took[1] < 6
+
+
+class Walked(consensus.Page):
+    """The same rules by walks over all that is open."""
+
+    def _last(self, tag):
+        assert self._outer[1:] == [i for i in range(1, len(self._open)) if self._tags[self._open[i]] not in consensus.INLINE]
+        return next((i for i in range(len(self._open) - 1, 0, -1) if self._tags[self._open[i]] == tag), 0)
+
+    def _close(self, tag):
+        if tag not in consensus.INLINE:
+            self._break()
+        for i in range(len(self._open) - 1, 0, -1):
+            name = self._tags[self._open[i]]
+            if name == tag:
+                self._drop(i)
+                return
+            if tag in consensus.INLINE and name not in consensus.INLINE:
+                return
+
+    def _sides(self, fit):
+        def side(at):
+            top = at
+            while top not in fit:
+                top = self.parent[top]
+            found = 0
+            while at > 0:
+                tag = self._tags[at]
+                if tag in consensus.PART or consensus.HEADING.fullmatch(tag):
+                    return 0
+                if tag == "div" and at > top:
+                    found = at
+                at = self.parent[at]
+            return found
+
+        return [side(i) for i in range(len(self.parent))]
+
+
+def test_pages_against_walks():
+    rng = np.random.default_rng(6)
+    bits = [*(f"<{t}>" for t in "div p b i li ul td tr table section h2 a span dt dl".split()), *(f"</{t}>" for t in "div p b i li ul td tr table section h2 a span x".split()), "some words here ", "more ", "a long run of words that makes good text ", "<div class='menu'>", "<br>"]
+    for _ in range(600):
+        source = "".join(bits[int(rng.integers(len(bits)))] for _ in range(int(rng.integers(1, 80))))
+        a, b = consensus.Page(source), Walked(source)
+        assert (a.parent, a.label, a.blocks, a.best(), a.text(None)) == (b.parent, b.label, b.blocks, b.best(), b.text(None))
+
+
 def test_deep_paths(spark):
     """Beyond any depth, pages of a host agree on the path that most vote for."""
     deep = "<section>" * 200
