@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skald.llm import decontam, langid, linededup, packing, simhash
-from skald.llm.common import Scratch, table
+from skald.llm.common import SPACE, Scratch, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that are near copies of an earlier line; a document of which nothing is left goes."""
     found = linededup.dedup(docs, Scratch(spark, "lines"))
-    return _documents(found.where("removed_lines is null or trim(text) <> ''"))
+    return _documents(found.where(F.col("removed_lines").isNull() | (F.ltrim("text", F.lit(SPACE)) != "")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
