@@ -249,6 +249,52 @@ def triage(log: DataFrame) -> DataFrame:
 
 
 def correct_rate(df: DataFrame, tolerance: float = 0.08) -> DataFrame:
-    """``df`` (actual_wpm, target_wpm, scale) with deviation and the scale of a retry, null where none is due."""
-    off = F.abs(F.col("actual_wpm") - F.col("target_wpm")) / F.col("target_wpm")
+    """``df`` (actual_wpm, target_wpm, scale) with deviation and the scale of a retry, null where none is due or nothing was heard."""
+    off = F.when(F.col("actual_wpm") > 0, F.abs(F.col("actual_wpm") - F.col("target_wpm")) / F.col("target_wpm"))
     return df.withColumn("deviation", F.round(off, 6)).withColumn("retry_scale", F.when(off > tolerance, clamp_scale(F.col("scale") * F.col("actual_wpm") / F.col("target_wpm"))))
+
+
+def keep_closer(df: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """``df`` (actual_wpm, target_wpm) with attempt, from 1 in the given order, and ``kept``: the attempt nearest to its target.
+
+    A retry is kept only if it is closer than all before it. A first attempt without a rate is kept, a retry without one isn't.
+    """
+    off = F.abs(F.col("actual_wpm") - F.col("target_wpm")) / F.col("target_wpm")
+    rows = df.withColumn("attempt", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    far = F.when(F.col("actual_wpm") > 0, off).when(F.col("attempt") == 1, 0.0).otherwise(float("inf"))
+    return rows.withColumn("kept", F.row_number().over(Window.partitionBy(*by).orderBy(far, "attempt")) == 1)
+
+
+# voices and styles
+
+
+def chunk_gain(effects: Column) -> Column:
+    """Decibels that a chunk's effects add."""
+    return F.when(F.array_contains(effects, "emphasis"), 1.5).otherwise(0.0)
+
+
+def in_order(df: DataFrame, by: str, *order: str) -> DataFrame:
+    """``df`` with ``place``, from 1 within ``by``."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long"))
+
+
+def find_by_style(wanted: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    """(key, voice_id) for each row of ``wanted`` (key, style, gender): the catalog's first voice of that style, and of that gender unless it is empty."""
+    v = catalog.select("pos", "voice_id", F.lower("style").alias("_style"), F.col("gender").alias("_gender"))
+    met = lookup(wanted, v, (F.lower("style") == F.col("_style")) & ((F.col("gender") == "") | (F.lower("gender") == F.col("_gender"))))
+    return met.groupBy(key).agg(F.min_by("voice_id", "pos").alias("voice_id"))
+
+
+def style_direction(emotion: Column, preset: Column, strength: float = 0.7) -> Column:
+    """Style direction of an emotion and a preset, with a word for the pace."""
+    styles, rates = dict(D.EMOTION_STYLE), {e: r for e, r, *_ in D.PROFILES}
+    style = F.lit(None)
+    for e, t in styles.items():
+        blended = 1.0 + (rates[e] - 1.0) * strength
+        word = "slowly" if blended > 1.06 else "quickly" if blended < 0.94 else ""
+        style = F.when(emotion == e, F.lit(f"{t}, {word}" if word and word not in t else t)).otherwise(style)
+    style = F.coalesce(style, F.lit(styles["NEUTRAL"]))
+    tail = F.lit("")
+    for p, t in D.PRESET_DIRECTION:
+        tail = F.when(preset == p, F.lit(f", {t}")).otherwise(tail)
+    return F.concat(style, F.when(emotion == "NEUTRAL", tail).otherwise(F.lit("")))

@@ -113,22 +113,22 @@ def r7(spark, d):
     return s.select("chunk_id", P.final_scale(0.9 + F.col("pause_before") / 10, 1 + F.col("pause_after") / 10, text, F.col("chunk_id") % 4 == 0).alias("scale"))
 
 
-RATED = "select chunk_id, chunk_id % 500 chunk, 1.0 + pause_before / 4 scale, word_count * 60.0 / duration_seconds actual_wpm, cast(150 as double) target_wpm from v_synth where duration_seconds > 0"
+RATED = "select chunk_id, run_id, word_count, ts, 1.0 + pause_before / 4 scale, case when duration_seconds > 0 then word_count * 60.0 / duration_seconds else 0 end actual_wpm, cast(150 as double) target_wpm from v_synth"
 
 
-@query("r8_rate_correction", f"with {duck(S)}, r as ({RATED}) select chunk_id, round(abs(actual_wpm - target_wpm) / target_wpm, 6) deviation, case when abs(actual_wpm - target_wpm) / target_wpm > 0.08 then round(greatest(0.8, least(1.25, scale * actual_wpm / target_wpm)), 4) end retry_scale, chunk_id = first_value(chunk_id) over (partition by chunk order by abs(actual_wpm - target_wpm), chunk_id) best from r")
+@query("r8_rate_correction", f"with {duck(S)}, r as ({RATED}), a as (select *, row_number() over (partition by run_id, word_count order by ts, chunk_id) attempt from r), d as (select *, case when actual_wpm > 0 then abs(actual_wpm - target_wpm) / target_wpm end dev from a) select chunk_id, cast(attempt as int) attempt, round(dev, 6) deviation, case when dev > 0.08 then round(greatest(0.8, least(1.25, scale * actual_wpm / target_wpm)), 4) end retry_scale, row_number() over (partition by run_id, word_count order by case when dev is not null then dev when attempt = 1 then 0 else 'infinity'::double end, attempt) = 1 kept from d")
 def r8(spark, d):
-    s = synth(spark, d).where("duration_seconds > 0")
-    r = s.select("chunk_id", (F.col("chunk_id") % 500).alias("chunk"), (1.0 + F.col("pause_before") / 4).alias("scale"), (F.col("word_count") * 60.0 / F.col("duration_seconds")).alias("actual_wpm"), F.lit(150.0).alias("target_wpm"))
-    r = P.correct_rate(r)
-    best = r.groupBy("chunk").agg(F.min_by("chunk_id", F.struct(F.abs(F.col("actual_wpm") - F.col("target_wpm")), "chunk_id")).alias("b"))
-    return r.join(best, "chunk").select("chunk_id", "deviation", "retry_scale", (F.col("chunk_id") == F.col("b")).alias("best"))
+    """Attempts at chunks of one run with as many words: the retry's scale, and the attempt that is kept."""
+    rate = F.when(F.col("duration_seconds") > 0, F.col("word_count") * 60.0 / F.col("duration_seconds")).otherwise(0.0)
+    s = synth(spark, d).select("chunk_id", "run_id", "word_count", "ts", (1.0 + F.col("pause_before") / 4).alias("scale"), rate.alias("actual_wpm"), F.lit(150.0).alias("target_wpm"))
+    r = P.keep_closer(P.correct_rate(s), ["run_id", "word_count"], "ts", "chunk_id")
+    return r.select("chunk_id", "attempt", "deviation", "retry_scale", "kept")
 
 
 @query("r10_chunk_gain", f"with {duck(S)} select chunk_id, case when chunk_id % 4 = 2 then 1.5 else 0.0 end::double gain_db from v_synth")
 def r10(spark, d):
     effects = F.when(F.col("chunk_id") % 4 == 2, F.array(F.lit("breath"), F.lit("emphasis"))).otherwise(F.array(F.lit("low")))
-    return synth(spark, d).select("chunk_id", F.when(F.array_contains(effects, "emphasis"), 1.5).otherwise(0.0).alias("gain_db"))
+    return synth(spark, d).select("chunk_id", P.chunk_gain(effects).alias("gain_db"))
 
 
 @query("a3_actual_wpm", f"with {duck(S)} select run_id, case when sum(duration_seconds) > 0 then round(sum(word_count) / sum(duration_seconds) * 60.0, 4) else 0 end::double wpm from v_synth group by run_id")
@@ -209,7 +209,7 @@ def k1(spark, d):
 
 @query("k3_order_events", f"with {duck(S)} select run_id, chunk_id, row_number() over (partition by run_id order by ts, chunk_id) place from v_synth")
 def k3(spark, d):
-    return synth(spark, d).select("run_id", "chunk_id", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "chunk_id")).cast("long").alias("place"))
+    return P.in_order(synth(spark, d), "run_id", "ts", "chunk_id").select("run_id", "chunk_id", "place")
 
 
 @query("u2_dedup_plan", f"with {duck(S)} select k, chunk_id from (select engine || voice_id || word_count k, chunk_id, row_number() over (partition by engine || voice_id || word_count order by chunk_id desc) n from v_synth) where n = 1")
@@ -287,25 +287,6 @@ def r1(spark, d):
     return P.plan_prosody(s).select("chunk_id", "plan_scale", "plan_before", "plan_after", "plan_intensity")
 
 
-STYLES = [(e, t) for e, t in D.EMOTION_STYLE]
-
-
-def style_expr(emotion, preset, strength: float = 0.7):
-    """Style direction of an emotion and a preset, with a word for the pace."""
-    style = F.lit(None)
-    rates = {e: r for e, r, *_ in D.PROFILES}
-    for e, t in STYLES:
-        blended = 1.0 + (rates[e] - 1.0) * strength
-        word = "slowly" if blended > 1.06 else "quickly" if blended < 0.94 else ""
-        full = f"{t}, {word}" if word and word not in t else t
-        style = F.when(emotion == e, F.lit(full)).otherwise(style)
-    style = F.coalesce(style, F.lit(dict(STYLES)["NEUTRAL"]))
-    tail = F.lit("")
-    for p, t in D.PRESET_DIRECTION:
-        tail = F.when(preset == p, F.lit(f", {t}")).otherwise(tail)
-    return F.concat(style, F.when(emotion == "NEUTRAL", tail).otherwise(F.lit("")))
-
-
 STYLE_SQL = [(e, f"{t}{', slowly' if 1 + (r - 1) * 0.7 > 1.06 and 'slowly' not in t else ', quickly' if 1 + (r - 1) * 0.7 < 0.94 else ''}") for (e, t), (_, r, *_x) in zip(D.EMOTION_STYLE, D.PROFILES, strict=True)]
 
 
@@ -313,7 +294,7 @@ STYLE_SQL = [(e, f"{t}{', slowly' if 1 + (r - 1) * 0.7 > 1.06 and 'slowly' not i
 def r4(spark, d):
     k = F.col("chunk_id")
     s = synth(spark, d).withColumn("emotion", F.when(k % 5 == 0, "SAD").when(k % 5 == 1, "EXCITED").when(k % 5 == 2, "SUSPENSE").otherwise("NEUTRAL")).withColumn("preset", F.when(k % 3 == 0, "HORROR").when(k % 3 == 1, "SCI_FI").otherwise("other"))
-    return s.select("chunk_id", F.concat(F.lit("Read aloud "), style_expr(F.col("emotion"), F.col("preset")), F.lit(": "), "voice_id").alias("prompt"))
+    return s.select("chunk_id", F.concat(F.lit("Read aloud "), P.style_direction(F.col("emotion"), F.col("preset")), F.lit(": "), "voice_id").alias("prompt"))
 
 
 CATALOG_SQL = D.values_sql([(v[0], v[1], v[5]) for v in D.VOICES], "pos, voice_id, engine")
@@ -339,6 +320,4 @@ def u1(spark, d):
 def k2(spark, d):
     k = F.col("event_id")
     w = table(spark, d, "events").select("event_id", F.when(k % 4 == 0, "UPBEAT").when(k % 4 == 1, "firm").when(k % 4 == 2, "news").otherwise("none").alias("style"), F.when(k % 3 == 0, "male").when(k % 3 == 1, "Female").otherwise("").alias("gender"))
-    v = D.voices(spark).select("pos", "voice_id", F.lower("style").alias("_style"), F.col("gender").alias("_gender"))
-    m = P.lookup(w, v, (F.lower("style") == F.col("_style")) & ((F.col("gender") == "") | (F.lower("gender") == F.col("_gender"))))
-    return m.groupBy("event_id").agg(F.min_by("voice_id", "pos").alias("voice_id"))
+    return P.find_by_style(w, D.voices(spark), "event_id").select("event_id", "voice_id")

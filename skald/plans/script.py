@@ -65,10 +65,8 @@ def t4b(spark, d):
 
 @query("p3_speakable", "with l as (select doc_id, unnest(string_split(text, chr(10))) line from documents) select doc_id, count(*) filter (trim(line) <> '') spoken from l group by 1")
 def p3(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    full = lines.where(F.trim("line") != "")
-    empty = table(spark, d, "documents").join(full, "doc_id", "left_anti").select("doc_id", F.lit(0).cast("long").alias("spoken"))
-    return full.groupBy("doc_id").agg(F.count(F.lit(1)).alias("spoken")).union(empty)
+    full = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return table(spark, d, "documents").groupBy("doc_id").agg(F.sum(F.coalesce(F.size(full), F.lit(0))).cast("long").alias("spoken"))
 
 
 DIALOGUE = r"\b([A-Z][a-z]+)\s+(?:said|asked|replied|whispered|shouted|murmured|sobbed|laughed|growled|breathed)\b"
