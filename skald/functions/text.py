@@ -22,6 +22,7 @@ URL_WORDS = [("https://", ""), ("http://", ""), ("www.", "w w w dot "), (".com",
 
 #: A character that texts hardly have.
 MARK = "\x01"
+# Fixed grammar: what counts as an address, abbreviation, amount, share, time, measure, date, year and number.
 AMOUNT = r"\d(?:[\d,]*\d)?(?:\.\d+)?"
 URL = r"(?i)\b(?:https?://|www\.)\S+"
 ABBREVIATION = r"(?i)\b(Mr|Mrs|Ms|Dr|Prof|St|Ave|Blvd)\.(?=\s+(?-i:[A-Z]))"

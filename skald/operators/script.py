@@ -16,6 +16,7 @@ SCENE_LINE = r"(?i)^\s*(?:\[\s*SCENE\s*:?\s*([^\]]*)\]\s*|#{1,3}\s*(.+))$"
 SENTENCE = r"""(?U)(?<=[.!?।])\s+(?=["'A-Z0-9ঀ-৿])|(?<=[.!?।]["”’])\s+"""
 SIMPLE = r"(?U)(?<=[.!?।])\s+"
 MAX_CHARS = 600
+# English verbs of speech and quotation marks.
 DIALOGUE = r"\b([A-Z][a-z]+)\s+(?:said|asked|replied|whispered|shouted|murmured|sobbed|laughed|growled|breathed)\b"
 QUOTED = r"""["“”‘’].+?["“”‘’]"""
 # Bengali verbs of speech, fear words and question words.
