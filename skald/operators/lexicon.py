@@ -16,8 +16,6 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Cues that are searched for at once: the bound of what is sent to the executors in one piece.
 CUES = 50_000
-#: Characters of a cue that take part, at most; a longer one is an error of the table.
-CUE_CHARS = 500
 WORD = r"\w+"
 
 
@@ -39,7 +37,7 @@ def first_cue(sents: DataFrame, lexicon: DataFrame, text: str = "sentence", out:
     text, null cues and emotions are in none. Lexicons of more than ``CUES`` cues are searched for in several passes.
     """
     usable = lexicon.where("cue is not null and emotion is not null").groupBy("cue").agg(F.min(F.struct("priority", "emotion")).alias("x"))
-    ordered = usable.where(F.length("cue") <= CUE_CHARS).select("cue", "x.priority", "x.emotion").orderBy("priority", "cue").toLocalIterator()
+    ordered = usable.select("cue", "x.priority", "x.emotion").orderBy("priority", "cue").toLocalIterator()
     part: list[tuple[str, str]] = []
     # later parts have higher priorities: a sentence takes the first part that finds something
     found = F.lit(None).cast("string")
