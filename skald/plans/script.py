@@ -308,15 +308,32 @@ def year_sql(y: str) -> str:
     return f"case when {y} between 1000 and 1999 or {y} between 2010 and 2099 then {pair} else {words_sql(y)} end"
 
 
-N = "with " + duck("v_numeric") + W999 + f""", o as (select o_orderkey k, cast(floor(o_totalprice) as bigint) price, o_orderkey % 100 cents, o_orderkey % 40 pct, o_orderkey % 12 + 1 hh, o_orderkey % 60 mi, o_orderkey % 90 km,
- year(o_orderdate) y, month(o_orderdate) mo, day(o_orderdate) dd from orders),
-x as (select k, {words_sql('k')} key_w, {words_sql('price')} || ' dollars and ' || {ONES_SQL}[cents // 10 + 1] || ' ' || {ONES_SQL}[cents % 10 + 1] || ' cents' money_w, {words_sql('pct')} || ' percent' pct_w,
+PARTS = f"""{words_sql('pct')} || ' percent' pct_w,
  {words_sql('hh')} || ' ' || case when mi = 0 then 'o''clock' when mi < 10 then 'zero ' || {ONES_SQL}[mi + 1] else {words_sql('mi')} end time_w, {words_sql('km')} || ' kilometers' km_w,
  {year_sql('y')} year_w,
- ['{"','".join(X.MONTHS)}'][mo] || ' ' || {ORD_SQL}[dd + 1] date_w from o),
+ ['{"','".join(X.MONTHS)}'][mo] || ' ' || {ORD_SQL}[dd + 1] date_w"""
+N = "with " + duck("v_numeric") + W999 + f""", o as (select o_orderkey k, cast(floor(o_totalprice) as bigint) price, o_orderkey % 100 cents, o_orderkey % 40 pct, o_orderkey % 12 + 1 hh, o_orderkey % 60 mi, o_orderkey % 90 km,
+ year(o_orderdate) y, month(o_orderdate) mo, day(o_orderdate) dd from orders),
+x as (select k, {words_sql('k')} key_w, {words_sql('price')} || ' dollars and ' || {ONES_SQL}[cents // 10 + 1] || ' ' || {ONES_SQL}[cents % 10 + 1] || ' cents' money_w, {PARTS} from o),
 spoken as (select k, case when k between 1800 and 2099 then {year_sql('k')} else {words_sql('k')} end order_w from o)"""
 
 
+S999 = f"concat_ws(' ', case when {{n}} >= 100 then {ONES_SQL}[{{n}} // 100 + 1] || ' hundred' end, case when {{n}} % 100 > 0 then {U100.format(n='({n} % 100)', o=ONES_SQL, t=TENS_SQL)} end)"
+
+
+def long_words_sql(n: str) -> str:
+    """Words of any whole number that isn't negative: groups of three digits, with a billion after every third."""
+    scale = "case when p in (1000, 1000000000000) then ' thousand' when p in (1000000, 1000000000000000) then ' million' else '' end"
+    group = f"case when {n} // p % 1000 > 0 then ' ' || {S999.format(n=f'({n} // p % 1000)')} || {scale} else '' end"
+    billion = f"case when p in (1000000000, 1000000000000000000) and {n} >= p then ' billion' else '' end"
+    return f"case when {n} = 0 then 'zero' else ltrim(array_to_string(list_transform([{', '.join(str(1000**i) for i in range(6, -1, -1))}], lambda p: {group} || {billion}), '')) end"
+
+
+# keys and prices of any size; a whole number of over nine digits in a text is said digit by digit
+LONG = N + f""", y as (select k, {long_words_sql('k')} key_w, {long_words_sql('price')} || ' dollars and ' || {ONES_SQL}[cents // 10 + 1] || ' ' || {ONES_SQL}[cents % 10 + 1] || ' cents' money_w, {PARTS} from o),
+heard as (select *, case when k between 1800 and 2099 then {year_sql('k')} when k > 999999999 then array_to_string(list_transform(regexp_extract_all(cast(k as varchar), '.'), lambda c: {ONES_SQL}[cast(c as int) + 1]), ' ') else key_w end order_w from y)"""
+
+
 @query("n1_number_to_words", N + " select k, key_w as said, case when k = 0 then key_w else 'minus ' || key_w end minus_said, key_w || ' billion ' || key_w || ' billion ' || key_w || ' billion' long_said from x where k > 0 union all select k, key_w, key_w, key_w from x where k = 0")
 def n1(spark, d):
     """Keys, their negatives, and numbers of some 28 to 34 digits made of the key."""
@@ -363,7 +380,7 @@ query("n6_normalize_time", N + " select script_id, replace(script_text, ' ' || h
 query("n7_normalize_measure", N + " select script_id, replace(script_text, ' ' || km || ' km', ' ' || km_w) said from v_numeric join x on k = script_id join o using (k)")(one_pass("measure"))
 query("n8_normalize_dates", N + r" select script_id, regexp_replace(script_text, ' of .* cost', ' of ' || date_w || ', ' || year_w || ' cost') said from v_numeric join x on k = script_id join o using (k)")(one_pass("dates"))
 query("n10_strip_abbrev_dots", "with " + duck("v_numeric") + " select script_id, replace(script_text, 'Dr. ', 'Dr ') said from v_numeric")(one_pass("abbreviations"))
-query("n11_normalize", N + " select k script_id, 'Order ' || order_w || ' of ' || date_w || ', ' || year_w || ' cost ' || money_w || ' less ' || pct_w || ' at ' || time_w || ' after ' || km_w || '. Dr Harris paid in Nevada.' said from x join spoken using (k)")(lambda spark, d: numeric(spark, d).select("script_id", X.normalise(F.col("script_text")).alias("said")))
+query("n11_normalize", LONG + " select k script_id, 'Order ' || order_w || ' of ' || date_w || ', ' || year_w || ' cost ' || money_w || ' less ' || pct_w || ' at ' || time_w || ' after ' || km_w || '. Dr Harris paid in Nevada.' said from heard")(lambda spark, d: numeric(spark, d).select("script_id", X.normalise(F.col("script_text")).alias("said")))
 
 SPEAK = "url"
 for _a, _b in X.URL_WORDS:

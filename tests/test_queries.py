@@ -28,3 +28,13 @@ def test_against_sql(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 100
+
+
+@pytest.mark.parametrize("name", ["n11_normalize"])
+def test_keys_of_any_size_against_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    shifts = ", ".join(str(10**i) for i in range(6, 19, 3)) + ", 999999, 1999999999, 1999999999999999999"
+    con.execute(f"copy (select o_orderkey + shift as o_orderkey, * exclude (o_orderkey, shift) from (select o.*, unnest([{shifts}]) shift from '{SF}/orders.parquet' o where o_orderkey < 40)) to '{tmp_path}/orders.parquet' (format parquet)")
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+    assert len(got) > 300 and got == sorted(con.execute(SQL[name]).fetchall())
