@@ -334,11 +334,16 @@ LONG = N + f""", y as (select k, {long_words_sql('k')} key_w, {long_words_sql('p
 heard as (select *, case when k between 1800 and 2099 then {year_sql('k')} when k > 999999999 then array_to_string(list_transform(regexp_extract_all(cast(k as varchar), '.'), lambda c: {ONES_SQL}[cast(c as int) + 1]), ' ') else key_w end order_w from y)"""
 
 
-@query("n1_number_to_words", N + " select k, key_w as said, case when k = 0 then key_w else 'minus ' || key_w end minus_said, key_w || ' billion ' || key_w || ' billion ' || key_w || ' billion' long_said from x where k > 0 union all select k, key_w, key_w, key_w from x where k = 0")
+def padded(k):
+    """A key's digits, filled up with zeros to nine, or to the next multiple of nine."""
+    return F.lpad(k, F.ceil(F.length(k) / 9).cast("int") * 9, F.lit("0"))
+
+
+@query("n1_number_to_words", LONG + " select k, key_w as said, case when k = 0 then key_w else 'minus ' || key_w end minus_said, key_w || ' billion ' || key_w || ' billion ' || key_w || ' billion' long_said from y where k > 0 union all select k, key_w, key_w, key_w from y where k = 0")
 def n1(spark, d):
-    """Keys, their negatives, and numbers of some 28 to 34 digits made of the key."""
+    """Keys, their negatives, and numbers of 28 digits and more made of the key."""
     k = F.col("o_orderkey")
-    nine = F.lpad(k.cast("string"), 9, "0")
+    nine = padded(k.cast("string"))
     long = F.concat(k.cast("string"), nine, nine, F.lit("0" * 9))
     return table(spark, d, "orders").select(k.alias("k"), X.number_words(k).alias("said"), X.number_words(-k).alias("minus_said"), X.number_words(long).alias("long_said"))
 
