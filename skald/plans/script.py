@@ -369,11 +369,11 @@ def one_pass(name: str):
     return run
 
 
-@query("n4_long_amounts", N + " select k, 'Paid ' || key_w || ' billion ' || key_w || ' euros and one two cents, up ' || key_w || ' billion ' || key_w || ' point five percent in ' || key_w || ' billion ' || key_w || ' point two five miles' said from x where k > 0")
+@query("n4_long_amounts", LONG + " select k, 'Paid ' || key_w || ' billion ' || key_w || ' euros and one two cents, up ' || key_w || ' billion ' || key_w || ' point five percent in ' || key_w || ' billion ' || key_w || ' point two five miles' said from y where k > 0")
 def n4_long(spark, d):
     """Amounts, shares and measures of more than twelve digits."""
     k = F.col("o_orderkey").cast("string")
-    long = F.concat(k, F.lpad(k, 9, "0"))
+    long = F.concat(k, padded(k))
     text = F.concat(F.lit("Paid €"), long, F.lit(".129, up "), long, F.lit(".5% in "), long, F.lit(".25 miles"))
     return table(spark, d, "orders").where("o_orderkey > 0").select(F.col("o_orderkey").alias("k"), X.normalise(text).alias("said"))
 

@@ -30,7 +30,7 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 100
 
 
-@pytest.mark.parametrize("name", ["n11_normalize", "n1_number_to_words"])
+@pytest.mark.parametrize("name", ["n11_normalize", "n1_number_to_words", "n4_long_amounts"])
 def test_keys_of_any_size_against_sql(spark, tmp_path, name):
     con = duckdb.connect()
     shifts = ", ".join(str(10**i) for i in range(6, 19, 3)) + ", 999999, 1999999999, 1999999999999999999"
