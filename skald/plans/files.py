@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from skald.plans.registry import query, workspace
-from skald.plans.views import TAGGED, duck, table, view
+from skald.plans.views import TAGGED, duck, table, view, wide
 from skald.sources import files
 from skald.streaming import jobs
 
@@ -62,10 +62,10 @@ def s1(spark, d) -> DataFrame:
     """Every document written as a text file of its own, and the folder read back."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("folder"), F.col("text").alias("script_text"))
     path = workspace(spark, "scripts")
-    files.write_scripts(docs.repartition(8), path)
+    files.write_scripts(wide(docs), path)
     back = files.scan_scripts(spark, path)
     text = F.expr("substring(script_text, 1, length(script_text) - 1)")
-    return back.select(F.substring_index("folder", "=", -1).cast("long").alias("script_id"), F.length(text).cast("long").alias("chars"), F.md5(text.cast("binary")).alias("digest"))
+    return back.select(F.nullif(F.regexp_extract("name", r"_(.*)\.txt$", 1), F.lit("")).cast("long").alias("script_id"), F.length(text).cast("long").alias("chars"), F.md5(text.cast("binary")).alias("digest"))
 
 
 @query("x1_stream_scripts")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from skald.plans import QUERIES, SQL
+from skald.sources import files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,3 +39,22 @@ def test_keys_of_any_size_against_sql(spark, tmp_path, name):
     con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
     got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
     assert len(got) > 300 and got == sorted(con.execute(SQL[name]).fetchall())
+
+
+def test_scripts_whose_ids_are_shared_or_missing(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (None, "c\r\nd"), (2, ""), (3, "é\n"), (-4, " x ")], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["s1_scan_scripts"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.execute(SQL["s1_scan_scripts"]).fetchall()))
+
+
+def test_scripts_of_folders_within_folders(spark, tmp_path):
+    for name in ("a.txt", "x/b.txt", "x/y/z/c d.txt", "x/y/no.md", "_x/hidden.txt", "x/.hidden.txt", "k=1/_a/hidden.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "a.txt" else name.encode())
+    for path in (str(tmp_path), f"file:{tmp_path}/"):
+        got = sorted(map(tuple, files.scan_scripts(spark, path).collect()))
+        assert got == [("a.txt", tmp_path.name, ""), ("b.txt", "x", "x/b.txt"), ("c d.txt", "z", "x/y/z/c d.txt")]
+    assert [r.script_text for r in files.scan_scripts(spark, f"{tmp_path}/x/*.txt").collect()] == ["x/b.txt"]
