@@ -16,6 +16,8 @@ SCENE_LINE = r"(?i)^\s*(?:\[\s*SCENE\s*:?\s*([^\]]*)\]\s*|#{1,3}\s*(.+))$"
 SENTENCE = r"""(?U)(?<=[.!?।])\s+(?=["'A-Z0-9ঀ-৿])|(?<=[.!?।]["”’])\s+"""
 SIMPLE = r"(?U)(?<=[.!?।])\s+"
 MAX_CHARS = 600
+#: Bytes of scripts that a task of ``process`` works on, about: its windows sort several forms of them at once.
+PART = 4 << 20
 # English verbs of speech and quotation marks.
 DIALOGUE = r"\b([A-Z][a-z]+)\s+(?:said|asked|replied|whispered|shouted|murmured|sobbed|laughed|growled|breathed)\b"
 QUOTED = r"""["“”‘’].+?["“”‘’]"""
@@ -254,6 +256,17 @@ def force_emotion(scripts: DataFrame, emotion: str | None = None) -> DataFrame:
     return scripts.withColumn("script_text", F.when(forced.isin("", "AUTO"), F.col("script_text")).otherwise(tagged))
 
 
+def parts_for(scripts: DataFrame) -> int:
+    """How many tasks scripts are dealt to: one for every ``PART`` bytes of text, and no fewer than there are cores.
+
+    The texts' bytes are summed first, as a fixed number of tasks, or one that adaptive execution merges by compressed bytes, would let
+    the memory of a task grow with the input.
+    """
+    spark = scripts.sparkSession
+    size = scripts.agg(F.sum(F.octet_length("script_text"))).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-size // PART))
+
+
 def process(scripts: DataFrame, strength: float = 0.7, forced_emotion: str | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """Scripts (script_id, script_text, target_wpm, words_per_chunk) to chunks: explicit tags win over annotations.
 
@@ -263,7 +276,7 @@ def process(scripts: DataFrame, strength: float = 0.7, forced_emotion: str | Non
     place of the built-in words.
     """
     script = ("script_id", "target_wpm", "words_per_chunk")
-    dealt = force_emotion(scripts, forced_emotion).select(*script, "script_text").repartition("script_id")
+    dealt = force_emotion(scripts, forced_emotion).select(*script, "script_text").repartition(parts_for(scripts), "script_id")
     para = (*script, "scene_id", "para_no")
     paras = scenes(dealt, script).select(*para, F.col("paragraph").alias("script_text"))
     seg = (*para, "seg_no", "given", "effects", "pause_after")

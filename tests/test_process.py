@@ -168,3 +168,11 @@ def test_process_with_a_lexicon(spark):
     df = spark.createDataFrame([(1, "The gnome saw Nevada. It cost $5.", 150, 45)], "script_id long, script_text string, target_wpm int, words_per_chunk int")
     lexicon = spark.createDataFrame([("gnome", "nohm"), ("five dollars", "a fiver")], "word string, spoken string")
     assert S.process(df, lexicon=lexicon).select(F.col("text")).first()[0] == "The nohm saw Nevada. It cost a fiver."
+
+
+def test_tasks_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART", 1000)
+    rows = spark.createDataFrame([(i, "It rained. " * 10, 150, 45) for i in range(100)] + [(100, None, 150, 45)], "script_id long, script_text string, target_wpm int, words_per_chunk int")
+    plan = S.process(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(script_id") == 1 and "hashpartitioning(script_id#" in plan and ", 11), REPARTITION_BY_NUM" in plan
+    assert S.parts_for(rows.limit(0)) == spark.sparkContext.defaultParallelism
