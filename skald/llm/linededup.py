@@ -78,15 +78,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     Places are exploded rather than hashed in a lambda: cutting, hashing and the partial minima are one compiled loop.
     Shingles are of UTF-16 units, all but rare characters.
     """
-    lines = F.filter(split_lines(F.col("text")), _has_word)
+    lines = docs.select(F.explode(split_lines(F.col("text"))).alias("line")).where(_has_word(F.col("line")))
     limit = lambda b: F.least(F.lit(2.0**31 - 1), 2.0**31 * DEPTH * CLASSES / F.greatest(F.lit(1), F.octet_length(b) / 2 - LONG + 1)).cast("int")
     # made with the row of the line: a column projected from it would be worked out again for every shingle
-    row = lambda node, b: F.struct(node.alias("node"), b.alias("b"), limit(b).alias("limit"))
-    each = docs.select(F.inline(F.transform(lines, lambda x: let(F.encode(x, "UTF-16BE"), lambda b: row(F.xxhash64(x), b)))))
+    each = lines.select(F.xxhash64("line").alias("node"), F.encode("line", "UTF-16BE").alias("b"))
+    each = each.select(F.inline(F.array(F.struct("node", "b", limit(F.col("b")).alias("limit")))))
     at = each.select("node", "b", "limit", F.explode(_starts(F.col("b"), LONG, 2)).alias("i"))
     h = at.select("node", "i", "limit", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * LONG))).alias("h")).withColumn("v", F.shiftrightunsigned("h", 33).cast("int"))
-    h = h.where("v < limit or i = 1").select("node", (F.col("i") == 1).cast("int").alias("first"), "v", F.pmod("h", F.lit(CLASSES)).alias("class"))
-    return h.groupBy("node").agg(F.sum("first").alias("often"), *(F.coalesce(F.min(F.when(F.col("class") == k, F.col("v")).otherwise(F.lit(NONE))), F.lit(NONE)).alias(f"m{k}") for k in range(CLASSES)))
+    h = h.where("v < limit or i = 1").select("node", (F.col("i") == 1).cast("int").alias("first"), "v", F.pmod("h", F.lit(CLASSES)).cast("int").alias("class"))
+    # with filters a row updates the class it is of, and no other
+    return h.groupBy("node").agg(F.sum("first").alias("often"), *(F.expr(f"coalesce(min(v) filter (where class = {k}), {NONE})").alias(f"m{k}") for k in range(CLASSES)))
 
 
 def bands(sigs: DataFrame) -> DataFrame:
@@ -126,10 +127,11 @@ def sketches(texts: DataFrame) -> DataFrame:
     Each shingle flips one bit. The sketches of two sets differ in no more bits than the sets in elements, however
     large the sets: a pair that differs in more bits than sets of that similarity in elements is discarded, and no other.
     """
-    h = texts.select("node", F.explode(_sets(F.col("line"))).alias("h"))
+    # sets are made in a projection, which is compiled, and not in the generator
+    h = texts.select("node", _sets(F.col("line")).alias("hs")).select("node", F.explode("hs").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    word = F.shiftright("h", 6).bitwiseAND(WORDS - 1)
-    return h.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *(F.bit_xor(F.when(word == k, bit).otherwise(0)).alias(f"b{k}") for k in range(WORDS)))
+    each = h.select("node", F.shiftright("h", 6).bitwiseAND(WORDS - 1).cast("int").alias("word"), bit.alias("bit"))
+    return each.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *(F.expr(f"coalesce(bit_xor(bit) filter (where word = {k}), 0L)").alias(f"b{k}") for k in range(WORDS)))
 
 
 def _sketch(prefix: str) -> list[Column]:
@@ -144,19 +146,26 @@ def _may_link(x: str, y: str) -> Column:
     return (F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6) & (differ <= room + 1e-6)
 
 
+def likely(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(a, b, sizes) of the pairs that sketches leave room for; sizes: both sets' together, null where one has no sketch."""
+    side = lambda c, p: drawn.select(F.col("node").alias(c), *_sketch(p))
+    both = pairs.join(side("a", "x_"), "a", "left").join(side("b", "y_"), "b", "left")
+    return both.where(F.coalesce(_may_link("x_", "y_"), F.lit(True))).select("a", "b", (F.col("x_size") + F.col("y_size")).alias("sizes"))
+
+
 def _sets(line: Column) -> Column:
     return F.array_distinct(shingle_hashes(line))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have Jaccard similarity SIMILARITY or more."""
+    """The pairs (a, b, sizes) of nodes whose shingle sets have Jaccard similarity SIMILARITY or more; sizes as in ``likely``."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"t{c}"))
-    # a generator's output isn't worked out again by the filter: each set is made once a pair
-    sets = F.inline(F.array(F.struct(_sets(F.col("ta")).alias("x"), _sets(F.col("tb")).alias("y"))))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", sets)
-    # i / (|x| + |y| - i) >= SIMILARITY, i once
-    enough = F.size(F.array_intersect("x", "y")) * (1 + SIMILARITY) >= SIMILARITY * (F.size("x") + F.size("y")) - 1e-6
-    return both.where(enough).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sizes", shingle_hashes(F.col("ta")).alias("x"), shingle_hashes(F.col("tb")).alias("y"))
+    # a generator's output isn't worked out again by the filter: hashes are made once a pair
+    both = both.select("a", "b", F.inline(F.array(F.struct("sizes", "x", "y"))))
+    sizes = F.coalesce("sizes", F.size(F.array_distinct("x")) + F.size(F.array_distinct("y")))
+    # i / (|x| + |y| - i) >= SIMILARITY, i once; repeated hashes are in an intersection once
+    return both.where(F.size(F.array_intersect("x", "y")) * (1 + SIMILARITY) >= SIMILARITY * sizes - 1e-6).select("a", "b")
 
 
 def _centres(large: DataFrame) -> DataFrame:
@@ -182,10 +191,10 @@ def links(members: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.keep(pairs.union(stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     texts = scratch.keep(lines.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "line"), "texts")
-    comp = components(scratch.keep(verify(pairs, texts), "links"), scratch)
+    drawn = scratch.keep(sketches(texts.join(large.select("node").distinct(), "node", "left_semi")), "sketches")
+    comp = components(scratch.keep(verify(likely(pairs, drawn), texts), "links"), scratch)
     if large.isEmpty():
         return comp
-    drawn = scratch.keep(sketches(texts.join(large.select("node").distinct(), "node", "left_semi")), "sketches")
     # whatever is outside a band's largest component is compared with all members of other components
     named = large.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "node", "lanes", "bands", "root")
     sizes = named.groupBy("band", "root").count()
@@ -197,7 +206,7 @@ def links(members: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("a"))
     first = F.element_at(F.array_intersect("bands", "_bands"), 1) == F.col("band")
     met = named.join(rest, (F.col("band") == F.col("_band")) & (F.col("root") != F.col("_root")) & once & near & _may_link("", "y_") & first)
-    found = scratch.keep(verify(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")), texts), "links")
+    found = scratch.keep(verify(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), (F.col("size") + F.col("y_size")).alias("sizes")), texts), "links")
     if found.isEmpty():
         return comp
     # components so far are stars: nothing found before needs to be linked again

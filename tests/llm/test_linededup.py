@@ -131,3 +131,26 @@ def test_very_long_line(spark):
     rows = [(1, line), (2, line[:200_000] + "#" + line[200_000:]), (3, line[::-1]), (4, None), (4, "x\n" + line)]
     got = linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
     assert sorted((r.doc_id, x.no, x.keep_doc_id) for r in got for x in r.removed_lines or ()) == [(2, 0, 1), (4, 1, 1)]
+
+
+def test_sets_and_classes_stay_in_compiled_steps(spark):
+    """A generator works its expressions out uncompiled, and a class that a row isn't of has nothing to do for it."""
+    texts = spark.createDataFrame([(1, "abcdefghij")], "node long, line string")
+    drawn = linededup.sketches(texts)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (drawn, linededup.signatures(texts.select(F.col("line").alias("text"))))]
+    generators = [x for p in plans for x in p.split("\n") if "Generate " in x]
+    assert len(generators) == 4 and not any(f in x for x in generators for f in ("array_distinct", "lambda"))
+    assert all("FILTER (WHERE" in p for p in plans)
+    assert drawn.first()["size"] == 6
+
+
+def test_sketches_leave_links_and_pairs_without_one(spark):
+    lines = ["abcdefghij" * 30, "abcdefghij" * 31, "klmnopqrst" * 30, "the quick brown fox jumps over the lazy dog " * 2, "0123456789"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    drawn = linededup.sketches(texts.where("node < 4"))
+    pairs = spark.createDataFrame([(a, b) for b in range(5) for a in range(b)], "a long, b long")
+    left = linededup.likely(pairs, drawn)
+    found = {(r.a, r.b): r.sizes for r in left.collect()}
+    assert found[0, 1] == 20 and (0, 3) not in found
+    assert {p for p, sizes in found.items() if sizes is None} == {(a, 4) for a in range(4)}
+    assert [tuple(r) for r in linededup.verify(left, texts).collect()] == [(0, 1)]
