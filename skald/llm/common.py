@@ -36,13 +36,14 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` removes one that is no longer read.
 
-    A table's shuffle files go as soon as it is written: nothing reads them again.
+    A table's shuffle files go as soon as it is written: nothing reads them again. ``options``: the writer's.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.options: dict[str, str] = {}
 
     def path(self, label: str) -> str:
         self.count += 1
@@ -53,7 +54,7 @@ class Scratch:
         before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.options(**self.options).parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)

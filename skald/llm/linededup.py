@@ -68,8 +68,10 @@ def shingle_hashes(line: Column) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, no, line, node): every line; node is the 64-bit hash of the line."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(split_lines(F.col("text"))).alias("no", "line"))
-    return lines.where(_has_word(F.col("line"))).withColumn("node", F.xxhash64("line"))
+    # made with the row of the text: a digest projected from it would be worked out again for every line
+    texts = docs.select(F.inline(F.array(F.struct("doc_id", F.xxhash64("text").alias("digest"), split_lines(F.col("text")).alias("lines")))))
+    lines = texts.select("doc_id", "digest", F.posexplode("lines").alias("no", "line")).where(_has_word(F.col("line")))
+    return lines.select("doc_id", "digest", F.inline(F.array(F.struct("no", "line", F.xxhash64("line").alias("node")))))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -108,11 +110,12 @@ def bands(sigs: DataFrame) -> DataFrame:
     own = F.when(F.col("often") > 1, F.xxhash64(F.lit(-1), F.col("node")))
     keys = F.array(*(F.xxhash64(F.lit(i), *(F.col(ms[k]) for k in b)) for i, b in enumerate(BANDS)), own, own)
     # lanes are made before the bands, once a line, and no key twice: the loop stays within what the JVM compiles
-    rows = sigs.withColumn("lanes", lanes).select("node", "lanes", F.explode(keys).alias("band")).where("band is not null").repartition("band")
-    size = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor("lanes").alias("x"))
-    shared = size.where((F.col("n") > 2) | ((F.col("n") == 2) & _agree(F.col("x")))).drop("x").hint("shuffle_hash")
-    # the same exchange feeds both sides: nothing is shuffled or sorted again
-    return rows.join(shared, "band").where("n > 2 or node = low")
+    rows = sigs.withColumn("lanes", lanes).select("node", "lanes", F.explode(keys).alias("band")).where("band is not null")
+    # most bands have one member: sorted once they cost less than in the tables of an aggregate and of a join with it
+    of = Window.partitionBy("band")
+    size = [F.count(F.lit(1)).over(of).alias("n"), F.min("node").over(of).alias("low"), F.max("node").over(of).alias("high"), F.bit_xor("lanes").over(of).alias("x")]
+    pair = (F.col("n") == 2) & (F.col("node") == F.col("low")) & _agree(F.col("x"))
+    return rows.select("band", "node", "lanes", *size).where((F.col("n") > 2) | pair).drop("x")
 
 
 def _agree(x: Column, least: int = AGREE) -> Column:
@@ -127,8 +130,8 @@ def sketches(texts: DataFrame) -> DataFrame:
     Each shingle flips one bit. The sketches of two sets differ in no more bits than the sets in elements, however
     large the sets: a pair that differs in more bits than sets of that similarity in elements is discarded, and no other.
     """
-    # sets are made in a projection, which is compiled, and not in the generator
-    h = texts.select("node", _sets(F.col("line")).alias("hs")).select("node", F.explode("hs").alias("h"))
+    # sets are made in a projection and not in the generator; without outer a filter on their size would make them once more
+    h = texts.select("node", _sets(F.col("line")).alias("hs")).select("node", F.explode_outer("hs").alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
     each = h.select("node", F.shiftright("h", 6).bitwiseAND(WORDS - 1).cast("int").alias("word"), bit.alias("bit"))
     return each.groupBy("node").agg(F.count(F.lit(1)).alias("size"), *(F.expr(f"coalesce(bit_xor(bit) filter (where word = {k}), 0L)").alias(f"b{k}") for k in range(WORDS)))
@@ -147,10 +150,10 @@ def _may_link(x: str, y: str) -> Column:
 
 
 def likely(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(a, b, sizes) of the pairs that sketches leave room for; sizes: both sets' together, null where one has no sketch."""
+    """(a, b, size, sizes) of the pairs that sketches leave room for; size: of a's set, sizes: both together, null without a sketch."""
     side = lambda c, p: drawn.select(F.col("node").alias(c), *_sketch(p))
     both = pairs.join(side("a", "x_"), "a", "left").join(side("b", "y_"), "b", "left")
-    return both.where(F.coalesce(_may_link("x_", "y_"), F.lit(True))).select("a", "b", (F.col("x_size") + F.col("y_size")).alias("sizes"))
+    return both.where(F.coalesce(_may_link("x_", "y_"), F.lit(True))).select("a", "b", F.col("x_size").alias("size"), (F.col("x_size") + F.col("y_size")).alias("sizes"))
 
 
 def _sets(line: Column) -> Column:
@@ -158,14 +161,16 @@ def _sets(line: Column) -> Column:
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b, sizes) of nodes whose shingle sets have Jaccard similarity SIMILARITY or more; sizes as in ``likely``."""
+    """The pairs (a, b, size, sizes) of nodes whose shingle sets have Jaccard similarity SIMILARITY or more; sizes as in ``likely``."""
     side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"t{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sizes", shingle_hashes(F.col("ta")).alias("x"), shingle_hashes(F.col("tb")).alias("y"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size", "sizes", shingle_hashes(F.col("ta")).alias("x"), shingle_hashes(F.col("tb")).alias("y"))
     # a generator's output isn't worked out again by the filter: hashes are made once a pair
-    both = both.select("a", "b", F.inline(F.array(F.struct("sizes", "x", "y"))))
-    sizes = F.coalesce("sizes", F.size(F.array_distinct("x")) + F.size(F.array_distinct("y")))
-    # i / (|x| + |y| - i) >= SIMILARITY, i once; repeated hashes are in an intersection once
-    return both.where(F.size(F.array_intersect("x", "y")) * (1 + SIMILARITY) >= SIMILARITY * sizes - 1e-6).select("a", "b")
+    both = both.select("a", "b", F.inline(F.array(F.struct("size", "sizes", "x", "y"))))
+    a = F.coalesce("size", F.size(F.array_distinct("x")))
+    b = F.coalesce(F.col("sizes") - F.col("size"), F.size(F.array_distinct("y")))
+    # with d elements that only x has, the intersection is a - d: (a - d) / (b + d) >= SIMILARITY; a difference takes one set
+    # where an intersection takes two, and has repeated hashes once
+    return both.where(a - F.size(F.array_except("x", "y")) * (1 + SIMILARITY) >= SIMILARITY * b - 1e-6).select("a", "b")
 
 
 def _centres(large: DataFrame) -> DataFrame:
@@ -206,7 +211,8 @@ def links(members: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     once = (F.col("root") == F.col("main")) | (F.col("node") < F.col("a"))
     first = F.element_at(F.array_intersect("bands", "_bands"), 1) == F.col("band")
     met = named.join(rest, (F.col("band") == F.col("_band")) & (F.col("root") != F.col("_root")) & once & near & _may_link("", "y_") & first)
-    found = scratch.keep(verify(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), (F.col("size") + F.col("y_size")).alias("sizes")), texts), "links")
+    met = met.select("a", F.col("node").alias("b"), F.col("y_size").alias("size"), (F.col("size") + F.col("y_size")).alias("sizes"))
+    found = scratch.keep(verify(met, texts), "links")
     if found.isEmpty():
         return comp
     # components so far are stars: nothing found before needs to be linked again
@@ -233,10 +239,14 @@ def removals(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` with ``text`` less its duplicate lines, and ``removed_lines``, the array of what went."""
     names = docs.columns
+    # columns of hashes, nearly all different: as a dictionary they would be looked up all over it
+    scratch.options["parquet.enable.dictionary"] = "false"
     gone = scratch.keep(removals(docs, scratch), "removed").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("removed").alias("removed_lines"))
     # texts that keep all their lines aren't shuffled
     touched = F.coalesce(maybe(gone, "_digest", scratch)(F.xxhash64("text")), F.lit(False))
-    found = docs.where(touched).join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_digest")), "left")
+    # the digest as a column: the exchange, the sort and the join would each work it out
+    named = docs.where(touched).withColumn("_at", F.xxhash64("text"))
+    found = named.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_at") == F.col("_digest")), "left")
     numbers = F.transform("removed_lines", lambda r: r["no"])
     stay = lambda a: F.array_except(F.sequence(F.lit(0), F.size(a) - 1), numbers)
     left = let(split_lines(F.col("text")), lambda a: F.array_join(F.transform(stay(a), lambda k: F.get(a, k)), "\n"))

@@ -154,3 +154,37 @@ def test_sketches_leave_links_and_pairs_without_one(spark):
     assert found[0, 1] == 20 and (0, 3) not in found
     assert {p for p, sizes in found.items() if sizes is None} == {(a, 4) for a in range(4)}
     assert [tuple(r) for r in linededup.verify(left, texts).collect()] == [(0, 1)]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_digests_and_sets_are_made_once(spark):
+    """Neither a text's digest for each of its lines nor a line's set for a filter on its size."""
+    docs = spark.createDataFrame([(1, "one\n \ntwo"), (2, None)], "doc_id long, text string")
+    lines = linededup.occurrences(docs)
+    assert "xxhash64(text" not in optimized(lines).split("Generate posexplode")[0]
+    digest = docs.select(F.xxhash64("text")).first()[0]
+    assert [(r.doc_id, r.digest, r.no, r.line) for r in lines.orderBy("no").collect()] == [(1, digest, 0, "one"), (1, digest, 2, "two")]
+    texts = spark.createDataFrame([(1, "abcdefghij")], "node long, line string")
+    assert optimized(linededup.sketches(texts)).count("array_distinct") == 1
+
+
+def test_bands_are_dealt_and_sorted_once(spark):
+    lines = ["abcdefghij" * 30, "abcdefghij" * 31, "abcdefghij" * 32, "the quick brown fox", "the quick brown fox", "0123456789"]
+    found = linededup.bands(linededup.signatures(spark.createDataFrame([(x,) for x in lines], "text string")))
+    assert "Join" not in optimized(found) and optimized(found).count("Aggregate") == 1
+    rows = found.collect()
+    nodes = {r.node for r in rows}
+    assert len(nodes) == 4 and all(r.low <= r.node <= r.high and r.n > 1 for r in rows)
+    assert {(r.n, r.low == r.high) for r in rows} == {(3, False), (2, True)}
+
+
+def test_verification_with_and_without_sizes(spark):
+    """Sets of 10 and 11 that share 9 or 10: a size that is known stands for one that is made."""
+    lines = ["abcdefghijklmn", "abcdefghijklmno", "abcdefghijklmxyz"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    for known in ((None, None), (10, None), (10, 21)):
+        pairs = spark.createDataFrame([(0, 1, *known), (1, 0, *((11, known[1]) if known[0] else known)), (0, 2, known[0], known[1] and 22)], "a long, b long, size long, sizes long")
+        assert sorted(tuple(r) for r in linededup.verify(pairs, texts).collect()) == [(0, 1), (1, 0)]
