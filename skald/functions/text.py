@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -25,7 +27,7 @@ MARK = "\x01"
 # Fixed grammar: what counts as an address, abbreviation, amount, share, time, measure, date, year and number.
 AMOUNT = r"\d(?:[\d,]*\d)?(?:\.\d+)?"
 URL = r"(?i)\b(?:https?://|www\.)\S+"
-ABBREVIATION = r"(?i)\b(Mr|Mrs|Ms|Dr|Prof|St|Ave|Blvd)\.(?=\s+(?-i:[A-Z]))"
+ABBREVIATION = r"(?i)(?=[MDPSAB])\b(Mr|Mrs|Ms|Dr|Prof|St|Ave|Blvd)\.(?=\s+(?-i:[A-Z]))"
 MONEY = r"[$€£]" + AMOUNT
 PERCENT = AMOUNT + r"\s*%"
 TIME = r"\b\d{1,2}:\d{2}\b"
@@ -194,9 +196,11 @@ def in_passes(text: Column) -> Column:
 
 
 UNIT_WORDS = r"(?:km|kg|lbs?|mph|miles?|feet|foot|ft|meters?|m|cm|mm)\b"
-NUMBERED = rf"(?:{MONEY})|(?:{PERCENT})|(?:{TIME})|(?:{MEASURE.replace('(?i)', '(?i:', 1)}))|(?:{DATE.replace('(?i)', '(?i:', 1)}))|(?:{YEAR})|(?:{NUMBER})"
+#: What all months begin with. Patterns of many branches look at what they may begin with before they try one.
+MONTH = "[JFMASONDjfmasond](?i:an|eb|ar|pr|ay|un|ul|ug|ep|ct|ov|ec)"
+NUMBERED = rf"(?=[\d$€£-]|{MONTH})(?:(?:{MONEY})|(?:{PERCENT})|(?:{TIME})|(?:{MEASURE.replace('(?i)', '(?i:', 1)}))|(?:{DATE.replace('(?i)', '(?i:', 1)}))|(?:{YEAR})|(?:{NUMBER}))"
 #: Where a form may begin within another one, or stand so close to it that a replacement changes what comes next: only passes tell.
-ENTANGLED = "|".join(
+ENTANGLED = rf"(?=[\d.,:%-]|[HWhw](?i:ttp|ww)|{MONTH}|\w[$€£])(?:" + "|".join(
     (
         URL.replace("(?i)", "(?i:", 1) + ")",
         # digits and marks that are no number, amount or time of their own
@@ -207,7 +211,7 @@ ENTANGLED = "|".join(
         r"%-?\w|\d:\d{2}\s*%|\w[$€£]\d|\.(?:1[89]\d{2}|20\d{2})s?\b",
         rf"{DATE.replace('(?i)', '(?i:', 1)})(?:\.\d+)?\s*(?:%|(?i:{UNIT_WORDS}))",
     )
-)
+) + ")"
 
 
 def say_form(m: Column) -> Column:
@@ -232,7 +236,7 @@ def normalise(text: Column) -> Column:
         plain = strip_abbreviation_dots(t)
         blanks = PASSES["blanks"]
         once = let(plain, lambda p: replace_each(p, NUMBERED, say_form))
-        return F.when(~t.rlike(r"\d|(?i:https?://|www\.)"), blanks(plain)).when(t.rlike(ENTANGLED), in_passes(t)).otherwise(blanks(once))
+        return F.when(~(t.rlike(r"\d") | t.rlike(r"[HWhw](?i:ttps?://|ww\.)")), blanks(plain)).when(t.rlike(ENTANGLED), in_passes(t)).otherwise(blanks(once))
 
     return let(text, say)
 
@@ -245,12 +249,16 @@ def pronunciation_pattern(key: str) -> str:
 def pronounce(text: Column, table: dict[str, str] | None = None) -> tuple[Column, Column]:
     """The text with respellings, longest keys first, and how many there are."""
     table = D.PRONUNCIATIONS if table is None else table
-    hits = F.lit(0)
-    for key in sorted(table, key=len, reverse=True):
-        if key and table[key] and key != table[key]:
-            hits = hits + F.regexp_count(text, F.lit(pronunciation_pattern(key)))
-            text = F.regexp_replace(text, pronunciation_pattern(key), table[key].replace("\\", r"\\").replace("$", r"\$"))
-    return text, hits
+    keys = [k for k in sorted(table, key=len, reverse=True) if k and table[k] and k != table[k]]
+    hits, said = F.lit(0), text
+    for key in keys:
+        hits = hits + F.regexp_count(said, F.lit(pronunciation_pattern(key)))
+        said = F.regexp_replace(said, pronunciation_pattern(key), table[key].replace("\\", r"\\").replace("$", r"\$"))
+    if keys and all(k[:1].isupper() for k in keys):
+        # such keys are met as they are written, so most texts need no pattern; a respelling may make the key of a later one
+        some = reduce(or_, (text.contains(k) for k in keys))
+        return F.when(some, said).otherwise(text), F.when(text.isNull(), F.lit(None)).when(some, hits).otherwise(F.lit(0))
+    return said, hits
 
 
 TAG = r"\[/?[A-Za-z_]+(?::[^\]]*)?\]"
@@ -265,4 +273,4 @@ def clean(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))

@@ -15,7 +15,15 @@ from skald.operators import lexicon as L, planning as P
 SCENE_LINE = r"(?i)^\s*(?:\[\s*SCENE\s*:?\s*([^\]]*)\]\s*|#{1,3}\s*(.+))$"
 SENTENCE = r"""(?U)(?<=[.!?।])\s+(?=["'A-Z0-9ঀ-৿])|(?<=[.!?।]["”’])\s+"""
 SIMPLE = r"(?U)(?<=[.!?।])\s+"
+# The same ends in a text of several lines, and words after which a marked end is none; both begin with what is quick to look for.
+BLANK = r"[\s&&[^\n]]"
+IN_LINE = rf"""(?U){BLANK}(?:(?<=[.!?।]{BLANK}){BLANK}*(?=["'A-Z0-9ঀ-৿])|(?<=[.!?।]["”’]{BLANK}){BLANK}*)"""
+SHORT = rf"""(?i:(?=[{"".join(sorted({a[0] for a in D.ABBREVIATIONS}))}]))(?U:(?<![^\s{X.MARK}]))((?i:{"|".join(D.ABBREVIATIONS)})[").]*){X.MARK}"""
+#: Pairs that keep marks in texts apart, in their order; lower-case letters neither begin nor end a sentence.
+ESCAPES = (("\x02", "\x02b"), (X.MARK, "\x02a"))
 MAX_CHARS = 600
+#: Sentences of a chunk at most.
+MOST = 4
 #: Bytes of scripts that a task of ``process`` works on, about: its windows sort several forms of them at once.
 PART = 4 << 20
 # English verbs of speech and quotation marks.
@@ -31,9 +39,16 @@ ordered = lambda *order, by=ID: Window.partitionBy(*by).orderBy(*order)  # noqa:
 running = lambda *order, by=ID: ordered(*order, by=by).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def explode_list(df: DataFrame, keep: tuple[str, ...], values: Column, no: str, out: str) -> DataFrame:
+    """``keep`` and a row for each element of an array.
+
+    The outer form, as Spark filters empty arrays ahead of the plain one, and works out their elements twice for that.
+    """
+    return df.select(*keep, F.posexplode_outer(values).alias(no, out)).where(F.col(no).isNotNull())
+
+
 def explode_lines(df: DataFrame, text: str, sep: str, no: str, out: str) -> DataFrame:
-    keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(F.split(text, sep)).alias(no, out))
+    return explode_list(df, tuple(c for c in df.columns if c != text), F.split(text, sep), no, out)
 
 
 # markup
@@ -47,7 +62,7 @@ def segments(scripts: DataFrame, by: tuple[str, ...] = ID) -> DataFrame:
     """
     raw = F.col("script_text")
     tags = F.concat(F.array(F.lit("")), F.regexp_extract_all(raw, F.lit(X.TAG), F.lit(0)))
-    rows = scripts.select(*by, F.posexplode(F.arrays_zip(F.split(raw, X.TAG).alias("part"), tags.alias("tag"))).alias("i", "z")).select(*by, "i", "z.part", "z.tag")
+    rows = explode_list(scripts, by, F.arrays_zip(F.split(raw, X.TAG).alias("part"), tags.alias("tag")), "i", "z").select(*by, "i", "z.part", "z.tag")
     head = F.upper(F.regexp_extract("tag", r"^\[(/?[A-Za-z_]+)", 1))
     value = F.trim(F.regexp_extract("tag", r":([^\]]*)\]$", 1))
     number = F.when(value == "", F.lit("1")).otherwise(value).try_cast("double")
@@ -67,10 +82,10 @@ def segments(scripts: DataFrame, by: tuple[str, ...] = ID) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "").alias("text"),
         F.max_by("emo", "i").alias("emotion"), F.sum("pause").alias("pause"), *(F.max_by(c, "i").alias(c) for c in on),
     )
-    full = (F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "").cast("int")
+    full = F.col("text").rlike(r"(?U)\S").cast("int")
     parts = parts.withColumn("full", full).withColumn("seg_no", F.sum("full").over(running("grp", by=by)))
     effects = F.array_compact(F.array(*(F.when(F.col(f"on_{e}"), e) for e in sorted(D.EFFECTS))))
-    said = F.struct(F.regexp_replace("text", r"(?U)\s+$", "").alias("text"), F.coalesce("emotion", F.lit("")).alias("emotion"), effects.alias("effects"))
+    said = F.struct(F.regexp_extract("text", r"(?Us)^(.*\S)", 1).alias("text"), F.coalesce("emotion", F.lit("")).alias("emotion"), effects.alias("effects"))
     # the pause of a group stands before its text: it goes to the segment before
     each = parts.select(*by, F.inline(F.array(F.struct("seg_no", F.when(F.col("full") == 1, said).alias("x"), F.lit(0.0).alias("pause")), F.struct((F.col("seg_no") - F.col("full")).alias("seg_no"), F.lit(None).alias("x"), F.col("pause")))))
     segs = each.groupBy(*by, "seg_no").agg(F.first("x", True).alias("x"), F.sum("pause").alias("pause_after")).where("x is not null")
@@ -87,13 +102,14 @@ def scenes(scripts: DataFrame, by: tuple[str, ...] = ID) -> DataFrame:
     """(by, scene_id, title, para_no, paragraph): paragraphs by scene; marker lines are not spoken."""
     blocks = explode_lines(scripts.select(*by, F.replace("script_text", F.lit("\r\n"), F.lit("\n")).alias("t")), "t", "\n\n", "para_no", "block")
     lines = F.split("block", "\n")
-    marks = F.filter(lines, lambda x: F.trim(x).rlike(SCENE_LINE))
+    marks_scene = lambda x: (x.contains("[") | x.contains("#")) & F.trim(x).rlike(SCENE_LINE)
+    marks = F.filter(lines, marks_scene)
     first = F.trim(F.get(marks, F.lit(0)))
     title = F.trim(F.concat(F.regexp_extract(first, SCENE_LINE, 1), F.regexp_extract(first, SCENE_LINE, 2)))
     marked = F.size(marks) > 0
-    body = F.when(marked, F.array_join(F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(SCENE_LINE)), "\n")).otherwise(F.col("block"))
+    body = F.when(marked, F.array_join(F.filter(lines, lambda x: (F.trim(x) != "") & ~marks_scene(x)), "\n")).otherwise(F.col("block"))
     rows = blocks.select(*by, "para_no", body.alias("paragraph"), marked.cast("int").alias("m"), F.when(marked, title).alias("t"))
-    rows = rows.withColumns({"s": F.sum("m").over(running("para_no", by=by)), "t": F.last("t", True).over(running("para_no", by=by))}).where(F.trim(F.regexp_replace("paragraph", r"(?U)\s+", " ")) != "")
+    rows = rows.withColumns({"s": F.sum("m").over(running("para_no", by=by)), "t": F.last("t", True).over(running("para_no", by=by))}).where(F.col("paragraph").rlike(r"(?U)\S"))
     rows = rows.withColumn("scene_id", F.dense_rank().over(ordered("s", by=by)))
     return rows.select(*by, "scene_id", F.coalesce(F.nullif("t", F.lit("")), F.concat(F.lit("Scene "), F.col("scene_id").cast("string"))).alias("title"), "para_no", "paragraph")
 
@@ -106,18 +122,29 @@ def simple_sentences(df: DataFrame, text: str = "script_text") -> DataFrame:
     return rows.where(F.trim("sentence") != "")
 
 
+def sentence_list(text: Column) -> Column:
+    """Array of sentences: lines cut at sentence ends, fragments after an abbreviation joined again.
+
+    Ends are marked by one character, the marks after abbreviations are taken back, and the text is split once.
+    """
+
+    def cut(t: Column) -> Column:
+        lines = F.regexp_replace(F.regexp_extract(t, r"(?Us)^\s*(.*\S)", 1), rf"(?U){BLANK}*\n\s*", "\n")
+        marked = F.regexp_replace(F.regexp_replace(lines, IN_LINE, X.MARK), SHORT, "$1 ")
+        return F.filter(F.split(F.replace(marked, F.lit("\n"), F.lit(X.MARK)), X.MARK), lambda p: p != "")
+
+    def escaped(t: Column) -> Column:
+        """Texts that hold the mark itself."""
+        for a, b in ESCAPES:
+            t = F.replace(t, F.lit(a), F.lit(b))
+        return F.transform(cut(t), lambda p: F.replace(F.replace(p, *map(F.lit, ESCAPES[1][::-1])), *map(F.lit, ESCAPES[0][::-1])))
+
+    return X.let(text, lambda t: F.when(t.contains(X.MARK), escaped(t)).otherwise(cut(t)))
+
+
 def sentences(df: DataFrame, text: str = "script_text", by: tuple[str, ...] = ID) -> DataFrame:
-    """(by, sent_no, sentence): lines cut at sentence ends, fragments after an abbreviation joined again."""
-    pieces = F.flatten(F.transform(F.split(F.col(text), "\n"), lambda x: F.concat(F.split(x, SENTENCE), F.array(F.lit("\x00")))))
-    rows = df.select(*by, F.posexplode(pieces).alias("i", "p")).withColumn("p", F.regexp_replace("p", r"(?U)^\s+|\s+$", "")).where("p <> ''")
-    last = F.regexp_replace(F.lower(F.regexp_replace(F.regexp_extract("p", r"(?U)(\S+)$", 1), r'[").]+$', "")), r"\.+$", "")
-    short = last.isin(*D.ABBREVIATIONS) & ~F.col("p").rlike(r"[!?]$")
-    w = ordered("i", by=by)
-    # line ends are rows of their own until sentences are joined, so that none is joined across a line
-    goes_on = F.coalesce(F.lag(short).over(w), F.lit(False)) & (F.col("p") != "\x00")
-    rows = rows.withColumn("n", F.sum((~goes_on).cast("int")).over(running("i", by=by))).where("p <> '\x00'")
-    joined = rows.groupBy(*by, "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), " ").alias("sentence"))
-    return joined.select(*by, (F.row_number().over(ordered("n", by=by)) - 1).alias("sent_no"), "sentence")
+    """(by, sent_no, sentence) of ``sentence_list``."""
+    return explode_list(df, by, sentence_list(F.col(text)), "sent_no", "sentence")
 
 
 def hard_split(sentence: Column, most: int = MAX_CHARS) -> Column:
@@ -141,15 +168,35 @@ def speaker(s: Column) -> Column:
     return F.regexp_extract(s, DIALOGUE, 1)
 
 
-def cue_emotion(lower: Column, whole_word: bool = False) -> Column:
-    """The emotion of the first cue in the sentence, null if there is none: a chain of searches, compiled."""
-    found = F.lit(None).cast("string")
-    for cues, emotion in reversed(D.CUES):
-        hit = F.lit(False)
-        for c in cues:
-            hit = hit | (lower.rlike(rf"\b{c}\b") if whole_word else lower.contains(c))
-        found = F.when(hit, F.lit(emotion)).otherwise(found)
-    return found
+def cues_in(text: Column) -> Column:
+    """Those of the built-in cues that a text of many sentences contains, in their order: each sentence needs to be searched for these only.
+
+    One pattern gives the longest cue at each place, and shorter ones are what such cues begin with.
+    """
+    cues = [(c, emotion) for group, emotion in D.CUES for c in group]
+
+    def found(low: Column, some: list[str]) -> Column:
+        heads = {c[0]: sorted((x[1:] for x in some if x[0] == c[0]), key=len, reverse=True) for c in some}
+        pattern = "|".join(f"{h}(?:{'|'.join(rest)})" for h, rest in heads.items())
+        return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?=({pattern}))"), F.lit(1)))
+
+    def known(at: Column) -> Column:
+        every = F.array(*(F.struct(F.lit(c).alias("cue"), F.lit(e).alias("emotion")) for c, e in cues))
+        return F.filter(every, lambda x: F.exists(at, lambda f: f.startswith(x["cue"])))
+
+    plain, full = [c for c, _ in cues if c.isascii()], [c for c, _ in cues]
+    places = X.let(F.lower(text), lambda low: F.when(low.rlike("[ঀ-৿]"), found(low, full)).otherwise(found(low, plain)))
+    return X.let(places, known)
+
+
+def cue_emotion(lower: Column, cues: Column | None = None) -> Column:
+    """The emotion of the first cue in the sentence, null if there is none; ``cues`` are those that it may have, or else all.
+
+    Cues are a list that is filtered: a chain of searches makes a method too large for the JVM to compile.
+    """
+    if cues is None:
+        cues = F.array(*(F.struct(F.lit(c).alias("cue"), F.lit(e).alias("emotion")) for group, e in D.CUES for c in group))
+    return X.let(lower, lambda low: F.get(F.filter(cues, lambda x: low.contains(x["cue"])), F.lit(0))["emotion"])
 
 
 def punctuation_emotion(s: Column) -> tuple[Column, Column]:
@@ -160,12 +207,12 @@ def punctuation_emotion(s: Column) -> tuple[Column, Column]:
     return emotion, F.when(emotion == "FEAR", 0.6).when(emotion == "EXCITED", 0.5).when(emotion == "MYSTERIOUS", 0.4)
 
 
-def analyse(sents: DataFrame, col: str = "sentence") -> DataFrame:
-    """``sents`` with emotion, intensity, is_dialogue and speaker."""
+def analyse(sents: DataFrame, col: str = "sentence", cues: Column | None = None) -> DataFrame:
+    """``sents`` with emotion, intensity, is_dialogue and speaker; ``cues`` as in ``cue_emotion``."""
     s = F.col(col)
     low = F.lower(s)
     mark, sure = punctuation_emotion(s)
-    out = sents.withColumns({"_cue": cue_emotion(low), "_mark": mark, "_sure": sure, "_hush": low.rlike(r"\bwhisper(ed|s)?\b") | low.contains("ফিসফিস")})
+    out = sents.withColumns({"_cue": cue_emotion(low, cues), "_mark": mark, "_sure": sure, "_hush": (low.contains("whisper") & low.rlike(r"\bwhisper(ed|s)?\b")) | low.contains("ফিসফিস")})
     score = F.when(F.col("_cue").isNotNull(), 0.75).otherwise(F.coalesce("_sure", F.lit(0.0)))
     return out.withColumns(
         {
@@ -177,10 +224,10 @@ def analyse(sents: DataFrame, col: str = "sentence") -> DataFrame:
     ).drop("_cue", "_mark", "_sure", "_hush")
 
 
-def annotate(analysed: DataFrame, strength: float = 0.7) -> DataFrame:
+def annotate(analysed: DataFrame, strength: float = 0.7, order: tuple[str, ...] = ("sent_no",)) -> DataFrame:
     """``analysed`` with tag_emotion, the emotion that holds from confident sentences on, and whispered."""
     sure = (F.col("emotion") != "NEUTRAL") & (F.col("emotion") != "WHISPER") & (F.col("intensity") >= 0.55 - 0.15 * strength)
-    return analysed.withColumns({"tag_emotion": F.coalesce(F.last(F.when(sure, F.col("emotion")), True).over(running("sent_no")), F.lit("")), "whispered": F.col("emotion") == "WHISPER"})
+    return analysed.withColumns({"tag_emotion": F.coalesce(F.last(F.when(sure, F.col("emotion")), True).over(running(*order)), F.lit("")), "whispered": F.col("emotion") == "WHISPER"})
 
 
 def structure(sents: DataFrame) -> DataFrame:
@@ -212,40 +259,51 @@ def structure(sents: DataFrame) -> DataFrame:
 # chunks
 
 
-def chunk_groups(sents: DataFrame, most: int = 4) -> DataFrame:
-    """``sents`` (script_id, sent_no, sentence, scene_id, effects, words_per_chunk) with run and chunk_id.
+def chunk_groups(sents: DataFrame, most: int = MOST, order: tuple[str, ...] = ("sent_no",)) -> DataFrame:
+    """``sents`` (script_id, sent_no, sentence, scene_id, effects, words_per_chunk) with chunk_id.
 
-    A chunk ends at a new scene, a change of effects, before a long sentence, and after ``most`` sentences.
+    A chunk ends at a new scene, a change of effects, before a long sentence, and after ``most`` sentences. ``order`` names the
+    columns that order a script's sentences; all windows share its sort.
     """
-    w = ordered("sent_no")
+    w = ordered(*order)
     key = F.array_join("effects", ",")
-    long = F.size(F.split("sentence", " ")) >= F.col("words_per_chunk")
+    blanks = F.octet_length("sentence") - F.octet_length(F.replace("sentence", F.lit(" "), F.lit("")))
+    long = blanks + 1 >= F.col("words_per_chunk")
     hard = F.coalesce(F.lag("scene_id").over(w) != F.col("scene_id"), F.lit(True)) | (F.lag(key).over(w) != key) | long
-    rows = sents.withColumn("_run", F.sum(hard.cast("int")).over(running("sent_no")))
-    place = F.floor((F.row_number().over(Window.partitionBy("script_id", "_run").orderBy("sent_no")) - 1) / most)
-    rows = rows.withColumn("_part", place)
-    return rows.withColumn("chunk_id", F.dense_rank().over(ordered("_run", "_part")) - 1).drop("_run", "_part")
-
-
-def chunks(grouped: DataFrame) -> DataFrame:
-    """One row per chunk: text, words, scene, effects, the last emotion, pauses and estimated seconds."""
-    place = lambda c: F.struct("sent_no", F.col(c).alias("x"))
-    agg = grouped.groupBy("script_id", "chunk_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(place("sentence"))), lambda x: x["x"]), " ").alias("text"), F.first("scene_id").alias("scene_id"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("effects")))).alias("effects"), F.coalesce(F.max_by("emotion", F.when(F.col("emotion") != "", F.col("sent_no"))), F.lit("")).alias("emotion"),
-        F.min_by("pause", "sent_no").alias("_first"), F.max_by("pause", "sent_no").alias("_last"), F.first("target_wpm").alias("target_wpm"),
+    rows = sents.withColumns({"_hard": hard, "_at": F.row_number().over(w)})
+    place = F.col("_at") - F.max(F.when(F.col("_hard"), F.col("_at"))).over(running(*order))
+    rows = rows.withColumn("_starts", (place % most == 0).cast("int"))
+    return rows.withColumn("chunk_id", (F.sum("_starts").over(running(*order)) - 1).cast("int")).drop("_hard", "_at", "_starts")
+
+
+def chunks(grouped: DataFrame, most: int = MOST, order: tuple[str, ...] = ("sent_no",)) -> DataFrame:
+    """One row per chunk: text, words, scene, effects, the last emotion, pauses and estimated seconds.
+
+    The rows of a chunk follow one another and are ``most`` at most: the first one looks ahead for the others.
+    """
+    w = ordered(*order)
+    ahead = {f"_{c}{i}": F.lead(c, i).over(w) for i in range(1, most) for c in ("chunk_id", "sentence", "emotion", "pause")}
+    before = {"_chunk": F.lag("chunk_id").over(w), "_scene": F.lag("scene_id").over(w)}
+    rows = grouped.withColumns(ahead | before).where("_chunk is null or _chunk <> chunk_id")
+    mine = lambda c, i: F.when(F.col(f"_chunk_id{i}") == F.col("chunk_id"), F.col(f"_{c}{i}")) if i else F.col(c)
+    last = F.col("pause")
+    for i in range(1, most):
+        last = F.when(F.col(f"_chunk_id{i}") == F.col("chunk_id"), F.col(f"_pause{i}")).otherwise(last)
+    out = rows.select(
+        "script_id", "chunk_id", F.concat_ws(" ", *(mine("sentence", i) for i in range(most))).alias("text"), "scene_id", F.array_sort(F.array_distinct("effects")).alias("effects"),
+        F.coalesce(*(F.nullif(mine("emotion", i), F.lit("")) for i in reversed(range(most))), F.lit("")).alias("emotion"), F.col("pause").alias("_first"), last.alias("_last"), "target_wpm",
+        F.coalesce(F.col("_scene") == F.col("scene_id"), F.lit(False)).alias("_same"),
     )
-    same = F.coalesce(F.lag("scene_id").over(ordered("chunk_id")) == F.col("scene_id"), F.lit(False))
     floor = F.when(P.ends_sentence(F.col("text")) & (F.col("_last") < P.BREATH), F.lit(P.BREATH)).otherwise(F.col("_last"))
-    out = agg.withColumns(
+    out = out.withColumns(
         {
             "words": X.word_count(F.col("text")),
             "index_in_scene": F.row_number().over(Window.partitionBy("script_id", "scene_id").orderBy("chunk_id")) - 1,
-            "pause_before": F.when(same, F.round(F.col("_first") * 0.5, 3)).otherwise(F.lit(0.0)),
+            "pause_before": F.when(F.col("_same"), F.round(F.col("_first") * 0.5, 3)).otherwise(F.lit(0.0)),
             "pause_after": P.jitter_pause(floor, F.col("text")),
         }
     )
-    return out.withColumn("est_seconds", P.estimate_seconds(F.greatest(F.lit(1), "words"), F.col("target_wpm").cast("double"), F.col("pause_after"))).drop("_first", "_last")
+    return out.withColumn("est_seconds", P.estimate_seconds(F.greatest(F.lit(1), "words"), F.col("target_wpm").cast("double"), F.col("pause_after"))).drop("_first", "_last", "_same")
 
 
 def force_emotion(scripts: DataFrame, emotion: str | None = None) -> DataFrame:
@@ -285,11 +343,13 @@ def process(scripts: DataFrame, strength: float = 0.7, forced_emotion: str | Non
         said = segs.withColumn("text", X.let(F.col("text"), lambda t: X.pronounce(t)[0]))
     else:
         said = L.respell(segs.withColumn("_id", F.struct("script_id", "para_no", "seg_no")), lexicon, "text", "_id").withColumn("text", F.col("said"))
-    sents = sentences(said, "text", seg).select(*seg, F.posexplode(hard_split(F.col("sentence"))).alias("k", "sentence"), F.col("sent_no").alias("_s"))
-    last = F.lead("_s").over(ordered("_s", "k", by=seg)).isNull()
-    rows = sents.withColumn("pause", F.when(last, F.col("pause_after")).otherwise(F.lit(0.0)))
-    rows = rows.withColumn("sent_no", F.row_number().over(ordered("para_no", "seg_no", "_s", "k")) - 1)
-    rows = annotate(analyse(rows), strength)
+    # sentences stay in order by their places, so that all windows of a script share one sort
+    listed = said.withColumn("_all", sentence_list(F.col("text"))).select(*seg, F.flatten(F.transform("_all", lambda s: hard_split(s))).alias("_all"))
+    listed = listed.withColumns({"_n": F.size("_all"), "_cues": cues_in(F.array_join("_all", "\n"))})
+    rows = explode_list(listed, (*seg, "_n", "_cues"), F.col("_all"), "k", "sentence")
+    rows = rows.withColumn("pause", F.when(F.col("k") == F.col("_n") - 1, F.col("pause_after")).otherwise(F.lit(0.0)))
+    order = ("para_no", "seg_no", "k")
+    rows = annotate(analyse(rows, cues=F.col("_cues")), strength, order)
     tag = F.when(F.col("given") != "", F.col("given")).otherwise(F.col("tag_emotion"))
     rows = rows.withColumns({"emotion": tag, "effects": F.when(F.col("whispered"), F.array_sort(F.array_union("effects", F.array(F.lit("whisper"))))).otherwise(F.col("effects"))})
-    return chunks(chunk_groups(rows))
+    return chunks(chunk_groups(rows, order=order), order=order)

@@ -176,3 +176,23 @@ def test_tasks_grow_with_the_text(spark, monkeypatch):
     plan = S.process(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(script_id") == 1 and "hashpartitioning(script_id#" in plan and ", 11), REPARTITION_BY_NUM" in plan
     assert S.parts_for(rows.limit(0)) == spark.sparkContext.defaultParallelism
+
+
+def test_lists_are_worked_out_once(spark):
+    """Ahead of an explode Spark filters by the size of its list, for which all texts are worked out a second time."""
+    df = spark.createDataFrame([(1, "A b.", 150, 45)], "script_id long, script_text string, target_wpm int, words_per_chunk int")
+    plan = S.process(df)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Filter" in x and "size(" in x]
+
+
+def test_sentences_of_odd_letters_are_the_loop(spark):
+    """A line that is a NUL, the characters that mark sentences within, blanks of all kinds, abbreviations in a row."""
+    bits = ["The end. ", "Prof. Dr. St. Xu ", "Dr.) ", "etc. And so. ", "no.” Yes", "\x00", "\n\x00\n", "\x01", "\x02a", "\x01a ", "  ", "\n \n", "\u0085", "He said no. Yes", 'He cried "Stop!" and ', "ſt. Xu", "é. É", "? ", "Mr.. X"]
+    rng = random.Random(3)
+    texts = ["", "\x00", "\x01", "\x02a\x01"] + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 20))) for _ in range(300)]
+    got = {i: [] for i in range(len(texts))}
+    for r in S.sentences(spark.createDataFrame(list(enumerate(texts)), "script_id long, script_text string")).orderBy("script_id", "sent_no").collect():
+        assert r.sent_no == len(got[r.script_id])
+        got[r.script_id].append(r.sentence)
+    for i, t in enumerate(texts):
+        assert got[i] == sentences(t), repr(t)
