@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -255,8 +253,9 @@ def pronounce(text: Column, table: dict[str, str] | None = None) -> tuple[Column
         hits = hits + F.regexp_count(said, F.lit(pronunciation_pattern(key)))
         said = F.regexp_replace(said, pronunciation_pattern(key), table[key].replace("\\", r"\\").replace("$", r"\$"))
     if keys and all(k[:1].isupper() for k in keys):
-        # such keys are met as they are written, so most texts need no pattern; a respelling may make the key of a later one
-        some = reduce(or_, (text.contains(k) for k in keys))
+        # such keys are met as they are written: most texts have none of them, for which capitals are looked at only
+        quote = lambda k: "".join(rf"\x{{{ord(c):x}}}" for c in k)
+        some = text.rlike(f"[{''.join(quote(c) for c in sorted({k[0] for k in keys}))}](?:{'|'.join(quote(k[1:]) for k in keys)})")
         return F.when(some, said).otherwise(text), F.when(text.isNull(), F.lit(None)).when(some, hits).otherwise(F.lit(0))
     return said, hits
 

@@ -69,7 +69,7 @@ def safe_name(name: Column) -> Column:
 
 
 def ends_sentence(text: Column) -> Column:
-    return F.rtrim(text).rlike(r"[.!?।]$")
+    return F.right(F.rtrim(text), F.lit(3)).rlike(r"[.!?।]$")  # a line's end may follow
 
 
 def extension(path: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -196,3 +197,34 @@ def test_sentences_of_odd_letters_are_the_loop(spark):
         got[r.script_id].append(r.sentence)
     for i, t in enumerate(texts):
         assert got[i] == sentences(t), repr(t)
+
+
+def test_process_has_no_windows(spark):
+    """All state is held in lists of a script's row; only the place in a scene, where it is asked for, takes a window."""
+    df = spark.createDataFrame([(1, "A b.", 150, 45)], "script_id long, script_text string, target_wpm int, words_per_chunk int")
+    plan = S.process(df).drop("index_in_scene")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Aggregate" not in plan
+
+
+def test_long_scripts_take_linear_time(spark):
+    bits = ["It rained. [PAUSE:1][WHISPER]She slept. [/WHISPER][EMOTION:SAD] He wept! ", "It rained.\n\nShe slept.\n\n# Next\n\n"]
+    took = {}
+    for n in (10, 20_000):
+        df = spark.range(1).select(F.lit(1).alias("script_id"), F.concat(*(F.repeat(F.lit(b), n) for b in bits)).alias("script_text"), F.lit(150).alias("target_wpm"), F.lit(45).alias("words_per_chunk"))
+        began = time.perf_counter()
+        # a whispered chunk and one of the sentences behind it for each first bit, and one that a scene ends for each second; the first chunk
+        # is the sentence before all whispers, and the last sentence of the first bits shares a chunk with the first scene's
+        rows = S.process(df).agg(F.count("text"), F.sum("words")).first()
+        took[n] = time.perf_counter() - began
+        assert tuple(rows) == (1 + 2 * n + n - 1, 10 * n)
+    assert took[20_000] < 60
+
+
+def test_rows_that_share_an_id_take_windows(spark):
+    """One script in several rows keeps its state from row to row; both ways give the same for scripts of one row."""
+    schema = "script_id long, script_text string, target_wpm int, words_per_chunk int"
+    df = spark.createDataFrame([(i, t, 150, 45) for i, t in enumerate(scripts()[:60])], schema)
+    rows = lambda way: sorted(map(repr, S.timed(way(df, 0.7, None)).select("script_id", "chunk_id", "text", "scene_id", "effects", "emotion", "words", "pause_before", "pause_after", "est_seconds").collect()))
+    assert rows(S.by_windows) == rows(S.by_lists)
+    plan = lambda *ids: S.process(spark.createDataFrame([(i, "A b.", 150, 45) for i in ids], schema))._jdf.queryExecution().executedPlan().toString()
+    assert plan(1, 2).count("Window") <= 1 < plan(1, 1).count("Window")
