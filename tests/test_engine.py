@@ -438,6 +438,19 @@ def test_a_repeated_batch_adds_nothing(spark, tmp_path):
     assert len(rows) == len({r.key for r in rows}) == 3 and all(r.prefix == "k" + r.key[:2] for r in rows)
 
 
+def test_first_batch_is_written_once(spark, tmp_path):
+    """Only later batches are staged beside the table; each part of it is one file, and keys are found again."""
+    docs = spark.createDataFrame([(i, f"Line {i % 5} of it. And more.", 150, 45) for i in range(20)], "script_id long, script_text string, target_wpm int, words_per_chunk int")
+    for n in (1, 2):
+        docs.write.parquet(str(tmp_path / f"in/{n}"))
+        scripts = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in/*"))
+        jobs.stream_scripts(scripts, str(tmp_path / "plan"), str(tmp_path / "cp")).awaitTermination()
+        assert (tmp_path / "plan_staged").exists() == (n == 2)
+    rows = spark.read.parquet(str(tmp_path / "plan"))
+    assert rows.count() == rows.select("key").distinct().count() == 5
+    assert all(len(list(p.glob("*.parquet"))) == 1 for p in (tmp_path / "plan").glob("prefix=*"))
+
+
 def test_one_row_in_one_row_out(spark):
     rows = spark.createDataFrame([(1, "C:\\old\\a.wav"), (2, "x/b.wav"), (3, None)], "id int, path string")
     cached = spark.createDataFrame([("/z/a.wav",), ("/c/a.wav",), (None,)], "path string")
