@@ -28,20 +28,19 @@ def stream_scripts(scripts: DataFrame, plan: str, checkpoint: str) -> StreamingQ
     """Plans every new script of a stream and appends the chunks whose keys the plan table doesn't hold; ends when all at hand is done.
 
     The table is partitioned by the first digits of the keys, and a batch reads only the parts that its own keys are in: its
-    cost depends on the batch. Chunks are dealt by part once, for the dedup and the write. The first batch is written as it is planned; those
-    of later ones are staged beside the table first, so that they are planned once. A batch that is repeated finds its keys there
-    and adds nothing.
+    cost depends on the batch. The first batch is written as it is planned; the chunks of later ones are staged beside the table
+    first, so that they are planned once. A batch that is repeated finds its keys there and adds nothing. Chunks are dealt by key
+    ahead of their parts, as the dedup drops the copies of a frequent one before they are moved.
     """
     spark = scripts.sparkSession
 
     def write(chunks: DataFrame, number: int) -> None:
-        chunks.withColumn("batch", F.lit(number)).write.mode("append").partitionBy("prefix").parquet(plan)
+        chunks.withColumn("batch", F.lit(number)).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(plan)
 
     def add(batch: DataFrame, number: int) -> None:
-        keyed = plan_scripts(batch).withColumn("prefix", F.concat(F.lit("k"), F.substring("key", 1, PREFIX)))
-        chunks = keyed.repartition("prefix").dropDuplicates(["prefix", "key"])
+        chunks = plan_scripts(batch).dropDuplicates(["key"]).withColumn("prefix", F.concat(F.lit("k"), F.substring("key", 1, PREFIX)))
         try:
-            known = spark.read.parquet(plan).select("prefix", "key")
+            known = spark.read.parquet(plan)
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -51,7 +50,7 @@ def stream_scripts(scripts: DataFrame, plan: str, checkpoint: str) -> StreamingQ
         staged = spark.read.schema(chunks.schema).parquet(stage)
         touched = [r[0] for r in staged.select("prefix").distinct().collect()]  # 16 ** PREFIX at most
         fresh = staged.join(known.where(F.col("prefix").isin(touched)).select("key"), "key", "left_anti")
-        write(fresh.repartition("prefix"), number)
+        write(fresh, number)
 
     return scripts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
